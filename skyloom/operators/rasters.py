@@ -25,7 +25,8 @@ from skyloom.constants import (
     STILL_BLOCK_PX,
 )
 from skyloom.errors import InsufficientFramesError
-from skyloom.functions.cells import dbz_class, filled, filled_grid, grid_side, image
+from skyloom.functions.cells import dbz_class, filled, filled_grid, grid_side
+from skyloom.functions.kernels import match_blocks, pixels, sample_moved
 from skyloom.functions.geo import clamp_index, grid_position, km_offset
 from skyloom.functions.scalar import hours_between, plus_minutes
 from skyloom.operators.nearest import nearest_join
@@ -97,40 +98,6 @@ def frame_pairs(frames: DataFrame, slice_s: float = _PAIR_SLICE_S) -> DataFrame:
 # --- G2: block matching ---------------------------------------------------------
 
 
-def _match_blocks(prev: np.ndarray, curr: np.ndarray, block: int, radius: int):
-    """Displacement (x, y) of every block of ``curr`` against ``prev``, by least sum of
-    absolute pixel differences.  Outside the grid counts as pixel 0.  Equal sums take
-    the shortest displacement, then the smallest y, then the smallest x.  A block
-    without echo takes the mean displacement of the frame's blocks that have echo.
-    """
-    n = int(round(len(curr) ** 0.5))
-    curr = curr.reshape(n, n).astype(np.int32)
-    padded = np.pad(prev.reshape(n, n).astype(np.int32), radius)
-    edges = np.arange(0, n, block)
-
-    def per_block(cells: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(np.add.reduceat(cells, edges, axis=0), edges, axis=1)
-
-    shifts = sorted(
-        ((dx, dy) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1)),
-        key=lambda s: (s[0] * s[0] + s[1] * s[1], s[1], s[0]),
-    )
-    best = fx = fy = None
-    for dx, dy in shifts:
-        r, c = radius - dy, radius - dx
-        cost = per_block(np.abs(curr - padded[r : r + n, c : c + n]))
-        if best is None:
-            best, fx, fy = cost, np.zeros(cost.shape), np.zeros(cost.shape)
-            continue
-        better = cost < best
-        best = np.where(better, cost, best)
-        fx[better], fy[better] = dx, dy
-    echo = per_block(curr) > 0
-    if echo.any() and not echo.all():
-        fx[~echo], fy[~echo] = fx[echo].mean(), fy[echo].mean()
-    return fx.ravel(), fy.ravel()
-
-
 def block_flow(pairs: DataFrame, block: int = 15, radius: int = 8) -> DataFrame:
     """Motion per block in cells per frame interval, as ``flow_x`` / ``flow_y``.
 
@@ -139,13 +106,11 @@ def block_flow(pairs: DataFrame, block: int = 15, radius: int = 8) -> DataFrame:
 
     @F.pandas_udf("flow_x array<double>, flow_y array<double>")
     def match(prev: pd.Series, curr: pd.Series) -> pd.DataFrame:
-        flows = [_match_blocks(np.asarray(p), np.asarray(c), block, radius) for p, c in zip(prev, curr)]
+        flows = [match_blocks(pixels(p), pixels(c), block, radius) for p, c in zip(prev, curr)]
         return pd.DataFrame({"flow_x": [f[0] for f in flows], "flow_y": [f[1] for f in flows]})
 
-    # One byte-sized value per cell goes to Python instead of a float.
-    as_bytes = lambda grid: F.transform(image(F.col(grid)), lambda p: p.cast("short"))
     return (
-        pairs.withColumn("_flow", match(as_bytes("prev_dbz"), as_bytes(_GRID)))
+        pairs.withColumn("_flow", match(F.col("prev_dbz"), F.col(_GRID)))
         .select("*", "_flow.flow_x", "_flow.flow_y", F.lit(block).alias("flow_block"))
         .drop("_flow")
     )
@@ -153,42 +118,14 @@ def block_flow(pairs: DataFrame, block: int = 15, radius: int = 8) -> DataFrame:
 
 def flow_to_blocks(flow: DataFrame) -> DataFrame:
     """The motion field as one row per block."""
-    keep = [c for c in ("station", "timestamp", "interval_minutes") if c in flow.columns]
-    return (
-        flow.select(*keep, F.posexplode(F.arrays_zip("flow_x", "flow_y")).alias("_b", "_f"))
-        .withColumn("_side", F.lit(None))
-        .drop("_side")
-        .select(*keep, F.col("_b").alias("block_no"), "_f.flow_x", "_f.flow_y")
-    )
+    keep = ["station", "timestamp", "interval_minutes"]
+    blocks = F.posexplode(F.arrays_zip("flow_x", "flow_y")).alias("block_no", "_f")
+    return flow.select(*keep, blocks).select(*keep, "block_no", "_f.flow_x", "_f.flow_y")
 
 
 # --- G3: advection --------------------------------------------------------------
 
 
-def _advect(grid: np.ndarray, fx: np.ndarray, fy: np.ndarray, block: int, scale: float) -> np.ndarray:
-    """Sample ``grid`` at (x - fx*scale, y - fy*scale), bilinear; outside is no echo."""
-    n = int(round(len(grid) ** 0.5))
-    side = -(-n // block)
-    axis = np.arange(n)
-    of_block = axis // block
-    flow_x = fx.reshape(side, side)[np.ix_(of_block, of_block)]
-    flow_y = fy.reshape(side, side)[np.ix_(of_block, of_block)]
-    x = axis[None, :] - flow_x * scale
-    y = axis[:, None] - flow_y * scale
-    x0, y0 = np.floor(x), np.floor(y)
-    wx, wy = x - x0, y - y0
-    # a border of no-echo cells answers every read outside the grid
-    ring = np.full((n + 2, n + 2), NO_ECHO_DBZ)
-    ring[1:-1, 1:-1] = grid.reshape(n, n)
-    cx0 = np.clip(x0, -1, n).astype(np.int64) + 1
-    cx1 = np.clip(x0 + 1, -1, n).astype(np.int64) + 1
-    cy0 = np.clip(y0, -1, n).astype(np.int64) + 1
-    cy1 = np.clip(y0 + 1, -1, n).astype(np.int64) + 1
-    south = ring[cy0, cx0] * (1 - wx) + ring[cy0, cx1] * wx
-    north = ring[cy1, cx0] * (1 - wx) + ring[cy1, cx1] * wx
-    return (south * (1 - wy) + north * wy).astype(np.float32).ravel()
-
-
 def advect(frames: DataFrame, scale: Column, out: str, grid: str = _GRID) -> DataFrame:
     """The grid moved along its flow; ``scale`` is lead / interval."""
 
@@ -198,7 +135,7 @@ def advect(frames: DataFrame, scale: Column, out: str, grid: str = _GRID) -> Dat
     ) -> pd.Series:
         return pd.Series(
             [
-                _advect(np.asarray(g), np.asarray(u), np.asarray(v), int(b), float(s))
+                sample_moved(np.asarray(g), np.asarray(u), np.asarray(v), int(b), float(s))
                 for g, u, v, b, s in zip(dbz, fx, fy, block, factor)
             ]
         )
@@ -206,7 +143,7 @@ def advect(frames: DataFrame, scale: Column, out: str, grid: str = _GRID) -> Dat
     return frames.withColumn(
         out,
         move(
-            filled_grid(F.col(grid)),
+            F.col(grid),
             F.col("flow_x"),
             F.col("flow_y"),
             F.col("flow_block"),
@@ -270,9 +207,9 @@ def grid_scores(
     )
     pairs = nowcasts.join(matched, ["station", "valid_at"]).join(truth, ["station", "actual_at"])
     keys = ["station", "predicted_at", "valid_at", "method", "lead_minutes", "actual_at"]
-    cells = pairs.select(
-        *keys, F.inline(F.arrays_zip(F.col(_GRID).alias("p"), F.col("_actual").alias("a")))
-    ).select(*keys, filled(F.col("p")).alias("p"), filled(F.col("a")).alias("a"))
+    cells = pairs.select(*keys, "_actual", F.posexplode(_GRID).alias("_i", "_p")).select(
+        *keys, filled(F.col("_p")).alias("p"), filled(F.get("_actual", "_i")).alias("a")
+    )
     said, came = F.col("p") >= threshold, F.col("a") >= threshold
     return cells.groupBy(*keys).agg(
         F.avg(F.abs(F.col("p").cast("double") - F.col("a").cast("double"))).alias("mae_dbz"),
@@ -358,12 +295,25 @@ def crop_bounds(frames: DataFrame, boxes: DataFrame, grid: str = _GRID) -> DataF
 
 
 def crop_cells(bounded: DataFrame, grid: str = _GRID) -> DataFrame:
-    """The cells inside the bounds, with class (F9); unrolled inside the task."""
-    cells = frames_to_cells(bounded.filter("in_range"), grid)
-    return cells.filter(
-        F.col("row").between(F.col("row_min"), F.col("row_max"))
-        & F.col("col").between(F.col("col_min"), F.col("col_max"))
-    ).withColumn("dbz_class", dbz_class(F.col("dbz")))
+    """The cells inside the bounds, with class.
+
+    Only the box is unrolled: the work follows the size of the crop, not of the grid.
+    """
+    keep = [c for c in bounded.columns if c != grid]
+    boxed = bounded.filter("in_range").select(
+        *keep,
+        grid,
+        F.expr(f"CAST(sqrt(size({grid})) AS INT)").alias("n"),
+        (F.col("col_max") - F.col("col_min") + 1).alias("_w"),
+        F.explode(
+            F.expr("sequence(0, (row_max - row_min + 1) * (col_max - col_min + 1) - 1)")
+        ).alias("_i"),
+    )
+    row, col = F.expr("int(row_min + _i div _w)"), F.expr("int(col_min + _i % _w)")
+    dbz = F.get(F.col(grid), row * F.col("n") + col)
+    return boxed.select(
+        *keep, "n", row.alias("row"), col.alias("col"), dbz.alias("dbz"), dbz_class(dbz).alias("dbz_class")
+    )
 
 
 def block_motion(
