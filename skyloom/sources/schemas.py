@@ -87,6 +87,22 @@ TABLES = {
             " track_error_km DOUBLE, wind_mae_kt DOUBLE",
             ("evaluated_at", "model_trained_at", "horizon_hours"),
         ),
+        Table(
+            "hurricane_outcomes",
+            "predicted_at TIMESTAMP, storm_id STRING, horizon_hours INT, valid_at TIMESTAMP,"
+            " lat_pred DOUBLE, lon_pred DOUBLE, wind_pred_kt DOUBLE, model_trained_at STRING,"
+            " actual_at TIMESTAMP, actual_lat DOUBLE, actual_lon DOUBLE, actual_wind_kt DOUBLE",
+            ("predicted_at", "storm_id", "horizon_hours"),
+            "season",
+            "year(predicted_at)",
+        ),
+        Table(
+            "radar_scans",
+            "file_name STRING, station STRING, timestamp TIMESTAMP, scan_date DATE, key STRING",
+            ("file_name",),
+            "landed_date",
+            "scan_date",
+        ),
         Table(
             "radar_frames",
             "station STRING, timestamp TIMESTAMP, grid_km DOUBLE, resolution_km DOUBLE,"
