@@ -142,12 +142,18 @@ def micros(expr: str) -> str:
     return f"CAST(epoch_us({expr}) AS BIGINT)"
 
 
+def unit(expr: str, low: str = "-1.0") -> str:
+    """Clamp to [low, 1] that keeps NULL NULL."""
+    return f"(CASE WHEN ({expr}) IS NOT NULL THEN greatest({low}, least(1.0, {expr})) END)"
+
+
 def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    return (
-        f"(12742.0 * asin(least(1.0, sqrt(power(sin(radians(({lat2}) - ({lat1})) / 2), 2)"
+    root = (
+        f"sqrt(power(sin(radians(({lat2}) - ({lat1})) / 2), 2)"
         f" + cos(radians({lat1})) * cos(radians({lat2}))"
-        f" * power(sin(radians(({lon2}) - ({lon1})) / 2), 2)))))"
+        f" * power(sin(radians(({lon2}) - ({lon1})) / 2), 2))"
     )
+    return f"(12742.0 * asin({unit(root)}))"
 
 
 def wrap360(expr: str) -> str:
@@ -167,10 +173,11 @@ def bearing(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
 
 def dest_lat(lat: str, brg: str, km: str) -> str:
     arc = f"(({km}) / 6371.0)"
-    return (
-        f"degrees(asin(greatest(-1.0, least(1.0, sin(radians({lat})) * cos({arc})"
-        f" + cos(radians({lat})) * sin({arc}) * cos(radians({brg}))))))"
+    sine = (
+        f"sin(radians({lat})) * cos({arc})"
+        f" + cos(radians({lat})) * sin({arc}) * cos(radians({brg}))"
     )
+    return f"degrees(asin({unit(sine)}))"
 
 
 def dest_lon(lat: str, lon: str, brg: str, km: str) -> str:

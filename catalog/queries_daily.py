@@ -425,7 +425,7 @@ def q_baseline_scores(spark, sf_dir):
     with_ctes(
         "daily",
         FEATURES_SQL,
-        _preds_sql("features", "round(least(CAST(1 AS DOUBLE), precip_7d_mean_mm / 5), 6)"),
+        _preds_sql("features", "round(CASE WHEN precip_7d_mean_mm > 5 THEN 1 ELSE precip_7d_mean_mm / 5 END, 6)"),
         _JOINED,
         """scored AS (SELECT model_trained_at, horizon_days, actual_rain AS y, rain_probability AS s
   FROM joined WHERE actual_rain IS NOT NULL AND rain_probability IS NOT NULL)""",
@@ -440,7 +440,8 @@ FROM ranked GROUP BY 1, 2""",
 )
 def q_roc_auc(spark, sf_dir):
     daily = c_daily(spark, sf_dir)
-    chance = F.round(F.least(F.lit(1.0), F.col("precip_7d_mean_mm") / 5), 6)
+    wet = F.col("precip_7d_mean_mm")
+    chance = F.round(F.when(wet > 5, F.lit(1.0)).otherwise(wet / 5), 6)
     preds = D.persistence_days(D.daily_features(daily), _version("date"), chance)
     joined = V.join_outcomes(preds, daily)
     by = ["model_trained_at", "horizon_days"]

@@ -7,12 +7,17 @@ from pyspark.sql import Column, functions as F
 from skyloom.constants import EARTH_RADIUS_KM, KM_PER_DEG_LAT, KM_PER_DEG_LON_EQUATOR
 
 
+def _within(value: Column, low: float, high: float) -> Column:
+    """Clamp that keeps NULL NULL (``least`` and ``greatest`` skip NULLs)."""
+    return F.when(value > high, F.lit(high)).when(value < low, F.lit(low)).otherwise(value)
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """great-circle distance in km; the root is clamped to 1 for antipodes."""
     north = F.sin(F.radians(lat2 - lat1) / 2)
     east = F.sin(F.radians(lon2 - lon1) / 2)
     chord = north * north + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * east * east
-    return F.asin(F.least(F.lit(1.0), F.sqrt(chord))) * (2 * EARTH_RADIUS_KM)
+    return F.asin(_within(F.sqrt(chord), 0.0, 1.0)) * (2 * EARTH_RADIUS_KM)
 
 
 def compass(x: Column, y: Column) -> Column:
@@ -33,7 +38,7 @@ def destination(lat: Column, lon: Column, bearing: Column, km: Column) -> tuple[
     """(lat, lon) reached after ``km`` along ``bearing``; lon wraps to [-180, 180)."""
     a, course, arc = F.radians(lat), F.radians(bearing), km / EARTH_RADIUS_KM
     sin_end = F.sin(a) * F.cos(arc) + F.cos(a) * F.sin(arc) * F.cos(course)
-    sin_end = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sin_end))
+    sin_end = _within(sin_end, -1.0, 1.0)
     turn = F.atan2(F.sin(course) * F.sin(arc) * F.cos(a), F.cos(arc) - F.sin(a) * sin_end)
     return (
         F.degrees(F.asin(sin_end)),
@@ -54,4 +59,6 @@ def grid_position(km: Column, grid_km: Column, n: Column) -> Column:
 
 def clamp_index(position: Column, n: Column) -> Column:
     """F8: nearest cell (half to even), kept inside the grid."""
-    return F.greatest(F.lit(0), F.least(n.cast("int") - 1, F.rint(position).cast("int")))
+    cell = F.rint(position).cast("int")
+    last = n.cast("int") - 1
+    return F.when(cell < 0, F.lit(0)).when(cell > last, last).otherwise(cell)

@@ -12,8 +12,9 @@ SQL_FUNCTIONS = {
     "haversine_km": (
         "lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE",
         "DOUBLE",
-        "12742D * asin(least(1D, sqrt(power(sin(radians(lat2 - lat1) / 2), 2)"
-        " + cos(radians(lat1)) * cos(radians(lat2)) * power(sin(radians(lon2 - lon1) / 2), 2))))",
+        "12742D * asin(if(lat1 + lon1 + lat2 + lon2 IS NULL, NULL,"
+        " least(1D, sqrt(power(sin(radians(lat2 - lat1) / 2), 2)"
+        " + cos(radians(lat1)) * cos(radians(lat2)) * power(sin(radians(lon2 - lon1) / 2), 2)))))",
     ),
     "bearing_deg": (
         "lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE",
@@ -25,8 +26,9 @@ SQL_FUNCTIONS = {
     "destination_lat": (
         "lat DOUBLE, bearing DOUBLE, km DOUBLE",
         "DOUBLE",
-        "degrees(asin(greatest(-1D, least(1D, sin(radians(lat)) * cos(km / 6371D)"
-        " + cos(radians(lat)) * sin(km / 6371D) * cos(radians(bearing))))))",
+        "degrees(asin(if(lat + bearing + km IS NULL, NULL,"
+        " greatest(-1D, least(1D, sin(radians(lat)) * cos(km / 6371D)"
+        " + cos(radians(lat)) * sin(km / 6371D) * cos(radians(bearing)))))))",
     ),
     "destination_lon": (
         "lat DOUBLE, lon DOUBLE, bearing DOUBLE, km DOUBLE",
@@ -49,7 +51,8 @@ SQL_FUNCTIONS = {
     "grid_index": (
         "km DOUBLE, grid_km DOUBLE, n INT",
         "INT",
-        "greatest(0, least(n - 1, CAST(rint((km + grid_km) / (2D * grid_km) * (n - 1)) AS INT)))",
+        "if(km + grid_km + n IS NULL, NULL,"
+        " greatest(0, least(n - 1, CAST(rint((km + grid_km) / (2D * grid_km) * (n - 1)) AS INT))))",
     ),
     "dbz_class": (
         "dbz DOUBLE",

@@ -81,14 +81,13 @@ def hours_between(later: Column, earlier: Column) -> Column:
 
 def date_chunks(start: Column, end: Column, days: int = MAX_RANGE_DAYS) -> Column:
     """closed range -> array of (chunk_start, chunk_end), each at most ``days`` long."""
-    starts = F.sequence(start, end, F.make_dt_interval(F.lit(days)))
-    chunks = F.transform(
-        starts,
+    starts = F.sequence(start, F.greatest(start, end), F.make_dt_interval(F.lit(days)))
+    return F.transform(
+        F.filter(starts, lambda s: s <= end),
         lambda s: F.struct(
             s.alias("chunk_start"), F.least(end, F.date_add(s, days - 1)).alias("chunk_end")
         ),
     )
-    return F.when(start <= end, chunks).otherwise(F.filter(chunks, lambda _: F.lit(False)))
 
 
 def compact_time(ts: Column) -> Column:
