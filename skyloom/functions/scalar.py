@@ -34,8 +34,8 @@ def sentinel_number(text: Column, sentinels: tuple[float, ...] = TRACK_SENTINELS
 def hemisphere_degrees(text: Column) -> Column:
     """`94.8W` -> -94.8; S and W are negative."""
     bare = F.trim(text)
-    size = number(F.regexp_extract(bare, r"^(.*).$", 1))
-    return F.when(bare.rlike("[SW]$"), -size).otherwise(size)
+    size = number(F.substring(bare, F.lit(1), F.length(bare) - 1))
+    return F.when(F.right(bare, F.lit(1)).isin("S", "W"), -size).otherwise(size)
 
 
 def first_truthy(*values: Column) -> Column:

@@ -53,22 +53,25 @@ def frames_to_cells(frames: DataFrame, grid: str = _GRID, value: str = "dbz") ->
     )
 
 
-def latest_frames(frames: DataFrame, n: int = 2) -> DataFrame:
-    """K1: the newest ``n`` frames of every station that has at least ``n``.
+def latest_keys(frames: DataFrame, n: int = 2, keep: list[str] = ()) -> DataFrame:
+    """Keys of the newest ``n`` frames (``recency`` 1 = newest) of stations that have n.
 
-    Ranks the narrow (station, timestamp) columns - Spark cuts each map task to n
-    rows per station before the shuffle - and reads the grids of the winners only.
+    Narrow columns only, and Spark cuts each map task to n rows per station before
+    the shuffle (window group limit).
     """
     newest = Window.partitionBy("station").orderBy(F.col("timestamp").desc())
     keys = (
-        frames.select("station", "timestamp")
+        frames.select("station", "timestamp", *keep)
         .withColumn("recency", F.row_number().over(newest))
         .filter(F.col("recency") <= n)
     )
-    enough = keys.withColumn(
-        "_have", F.count(F.lit(1)).over(Window.partitionBy("station"))
-    ).filter(F.col("_have") == n)
-    return frames.join(enough.drop("_have"), ["station", "timestamp"])
+    have = F.count(F.lit(1)).over(Window.partitionBy("station"))
+    return keys.withColumn("_have", have).filter(F.col("_have") == n).drop("_have")
+
+
+def latest_frames(frames: DataFrame, n: int = 2) -> DataFrame:
+    """K1: the newest ``n`` frames of every station that has at least ``n``."""
+    return frames.join(latest_keys(frames, n), ["station", "timestamp"])
 
 
 def require_frames(frames: DataFrame, n: int = 2) -> None:
@@ -367,46 +370,54 @@ def regrid_gates(gates: DataFrame, grid_km: float, resolution_km: float) -> Data
     """Gates of the lowest sweep -> one Cartesian frame per scan.
 
     Each gate falls into its nearest cell; a cell is the mean of its gates weighted
-    by closeness to the cell centre, NULL without gates.  A scan's cells are bounded
-    by the grid, so collecting them into the frame's array is bounded too.
+    by closeness to the cell centre, NULL without gates.  Gates are summed per cell
+    before any shuffle.  A sweep's cells are bounded by the grid, so gathering them
+    into the frame's array is bounded too.
     """
     n = int(round(2 * grid_km / resolution_km))
     scan = ["station", "timestamp"]
-    lowest = gates.groupBy(*scan).agg(F.min("elevation_deg").alias("elevation_deg"))
-    cells = gate_cells(gates.join(lowest, [*scan, "elevation_deg"]), grid_km, n)
-    found = cells.groupBy(*scan).agg(
-        F.map_from_entries(
-            F.collect_list(F.struct((F.col("row") * n + F.col("col")).alias("k"), "dbz"))
-        ).alias("_cells")
+    cell = F.struct((F.col("row") * n + F.col("col")).alias("k"), F.col("dbz").alias("v"))
+    sweeps = (
+        gate_cells(gates, grid_km, n)
+        .groupBy(*scan, "elevation_deg")
+        .agg(F.collect_list(F.when(F.col("dbz").isNotNull(), cell)).alias("_cells"))
     )
+    lowest = sweeps.groupBy(*scan).agg(F.min_by("_cells", "elevation_deg").alias("_cells"))
     every = F.sequence(F.lit(0), F.lit(n * n - 1))
-    return found.select(
-        *scan,
-        F.lit(float(grid_km)).alias("grid_km"),
-        F.lit(float(resolution_km)).alias("resolution_km"),
-        F.transform(every, lambda i: F.try_element_at("_cells", i).cast("float")).alias(_GRID),
+    return (
+        lowest.withColumn("_cells", F.map_from_entries("_cells"))
+        .select(
+            *scan,
+            F.lit(float(grid_km)).alias("grid_km"),
+            F.lit(float(resolution_km)).alias("resolution_km"),
+            F.transform(every, lambda i: F.try_element_at("_cells", i).cast("float")).alias(_GRID),
+        )
     )
 
 
-def gate_cells(sweep: DataFrame, grid_km: float, n: int) -> DataFrame:
-    """The cells that hold gates, before they become an array."""
+def gate_cells(gates: DataFrame, grid_km: float, n: int) -> DataFrame:
+    """Weighted mean per (scan, sweep, cell).  Gates without echo or outside the grid
+    stay as one row of unknown cell, so that an empty lowest sweep is still the lowest."""
     azimuth = F.radians("azimuth_deg")
     x, y = F.col("range_km") * F.sin(azimuth), F.col("range_km") * F.cos(azimuth)
     half, side = F.lit(float(grid_km)), F.lit(n)
     px, py = grid_position(x, half, side), grid_position(y, half, side)
     col, row = F.rint(px).cast("int"), F.rint(py).cast("int")
     off = F.pow(px - col, F.lit(2.0)) + F.pow(py - row, F.lit(2.0))
+    usable = (
+        row.between(0, n - 1) & col.between(0, n - 1) & F.col("dbz").isNotNull() & ~F.isnan("dbz")
+    )
+    weight = F.lit(1.0) / (off + 0.01)
     return (
-        sweep.select(
+        gates.select(
             "station",
             "timestamp",
-            row.alias("row"),
-            col.alias("col"),
-            (F.lit(1.0) / (off + 0.01)).alias("_w"),
-            "dbz",
+            "elevation_deg",
+            F.when(usable, row).alias("row"),
+            F.when(usable, col).alias("col"),
+            F.when(usable, weight).alias("_w"),
+            F.when(usable, weight * F.col("dbz")).alias("_wv"),
         )
-        .filter(F.col("row").between(0, n - 1) & F.col("col").between(0, n - 1))
-        .filter(F.col("dbz").isNotNull() & ~F.isnan("dbz"))
-        .groupBy("station", "timestamp", "row", "col")
-        .agg((F.sum(F.col("_w") * F.col("dbz")) / F.sum("_w")).alias("dbz"))
+        .groupBy("station", "timestamp", "elevation_deg", "row", "col")
+        .agg((F.sum("_wv") / F.sum("_w")).alias("dbz"))
     )

@@ -237,9 +237,17 @@ def _frames(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _latest_flow(spark: SparkSession, root: str, block: int, radius: int) -> DataFrame:
-    frames = _frames(spark, root)
-    R.require_frames(frames, 2)
-    return R.block_flow(R.frame_pairs(R.latest_frames(frames, 2)), block, radius)
+    """Motion of every station's last two frames.
+
+    The day folders that hold them are looked up first (at most one value per
+    calendar day), so grids are read from those folders only.
+    """
+    table = read_table(spark, f"{root}/radar_frames", "radar_frames")
+    R.require_frames(table, 2)
+    keys = R.latest_keys(table, 2, keep=["scan_date"])
+    dates = [r[0] for r in keys.select("scan_date").distinct().collect()]
+    recent = table.filter(F.col("scan_date").isin(dates)).drop("scan_date")
+    return R.block_flow(R.frame_pairs(R.latest_frames(recent, 2)), block, radius)
 
 
 def nowcast(

@@ -16,6 +16,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # top-n per entity is cut per map task up to this n
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 

@@ -36,14 +36,15 @@ def read_best_track(spark: SparkSession, path: str, basin: str = "AL") -> DataFr
 
 
 def _fields(line):
-    return F.transform(F.split(line, ","), lambda field: F.trim(field))
+    """The leading fields of a line; what follows the eighth is not needed."""
+    return F.split(line, r"\s*,\s*", 9)
 
 
 def _fix_columns(header, data):
     """Columns of one data line, given the fields of its header."""
-    at = F.concat(F.get(data, 0), F.get(data, 1))
+    at = F.concat(F.trim(F.get(data, 0)), F.get(data, 1))
     return [
-        F.get(header, 0).alias("storm_id"),
+        F.trim(F.get(header, 0)).alias("storm_id"),
         F.get(header, 1).alias("name"),
         F.try_to_timestamp(at, F.lit("yyyyMMddHHmm")).alias("timestamp"),
         hemisphere_degrees(F.get(data, 4)).alias("lat"),

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from skyloom.operators.daily import latest_per_entity
 
 # --- fixed values: scan file names --------------------------------------------------
-SCAN_NAME = r"^([A-Z]{4})(\d{8}_\d{6})_V\d+"
+SCAN_NAME = r"^[A-Z]{4}\d{8}_\d{6}_V\d+"
 SIDECAR = "_MDM"
 # --------------------------------------------------------------------------------------
 
@@ -19,7 +19,7 @@ def read_listing(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_names(listing: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Last token of each line, without metadata sidecars and blank lines."""
-    name = F.regexp_extract("line", r"(\S+)\s*$", 1)
+    name = F.substring_index(F.trim(F.translate("line", "\t\r", "  ")), " ", -1)
     return listing.select(*keep, name.alias("file_name")).filter(
         (F.col("file_name") != "") & ~F.col("file_name").endswith(SIDECAR)
     )
@@ -27,10 +27,13 @@ def scan_names(listing: DataFrame, keep: list[str] = ()) -> DataFrame:
 
 def parse_scans(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(station, UTC time, day, key) of well-formed names, and the rejects."""
-    at = F.try_to_timestamp(F.regexp_extract("file_name", SCAN_NAME, 2), F.lit("yyyyMMdd_HHmmss"))
-    station = F.regexp_extract("file_name", SCAN_NAME, 1)
-    parsed = names.withColumn("station", station).withColumn("timestamp", at)
-    good = (F.col("station") != "") & F.col("timestamp").isNotNull()
+    # the pattern fixes the positions, so one match decides and substrings do the rest
+    named = F.col("file_name").rlike(SCAN_NAME)
+    stamp = F.when(named, F.substring("file_name", 5, 15))
+    parsed = names.withColumn("station", F.when(named, F.substring("file_name", 1, 4))).withColumn(
+        "timestamp", F.try_to_timestamp(stamp, F.lit("yyyyMMdd_HHmmss"))
+    )
+    good = F.col("timestamp").isNotNull()
     scans = (
         parsed.filter(good)
         .withColumn("scan_date", F.to_date("timestamp"))
@@ -39,7 +42,7 @@ def parse_scans(names: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.concat_ws("/", F.date_format("timestamp", "yyyy/MM/dd"), "station", "file_name"),
         )
     )
-    return scans, parsed.filter(~F.coalesce(good, F.lit(False))).select(*names.columns)
+    return scans, parsed.filter(~good).select(*names.columns)
 
 
 def scans_between(scans: DataFrame, start: Column, end: Column) -> DataFrame:
