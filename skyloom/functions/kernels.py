@@ -1,4 +1,4 @@
-"""The two numpy kernels that need random access into a grid.
+"""The numpy kernels that need random access into a grid.
 
 They are sent to the workers by value, so the executors need no copy of the package.
 """
@@ -92,3 +92,10 @@ def sample_moved(grid: np.ndarray, fx: np.ndarray, fy: np.ndarray, block: int, s
     south = ring[cy0, cx0] * (1 - wx) + ring[cy0, cx1] * wx
     north = ring[cy1, cx0] * (1 - wx) + ring[cy1, cx1] * wx
     return (south * (1 - wy) + north * wy).astype(np.float32).ravel()
+
+
+def spread_cells(keys: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Known cells laid into a grid of ``size`` cells, NaN elsewhere."""
+    grid = np.full(size, np.nan, dtype=np.float32)
+    grid[np.asarray(keys, dtype=np.int64)] = np.asarray(values, dtype=np.float32)
+    return grid

@@ -57,15 +57,10 @@ def owned_merge(
                    true the stored row stays as it is
     """
     insert_values = insert_values or {}
+    # column by column, so that all-numeric ownership aggregates by hash
     folded = new.groupBy(*keys).agg(
-        F.max_by(F.struct(*owned), F.col(seq)).alias("_last")
-        if owned
-        else F.lit(None).cast("struct<_none:int>").alias("_last"),
-        *(
-            [F.min_by(F.struct(*insert_only), F.col(seq)).alias("_first")]
-            if insert_only
-            else []
-        ),
+        *[F.max_by(c, seq).alias(f"_last_{c}") for c in owned],
+        *[F.min_by(c, seq).alias(f"_first_{c}") for c in insert_only],
         F.count(F.lit(1)).alias("_n"),
     )
     old = stored.alias("old").withColumn("_stored", F.lit(True)).alias("old")
@@ -83,9 +78,9 @@ def owned_merge(
             continue
         kind = stored.schema[c].dataType
         if c in owned:
-            value = F.when(insert | update, F.col(f"_last.{c}")).otherwise(F.col(f"old.{c}"))
+            value = F.when(insert | update, F.col(f"_last_{c}")).otherwise(F.col(f"old.{c}"))
         elif c in insert_only:
-            value = F.when(insert, F.col(f"_first.{c}")).otherwise(F.col(f"old.{c}"))
+            value = F.when(insert, F.col(f"_first_{c}")).otherwise(F.col(f"old.{c}"))
         elif c in insert_values:
             value = F.when(insert, insert_values[c]).otherwise(F.col(f"old.{c}"))
         else:

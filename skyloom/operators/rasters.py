@@ -3,8 +3,8 @@
 A frame is one row with a row-major ``ARRAY<FLOAT>`` of n*n cells.  Frames are
 independent rows, so every kernel here is a narrow transformation; the only
 shuffles are the ones that pair frames in time, and they carry keys or one grid
-per slice.  Two kernels (block matching, bilinear sampling) need random access
-into the grid and run as small numpy functions over Arrow batches; everything
+per slice.  Three kernels (block matching, bilinear sampling, laying out gates) need
+random access into the grid and run as small numpy functions over Arrow batches; everything
 else is built-in expressions.
 """
 
@@ -26,7 +26,7 @@ from skyloom.constants import (
 )
 from skyloom.errors import InsufficientFramesError
 from skyloom.functions.cells import dbz_class, filled, filled_grid, grid_side
-from skyloom.functions.kernels import match_blocks, pixels, sample_moved
+from skyloom.functions.kernels import match_blocks, pixels, sample_moved, spread_cells
 from skyloom.functions.geo import clamp_index, grid_position, km_offset
 from skyloom.functions.scalar import hours_between, plus_minutes
 from skyloom.operators.nearest import nearest_join
@@ -86,14 +86,12 @@ def require_frames(frames: DataFrame, n: int = 2) -> None:
 def frame_pairs(frames: DataFrame, slice_s: float = _PAIR_SLICE_S) -> DataFrame:
     """Every frame with its predecessor's grid and the interval in minutes (> 0)."""
     paired = with_previous(
-        frames, ["station"], "timestamp", ["timestamp", _GRID], time_slice(F.col("timestamp"), slice_s)
+        frames, ["station"], "timestamp", [_GRID], time_slice(F.col("timestamp"), slice_s)
     )
-    minutes = hours_between(F.col("timestamp"), F.col("prev.timestamp")) * 60
+    minutes = hours_between(F.col("timestamp"), F.col("prev_timestamp")) * 60
     return (
-        paired.withColumn("prev_timestamp", F.col("prev.timestamp"))
-        .withColumn("prev_dbz", F.col(f"prev.{_GRID}"))
+        paired.withColumnRenamed(f"prev_{_GRID}", "prev_dbz")
         .withColumn("interval_minutes", minutes)
-        .drop("prev")
         .filter(F.col("interval_minutes") > 0)
     )
 
@@ -158,21 +156,22 @@ def advect(frames: DataFrame, scale: Column, out: str, grid: str = _GRID) -> Dat
 def nowcast(
     pairs_with_flow: DataFrame, lead_minutes: float = DEFAULT_LEAD_MINUTES
 ) -> DataFrame:
-    """Both methods' forecast grids, one row each."""
+    """Both methods' forecast grids, one row each.
+
+    Only the method name is unrolled, so a reader of the keys never computes a grid.
+    """
     lead = F.lit(float(lead_minutes))
     moved = advect(pairs_with_flow, lead / F.col("interval_minutes"), "_moved")
-    both = F.array(
-        F.struct(F.lit(PERSISTENCE).alias("method"), filled_grid(F.col(_GRID)).alias(_GRID)),
-        F.struct(F.lit(MOTION).alias("method"), F.col("_moved").alias(_GRID)),
-    )
-    return moved.withColumn("_forecast", F.explode(both)).select(
+    methods = F.explode(F.array(F.lit(PERSISTENCE), F.lit(MOTION)))
+    grid = F.when(F.col("method") == MOTION, F.col("_moved")).otherwise(filled_grid(F.col(_GRID)))
+    return moved.withColumn("method", methods).select(
         F.col("timestamp").alias("predicted_at"),
         plus_minutes(F.col("timestamp"), lead).alias("valid_at"),
         lead.alias("lead_minutes"),
-        "_forecast.method",
+        "method",
         "station",
         *_PLACE,
-        F.col(f"_forecast.{_GRID}").alias(_GRID),
+        grid.alias(_GRID),
     )
 
 
@@ -383,15 +382,17 @@ def regrid_gates(gates: DataFrame, grid_km: float, resolution_km: float) -> Data
         .agg(F.collect_list(F.when(F.col("dbz").isNotNull(), cell)).alias("_cells"))
     )
     lowest = sweeps.groupBy(*scan).agg(F.min_by("_cells", "elevation_deg").alias("_cells"))
-    every = F.sequence(F.lit(0), F.lit(n * n - 1))
-    return (
-        lowest.withColumn("_cells", F.map_from_entries("_cells"))
-        .select(
-            *scan,
-            F.lit(float(grid_km)).alias("grid_km"),
-            F.lit(float(resolution_km)).alias("resolution_km"),
-            F.transform(every, lambda i: F.try_element_at("_cells", i).cast("float")).alias(_GRID),
-        )
+
+    @F.pandas_udf("array<float>")
+    def dense(keys: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([spread_cells(k, v, n * n) for k, v in zip(keys, values)])
+
+    laid = dense(F.col("_cells.k"), F.col("_cells.v"))
+    return lowest.select(
+        *scan,
+        F.lit(float(grid_km)).alias("grid_km"),
+        F.lit(float(resolution_km)).alias("resolution_km"),
+        F.transform(laid, lambda v: F.nanvl(v, F.lit(None).cast("float"))).alias(_GRID),
     )
 
 

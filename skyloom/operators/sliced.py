@@ -32,33 +32,42 @@ def with_previous(
     order: str,
     fields: list[str],
     slice_of: Column,
-    out: str = "prev",
     first: str | None = None,
 ) -> DataFrame:
-    """Add struct ``out`` with ``fields`` of the entity's previous row (NULL on its first row).
+    """Add ``prev_<field>`` of the entity's previous row (NULL on its first row).
 
     ``first`` names an optional column for the entity's smallest ``order`` value.
-    ``order`` must be unique within the entity.
+    ``order`` must be unique within the entity and is always among the fields.
+    Fields stay separate columns: unused ones are pruned down to the scan, and
+    numeric ones aggregate by hash.
     """
+    fields = [order, *[f for f in fields if f != order]]
     sliced = df.withColumn(_SLICE, slice_of)
-    payload = F.struct(*[F.col(c) for c in fields])
     in_slice = Window.partitionBy(*by, _SLICE).orderBy(order)
     across = Window.partitionBy(*by).orderBy(_SLICE)
     edges = (
         sliced.groupBy(*by, _SLICE)
-        .agg(F.max_by(payload, F.col(order)).alias("_last"), F.min(order).alias("_first"))
+        .agg(
+            *[F.max_by(f, order).alias(f"_last_{f}") for f in fields],
+            F.min(order).alias("_first"),
+        )
         .select(
             *by,
             _SLICE,
-            F.lag("_last").over(across).alias("_carry"),
+            *[F.lag(f"_last_{f}").over(across).alias(f"_carry_{f}") for f in fields],
             F.min("_first").over(across).alias("_start"),
         )
     )
-    joined = lookup_edges(sliced.withColumn(out, F.lag(payload).over(in_slice)), by, edges)
-    result = joined.withColumn(out, F.coalesce(F.col(out), F.col("_carry")))
-    if first:
-        result = result.withColumn(first, F.col("_start"))
-    return result.drop(_SLICE, "_carry", "_start")
+    lagged = sliced.select("*", *[F.lag(f).over(in_slice).alias(f"_lag_{f}") for f in fields])
+    heads_slice = F.col(f"_lag_{order}").isNull()
+    return lookup_edges(lagged, by, edges).select(
+        *df.columns,
+        *[
+            F.when(heads_slice, F.col(f"_carry_{f}")).otherwise(F.col(f"_lag_{f}")).alias(f"prev_{f}")
+            for f in fields
+        ],
+        *([F.col("_start").alias(first)] if first else []),
+    )
 
 
 def fill_forward(

@@ -112,13 +112,14 @@ def test_sliced_results_equal_plain_windows(spark, walk, width):
         "entity",
         "at",
         F.lag("v").over(w).alias("pv"),
+        F.lag("mark").over(w).alias("pm"),
         F.min("at").over(Window.partitionBy("entity")).alias("born"),
         F.last("mark", ignorenulls=True).over(upto).alias("head"),
         F.coalesce(F.sum("v").over(before), F.lit(0.0)).alias("below"),
     )
     cut = time_slice(F.col("at"), width)
-    prev = with_previous(walk, ["entity"], "at", ["v"], cut, first="born").select(
-        "entity", "at", F.col("prev.v").alias("pv"), "born"
+    prev = with_previous(walk, ["entity"], "at", ["v", "mark"], cut, first="born").select(
+        "entity", "at", F.col("prev_v").alias("pv"), F.col("prev_mark").alias("pm"), "born"
     )
     head = fill_forward(walk, ["entity"], "at", "mark", cut, "head").select("entity", "at", "head")
     total = running_total_before(walk, ["entity"], "at", "v", cut, "below").select("entity", "at", "below")
