@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.carrier_sql import day, micros, r6, with_ctes
-from catalog.carriers import c_daily, c_long, c_obs, c_scans, c_stations, events, load
+from catalog.carriers import as_stored, c_daily, c_long, c_obs, c_scans, c_stations, events, load
 from catalog.registry import present, query
 from skyloom.functions.scalar import date_chunks, rain_flag
 from skyloom.operators import daily as D, tracks as K
@@ -351,7 +351,7 @@ def _track_text(spark, sf_dir):
         F.when(k % 20 == 0, "-999").when(k % 21 == 0, "   ").otherwise((20 + k).cast("string")),
         F.when(k % 11 == 0, "-999").otherwise((1010 - k).cast("string")),
     )
-    return events(spark, sf_dir).select("event_id", "user_id", header.alias("header"), data.alias("data"))
+    return events(spark, sf_dir).select("event_id", "user_id", header.alias("header"), as_stored(data).alias("data"))
 
 
 _TRACK = f"""SELECT event_id, 'AL' || lpad(CAST(user_id % 10000 AS VARCHAR), 4, '0') || '2024' AS storm_id,

@@ -17,6 +17,12 @@ def read_listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a folder as listing lines; the file contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return found.select(F.substring_index("path", "/", -1).alias("line"))
+
+
 def scan_names(listing: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Last token of each line, without metadata sidecars and blank lines."""
     name = F.substring_index(F.trim(F.translate("line", "\t\r", "  ")), " ", -1)

@@ -28,9 +28,13 @@ def with_partition(df: DataFrame, table: Table) -> DataFrame:
     return df.withColumn(table.partition, F.expr(table.partition_expr))
 
 
-def read_table(spark: SparkSession, path: str, table: str | Table) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, table: str | Table, skip_corrupt: bool = False
+) -> DataFrame:
     """The table with its declared columns; older files lacking late columns give NULL.
 
+    ``skip_corrupt`` leaves out unreadable files and goes on (P14).
+
     No order is imposed; sort where rows are shown.  The partition column is kept so
     that filters on it prune directories.
     """
@@ -41,7 +45,7 @@ def read_table(spark: SparkSession, path: str, table: str | Table) -> DataFrame:
     if spec.partition:
         kind = with_partition(spark.createDataFrame([], spec.schema), spec).schema[spec.partition]
         schema = schema.add(kind)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).option("ignoreCorruptFiles", skip_corrupt).parquet(path)
 
 
 def evolve(df: DataFrame, table: str | Table) -> DataFrame:

@@ -106,6 +106,24 @@ def test_broken_document_is_skipped_and_the_batch_goes_on(spark):
     good = json.dumps({"activeStorms": [{"id": "al012026", "name": "X"}]})
     bad = spark.createDataFrame([("{not json",), (good,)], "doc string")
     assert [r["id"] for r in feeds.parse_active_storms(bad).collect()] == ["al012026"]
+    assert [r["doc"] for r in feeds.broken_documents(bad).collect()] == ["{not json"]
+
+
+def test_corrupt_files_are_skipped_on_request(spark, tmp_path):
+    path = tmp_path / "scans"
+    names = spark.createDataFrame([("KOHX20260704_120000_V06",)], "file_name string")
+    rows = scans.parse_scans(names)[0].withColumn("ingest_seq", F.lit(0))
+    insert_ignore(spark, str(path), "radar_scans", rows, "ingest_seq")
+    (path / "landed_date=2026-07-04" / "broken.parquet").write_bytes(b"PAR1 nonsense")
+    assert read_table(spark, str(path), "radar_scans", skip_corrupt=True).count() == 1
+
+
+def test_folder_as_listing(spark, tmp_path):
+    for name in ("KOHX20260704_120000_V06", "KOHX20260704_120000_V06_MDM", "junk"):
+        (tmp_path / name).write_bytes(b"x")
+    good, bad = scans.parse_scans(scans.scan_names(scans.list_files(spark, str(tmp_path))))
+    assert [r["file_name"] for r in good.collect()] == ["KOHX20260704_120000_V06"]
+    assert [r["file_name"] for r in bad.collect()] == ["junk"]
 
 
 def test_active_storm_fields(spark):
