@@ -226,7 +226,7 @@ def regrid(
     resolution_km: float = 1.0,
 ) -> DataFrame:
     """radar-decode-pending, radar-backfill: G9, S10.  ``sites`` gives latitude and longitude."""
-    frames = R.regrid_gates(gates, grid_km, resolution_km).join(sites, "station")
+    frames = R.regrid_gates(gates, grid_km, resolution_km).join(sites, "station", "left")
     return replace_into(
         spark, f"{root}/radar_frames", "radar_frames", frames.withColumn(SEQ, F.lit(0)), SEQ
     )

@@ -236,7 +236,7 @@ def test_latest_frames_cut_before_the_shuffle_and_read_no_grids_to_rank(spark, t
 def test_results_do_not_depend_on_the_number_of_partitions(spark, partitions):
     from __spark_entry__ import QUERIES
 
-    names = ["q_daily_features", "q_asof_eval", "q_storm_motion", "q_merge_gapfill", "q_roc_auc", "q_grid_score"]
+    names = ["q_asof_eval", "q_storm_motion", "q_merge_gapfill", "q_roc_auc"]
     base = {n: sorted(map(str, QUERIES[n](spark, SF).collect())) for n in names}
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
