@@ -72,15 +72,24 @@ def _write(df: DataFrame, path: str, table: Table, mode: str) -> None:
     writer.parquet(path)
 
 
-def touched(stored: DataFrame, new: DataFrame, table: Table) -> DataFrame:
-    """Stored rows of the directory partitions that ``new`` falls into.
+def only_partitions(stored: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Stored rows whose directory partition is among the values of the one-column ``wanted``.
 
-    The semi join is on the partition column, so Spark prunes directories at run time.
+    The distinct values are looked up first - at most one per calendar day or year - so
+    the filter is a literal list and the other directories are not even listed for
+    reading.  A run-time semi join would prune only where Spark judges it selective.
     """
+    values = [r[0] for r in wanted.distinct().collect() if r[0] is not None]
+    return stored.filter(F.col(column).isin(values))
+
+
+def touched(stored: DataFrame, new: DataFrame, table: Table) -> DataFrame:
+    """Stored rows of the directory partitions that ``new`` falls into."""
     if table.partition is None:
         return stored
-    days = with_partition(new, table).select(table.partition).distinct()
-    return stored.join(days, table.partition, "left_semi")
+    return only_partitions(
+        stored, table.partition, with_partition(new, table).select(table.partition)
+    )
 
 
 def insert_ignore(spark: SparkSession, path: str, name: str, new: DataFrame, seq: str) -> DataFrame:

@@ -20,7 +20,13 @@ from skyloom.operators.merge import merge_enrichment, merge_gapfill, table_part
 from skyloom.operators.sliced import time_slice
 from skyloom.operators.verify import join_fixes
 from skyloom.sources.scans import parse_scans, scan_names
-from skyloom.sources.tables import insert_ignore, merge_into, read_table, replace_into
+from skyloom.sources.tables import (
+    insert_ignore,
+    merge_into,
+    only_partitions,
+    read_table,
+    replace_into,
+)
 
 SEQ = "ingest_seq"
 
@@ -76,11 +82,11 @@ def refresh_days(spark: SparkSession, root: str, reports: DataFrame, tz: str | C
         "station_id", local_date(F.col("timestamp"), tz).alias("_day")
     ).distinct()
     around = days.select(
-        F.explode(F.array(F.date_sub("_day", 1), F.col("_day"), F.date_add("_day", 1))).alias("obs_date")
-    ).distinct()
+        F.explode(F.array(F.date_sub("_day", 1), F.col("_day"), F.date_add("_day", 1)))
+    )
+    observations = read_table(spark, f"{root}/observations", "observations")
     stored = (
-        read_table(spark, f"{root}/observations", "observations")
-        .join(around, "obs_date", "left_semi")
+        only_partitions(observations, "obs_date", around)
         .withColumn("_day", local_date(F.col("timestamp"), tz))
         .join(days, ["station_id", "_day"], "left_semi")
     )
@@ -191,8 +197,12 @@ def match_tracks(
                     )
                 ).alias("_slice"),
             ).distinct()
+            # forecasts reach less than a year ahead, so the seasons beside the fixes' own suffice
+            year = F.year("timestamp")
+            seasons = batch.select(F.explode(F.array(year - 1, year, year + 1)))
+            forecasts = read_table(spark, f"{root}/hurricane_predictions", "hurricane_predictions")
             due = (
-                read_table(spark, f"{root}/hurricane_predictions", "hurricane_predictions")
+                only_partitions(forecasts, "season", seasons)
                 .withColumn("_slice", time_slice(F.col("valid_at"), _SLICE_S))
                 .join(touched, ["storm_id", "_slice"], "left_semi")
                 .drop("_slice", "season", "storm_name")
@@ -201,8 +211,9 @@ def match_tracks(
                 "storm_id",
                 F.explode(F.array(*[F.col("_slice") + d for d in (-1, 0, 1)])).alias("_slice"),
             ).distinct()
+            known = read_table(spark, f"{root}/hurricane_fixes", "hurricane_fixes")
             truth = (
-                read_table(spark, f"{root}/hurricane_fixes", "hurricane_fixes")
+                only_partitions(known, "season", seasons)
                 .withColumn("_slice", time_slice(F.col("timestamp"), _SLICE_S))
                 .join(near, ["storm_id", "_slice"], "left_semi")
                 .drop("_slice", "season")

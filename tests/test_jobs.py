@@ -15,7 +15,7 @@ from skyloom.operators import daily as D, rasters as R, tracks as K, verify as V
 from skyloom.operators.merge import merge_gapfill
 from skyloom.plans import jobs
 from skyloom.sources.schemas import TABLES
-from skyloom.sources.tables import read_table, replace_into
+from skyloom.sources.tables import read_table, replace_into, touched
 from skyloom.streaming import jobs as streams
 from test_rasters import blob, frame, frames
 from test_sources import CSV, LISTING, TRACK
@@ -224,6 +224,18 @@ def test_date_filter_and_columns_reach_the_scan(spark, tmp_path):
     assert "humidity_pct" not in text.split("ReadSchema:")[1]
 
 
+def test_a_merge_reads_only_the_partitions_it_touches(spark, tmp_path):
+    path = str(tmp_path / "daily")
+    rows = c_daily(spark, SF)
+    replace_into(spark, path, "daily_observations", rows, "ingest_seq")
+    table = TABLES["daily_observations"]
+    some = rows.filter(F.year("date").isin(1996, 1998))
+    kept = touched(read_table(spark, path, table), some, table)
+    assert {r[0] for r in kept.select("obs_year").distinct().collect()} == {1996, 1998}
+    filters = plan(kept).split("PartitionFilters: [")[1].split("]")[0]
+    assert filters.startswith("obs_year") and "1996" in filters and "1998" in filters and "1997" not in filters
+
+
 def test_latest_frames_cut_before_the_shuffle_and_read_no_grids_to_rank(spark, tmp_path):
     path = str(tmp_path / "frames")
     replace_into(spark, path, "radar_frames", frames(spark, frame(blob(5)), frame(blob(6), 5)).withColumn("q", F.lit(0)), "q")
