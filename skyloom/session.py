@@ -30,12 +30,14 @@ def configure(spark: SparkSession) -> SparkSession:
 def workspace(spark: SparkSession, purpose: str) -> str:
     """A new folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) is a temporary folder made
-    and set as the checkpoint folder of the session.
+    Only a local master that names none (tests) gets a temporary folder, set as the checkpoint
+    folder of the session; a cluster without a shared folder is an error.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="skyloom-")
         context.setCheckpointDir(base)
     elif not context.getCheckpointDir():
