@@ -76,3 +76,11 @@ def with_columns(
                 )
 
     return source.mapInArrow(run, schema)
+
+
+def process_store(name: str, make: Callable[[], object]):
+    """An object kept in this Python process under ``name``: workers live on from task to task."""
+    holder = sys.modules.setdefault("_skyloom_store", type(sys)("_skyloom_store"))
+    if not hasattr(holder, name):
+        setattr(holder, name, make())
+    return getattr(holder, name)

@@ -3,6 +3,16 @@
 from __future__ import annotations
 
 from skyloom.llm.decontaminate import OP2_SQL, op2_decontaminate
+from skyloom.llm.pieces import op1_sentencepiece
+from skyloom.llm.pii import op10_pii
+from skyloom.llm.quality import op6_quality
+from skyloom.llm.token_store import op4_token_store
 
-QUERIES = {"op2_decontaminate": op2_decontaminate}
+QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_decontaminate": op2_decontaminate,
+    "op4_token_store": op4_token_store,
+    "op6_quality": op6_quality,
+    "op10_pii": op10_pii,
+}
 ORACLES = {"op2_decontaminate": OP2_SQL}
