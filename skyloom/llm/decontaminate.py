@@ -2,8 +2,8 @@
 
 A gram is ten consecutive words of a benchmark item, or the whole item where it is shorter.
 The grams of the benchmark are a small set: their number and bytes are measured, and they are
-broadcast only below ``BROADCAST_BYTES``; beyond it the same join shuffles. Every window of
-every document looks itself up by a 64-bit hash, and a hit is verified on the words.
+broadcast in slices of ``BROADCAST_BYTES`` at most, each of which scans the documents. Every window of
+every document looks itself up by a hash of a few of its words, and a hit is verified on all of them.
 """
 
 from __future__ import annotations
@@ -26,15 +26,9 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), "")
 
 
-def windows(tokens: Column, size: Column, n: int) -> Column:
-    """All windows of ``n`` words as (pos, len, gram); pos counts from 1."""
-    every = F.transform(
-        F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))),
-        lambda i: F.struct(
-            i.alias("pos"), F.lit(n).alias("len"), F.concat_ws(" ", F.slice(tokens, i, n)).alias("gram")
-        ),
-    )
-    return F.when(size >= n, every).otherwise(F.array().cast("array<struct<pos:int,len:int,gram:string>>"))
+def fingerprint(tokens: Column, at: Column, n: int) -> Column:
+    """A hash of up to four words spread over the ``n`` words from ``at`` (from 0): a window's address, not its proof."""
+    return F.xxhash64(F.lit(n), *(F.get(tokens, at + k) for k in sorted({0, n // 3, 2 * n // 3, n - 1})))
 
 
 def grams(benchmark: DataFrame, n: int = GRAM) -> DataFrame:
@@ -70,24 +64,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = GRAM) -> DataFram
         F.sort_array(F.collect_set("len")).alias("lengths"),
         F.coalesce(F.sum(F.length("gram") + F.size("items") * 16 + 64), F.lit(0)).alias("bytes"),
     ).first()
+    lengths = facts["lengths"]
     known = known.select(
-        F.xxhash64("gram").alias("known_hash"), F.col("gram").alias("known_gram"), F.col("items").alias("found")
+        F.split("gram", " ").alias("g"), F.col("gram").alias("known_gram"), F.col("len").alias("known_len"), "items"
+    ).select(
+        F.coalesce(
+            *(F.when(F.col("known_len") == k, fingerprint(F.col("g"), F.lit(0), k)) for k in lengths),
+            F.lit(None).cast("long"),
+        ).alias("address"),
+        "known_gram",
+        "known_len",
+        F.col("items").alias("found"),
     )
-    if facts["bytes"] <= BROADCAST_BYTES:
-        known = F.broadcast(known)
     split = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
-    size = F.size("w")
-    # pos 0 stands for the document itself, so that each keeps a row
-    whole = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("gram")))
-    scanned = split.select(
-        "doc_id",
-        "row",
-        size.alias("n_words"),
-        F.concat(whole, *(windows(F.col("w"), size, k) for k in facts["lengths"])).alias("every"),
-    ).select("doc_id", "row", "n_words", F.inline("every"))
-    met = scanned.join(
-        known, (F.xxhash64("gram") == F.col("known_hash")) & (F.col("gram") == F.col("known_gram")), "left"
-    ).where((F.col("pos") == 0) | F.col("known_gram").isNotNull())
+    slices = -(-facts["bytes"] // BROADCAST_BYTES) or 1
+    met = None
+    for k in range(slices):
+        part = known if slices == 1 else known.where(F.pmod("address", F.lit(slices)) == k)
+        some = matches(split, part, lengths)
+        met = some if met is None else met.unionByName(some)
     hit = F.when(F.col("pos") > 0, F.struct("pos", "len"))
     return (
         met.groupBy("row", "doc_id")
@@ -100,6 +95,37 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = GRAM) -> DataFram
     )
 
 
+def matches(split: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
+    """Verified hits of the windows of ``split`` and a row with pos 0 for each of its rows; ``known`` is broadcast."""
+
+    def addresses(n: int) -> Column:
+        return F.transform("w", lambda _, i: fingerprint(F.col("w"), i, n))
+
+    # one address for each length and word, behind one that stands for the document
+    addressed = split.select(
+        "doc_id",
+        "row",
+        "w",
+        F.size("w").alias("n_words"),
+        F.concat(F.array(F.lit(0).cast("long")), *map(addresses, lengths)).alias("every"),
+    ).select("doc_id", "row", "w", "n_words", F.posexplode("every").alias("at", "window"))
+    pos = F.pmod(F.col("at") - 1, F.greatest("n_words", F.lit(1))) + 1
+    window = F.concat_ws(" ", F.slice("w", pos, F.col("known_len")))
+    found = (F.col("window") == F.col("address")) & (F.col("at") > 0) & (window == F.col("known_gram"))
+    return (
+        addressed.join(F.broadcast(known), found, "left")
+        .where((F.col("at") == 0) | F.col("known_gram").isNotNull())
+        .select(
+            "row",
+            "doc_id",
+            "n_words",
+            F.when(F.col("at") > 0, pos).otherwise(0).alias("pos"),
+            F.col("known_len").alias("len"),
+            "found",
+        )
+    )
+
+
 def hit_words(hits: Column) -> Column:
     """The positions of all words inside a hit, each once."""
     return F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["pos"], h["pos"] + h["len"] - 1))))

@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from skyloom.llm.decontaminate import OP2_SQL, op2_decontaminate
+from skyloom.llm.html_text import op5_html
 from skyloom.llm.pieces import op1_sentencepiece
 from skyloom.llm.pii import op10_pii
 from skyloom.llm.quality import op6_quality
 from skyloom.llm.token_store import op4_token_store
+from skyloom.llm.url_rules import op9_url_rules
+from skyloom.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_decontaminate": op2_decontaminate,
     "op4_token_store": op4_token_store,
+    "op5_html": op5_html,
     "op6_quality": op6_quality,
+    "op8_warc": op8_warc,
+    "op9_url_rules": op9_url_rules,
     "op10_pii": op10_pii,
 }
-ORACLES = {"op2_decontaminate": OP2_SQL}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op8_warc": OP8_SQL}

@@ -306,7 +306,6 @@ def read_files(spark, folder: str, files: DataFrame) -> DataFrame:
     file the ids of all files before it. A missing file makes a start null.
     """
     bounded_batches(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a file
     content = spark.read.format("binaryFile").option("pathGlobFilter", "*.wavm").load(folder).select("path", "content")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
