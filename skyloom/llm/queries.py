@@ -9,11 +9,13 @@ from skyloom.llm.pii import op10_pii
 from skyloom.llm.quality import op6_quality
 from skyloom.llm.token_store import op4_token_store
 from skyloom.llm.url_rules import op9_url_rules
+from skyloom.llm.vector_dedup import OP3_SQL, op3_vector_dedup
 from skyloom.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_decontaminate": op2_decontaminate,
+    "op3_vector_dedup": op3_vector_dedup,
     "op4_token_store": op4_token_store,
     "op5_html": op5_html,
     "op6_quality": op6_quality,
@@ -21,4 +23,4 @@ QUERIES = {
     "op9_url_rules": op9_url_rules,
     "op10_pii": op10_pii,
 }
-ORACLES = {"op2_decontaminate": OP2_SQL, "op8_warc": OP8_SQL}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op3_vector_dedup": OP3_SQL, "op8_warc": OP8_SQL}
