@@ -145,12 +145,12 @@ def digest(leaks: DataFrame) -> DataFrame:
 def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = GRAM) -> DataFrame:
     """The documents without any hit, with all their columns.
 
-    Rows are matched by text and not by id, so repeated and null ids do no harm: a text that leaks
-    goes in all its rows.
+    Rows are told apart by a hash of their text and not by id, so repeated and null ids do no harm: a
+    text that leaks goes in all its rows.
     """
-    leaking = find_leaks(docs.select(F.col("text").alias("doc_id"), "text"), benchmark, n)
-    leaking = leaking.where(F.size("hits") > 0).select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("t"))
-    return docs.join(leaking.distinct(), (F.xxhash64("text") == F.col("h")) & (F.col("text") == F.col("t")), "left_anti")
+    leaks = find_leaks(docs.select(F.md5("text").alias("doc_id"), "text"), benchmark, n)
+    leaking = leaks.where(F.size("hits") > 0).select(F.col("doc_id").alias("leaking")).distinct()
+    return docs.join(leaking, F.md5("text") == F.col("leaking"), "left_anti")
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = GRAM) -> DataFrame:

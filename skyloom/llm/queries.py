@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from skyloom.llm.decontaminate import OP2_SQL, op2_decontaminate
 from skyloom.llm.html_text import op5_html
+from skyloom.llm.jaccard import op7_jaccard
 from skyloom.llm.pieces import op1_sentencepiece
 from skyloom.llm.pii import op10_pii
 from skyloom.llm.quality import op6_quality
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_token_store": op4_token_store,
     "op5_html": op5_html,
     "op6_quality": op6_quality,
+    "op7_jaccard": op7_jaccard,
     "op8_warc": op8_warc,
     "op9_url_rules": op9_url_rules,
     "op10_pii": op10_pii,
