@@ -57,24 +57,24 @@ class Words:
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, words: set[str], known: dict[str, bytes], before: str) -> None:
+    def lookup(self, words: set[str], known: dict[str, bytes], before: str) -> dict[str, bytes]:
+        """Ids of the given words at least. A full memory keeps its words, which are the frequent ones."""
         missing = [w for w in words if w not in known]
-        if len(known) + len(missing) > REMEMBERED:
-            known.clear()
-            missing = list(words)
+        grows = len(known) + len(missing) <= REMEMBERED
+        found = known if grows else {w: known[w] for w in words if w in known}
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
             got = self.tokenizer.encode_batch_fast([before + w for w in part], add_special_tokens=False)
             for w, e in zip(part, got):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+                found[w] = np.array(e.ids, dtype="<u4").tobytes()
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (little-endian, 32 bits) of each text."""
         lines = [None if UNEVEN.search(t) else [x.split(" ") for x in t.split("\n")] if t else [] for t in texts]
         flat = [x for doc in lines if doc for x in doc]
-        self.learn({x[0] for x in flat}, self.first, "")
-        self.learn(set(chain.from_iterable(x[1:] for x in flat)), self.inner, " ")
-        first, inner = self.first.__getitem__, self.inner.__getitem__
+        first = self.lookup({x[0] for x in flat}, self.first, "").__getitem__
+        inner = self.lookup(set(chain.from_iterable(x[1:] for x in flat)), self.inner, " ").__getitem__
         return [
             self._ids(text)
             if doc is None
