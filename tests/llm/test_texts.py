@@ -73,10 +73,20 @@ def test_unigram_paths_have_the_best_score(tmp_path):
     path.write_bytes(proto.SerializeToString())
     unigram = pieces.Model(str(path))
     assert unigram.kind == pieces.UNIGRAM
-    for text in ("the whole thing", "another sentence of words", "ununumbereded"):
-        score = [sum(unigram.processor.get_score(i) for i in ids) for ids in (
-            np.frombuffer(unigram.encode(text), "<u4").tolist(), unigram.processor.encode(text))]
-        assert score[0] == pytest.approx(score[1])
+
+    def best(text):
+        """The best score over all ways to cut a text into pieces."""
+        if not text:
+            return 0.0
+        return max(
+            (unigram.score_of[text[:n]] + best(text[n:]) for n in range(1, len(text) + 1) if text[:n] in unigram.score_of),
+            default=float("-inf"),
+        )
+
+    for text in ("the whole", "other", "unnumbered"):
+        ids = np.frombuffer(unigram.encode(text), "<u4").tolist()
+        assert sum(map(unigram.processor.get_score, ids)) == pytest.approx(best(unigram.processor.normalize(text)))
+        assert unigram.decode(np.array(ids)) == text
 
 
 def test_encoded_rows(spark, model):
