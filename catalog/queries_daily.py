@@ -12,7 +12,7 @@ from skyloom.operators import daily as D, merge as M, verify as V
 
 _ALL = ["source", "temp_max_c", "temp_min_c", "precip_mm", "rain", "humidity_pct", "pressure_hpa", "wind_speed_kmh"]
 
-# --- merges: two thirds of the days are stored, half of the days arrive (some twice) ---------
+# --- merges: two thirds of the days are stored; the others and every second day arrive, some twice ---
 
 
 def stored_days(spark, sf_dir):
@@ -21,7 +21,7 @@ def stored_days(spark, sf_dir):
 
 
 def arriving_days(spark, sf_dir, source):
-    rows = c_daily(spark, sf_dir).filter(F.dayofyear("date") % 2 == 0)
+    rows = c_daily(spark, sf_dir).filter((F.dayofyear("date") % 2 == 0) | (F.dayofyear("date") % 3 == 0))
     copies = F.when(F.dayofyear("date") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     rep = F.col("rep")
     return rows.withColumn("rep", F.explode(copies)).select(
@@ -47,7 +47,7 @@ _ARRIVING = """arriving AS (
     pressure_hpa + rep AS pressure_hpa, wind_speed_kmh + rep AS wind_speed_kmh,
     ingest_seq * 2 + rep AS seq
   FROM (SELECT *, unnest(CASE WHEN dayofyear(date) % 4 = 0 THEN [0, 1] ELSE [0] END) AS rep
-        FROM c_daily WHERE dayofyear(date) % 2 = 0)),
+        FROM c_daily WHERE dayofyear(date) % 2 = 0 OR dayofyear(date) % 3 = 0)),
 last_new AS (SELECT * FROM arriving QUALIFY row_number() OVER (PARTITION BY station_id, date ORDER BY seq DESC) = 1),
 first_new AS (SELECT * FROM arriving QUALIFY row_number() OVER (PARTITION BY station_id, date ORDER BY seq) = 1),
 n_new AS (SELECT station_id, date, count(*) AS n FROM arriving GROUP BY 1, 2)"""

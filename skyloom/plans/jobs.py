@@ -24,17 +24,27 @@ from skyloom.errors import NotEnoughDataError, NoUsableDataError, OutOfRadarRang
 from skyloom.operators import daily as D, forests, rasters as R, tracks as K, verify as V
 from skyloom.operators.merge import merge_authoritative, merge_enrichment
 from skyloom.sources import best_track, climate_csv, feeds, scans
-from skyloom.sources.tables import insert_ignore, merge_into, read_table, replace_into
+from skyloom.sources.tables import insert_ignore, keyed, merge_into, read_table, replace_into
 from skyloom.streaming.jobs import refresh_days
 
 SEQ = "ingest_seq"
 
 
 def _arrival(df: DataFrame) -> DataFrame:
-    """Arrival order of records read from files: file by file, row by row."""
+    """Arrival order of records: file by file, row by row where a reader tells it."""
+    if "arrival" in df.columns:
+        return df.withColumnRenamed("arrival", SEQ)
     return df.withColumn(SEQ, F.monotonically_increasing_id())
 
 
+def _reject(root: str, job: str, reason: str, rows: DataFrame) -> None:
+    """Keep what a job could not use, as JSON, in the table of rejects."""
+    if not rows.isEmpty():
+        rows.select(
+            F.lit(job).alias("job"), F.lit(reason).alias("reason"), F.to_json(F.struct("*")).alias("record")
+        ).write.mode("append").parquet(f"{root}/rejects")
+
+
 def _now() -> Column:
     return F.lit(datetime.now(timezone.utc)).cast("timestamp")
 
@@ -45,7 +55,9 @@ def _now() -> Column:
 def ingest_observations(spark: SparkSession, root: str, feed_path: str) -> DataFrame:
     """fetch, part 1: S1, J5.  Returns the appended reports."""
     docs = _arrival(feeds.read_documents(spark, feed_path))
-    reports = feeds.parse_observations(docs, keep=[SEQ])
+    reports = feeds.parse_observations(docs, keep=[SEQ], seq=SEQ)
+    _reject(root, "observations", "no JSON", feeds.broken_documents(docs))
+    _reject(root, "observations", "no station or time", keyed(reports, "observations")[1])
     return insert_ignore(spark, f"{root}/observations", "observations", reports, SEQ)
 
 
@@ -61,7 +73,9 @@ def refresh_live_daily(
 def load_daily_history(spark: SparkSession, root: str, pages_path: str) -> DataFrame:
     """backfill: S4, A2, P6, J7."""
     docs = _arrival(feeds.read_documents(spark, pages_path))
-    rows = D.pivot_summaries(feeds.parse_summaries(docs, keep=[SEQ]), SEQ)
+    _reject(root, "daily history", "no JSON", feeds.broken_documents(docs))
+    rows = D.pivot_summaries(feeds.parse_summaries(docs, keep=[SEQ], seq=SEQ), SEQ)
+    _reject(root, "daily history", "no station or date", keyed(rows, "daily_observations")[1])
     return merge_into(
         spark,
         f"{root}/daily_observations",
@@ -123,10 +137,12 @@ def forecast_days(spark: SparkSession, root: str, official_path: str | None = No
     if official_path is None:
         return rows
     docs = feeds.read_documents(spark, official_path)
-    official = feeds.parse_daytime_periods(docs, len(bundle.horizons)).select(
-        F.col("period_date").alias("target_date"), "official_forecast"
-    )
-    return rows.join(official, "target_date", "left")
+    keys = ["station_id", "target_date"] if "station_id" in docs.columns else ["target_date"]
+    if len(keys) == 1 and latest.select("station_id").distinct().count() > 1:
+        raise ValueError("official forecasts of several stations need folders station_id=<id>")
+    official = feeds.parse_daytime_periods(docs, len(bundle.horizons), keep=keys[:-1])
+    official = official.withColumnRenamed("period_date", "target_date").select(*keys, "official_forecast")
+    return rows.join(official, keys, "left")
 
 
 def score_days(spark: SparkSession, root: str) -> DataFrame:
@@ -150,6 +166,7 @@ def _store_scores(spark: SparkSession, root: str, table: str, scores: DataFrame)
 def load_tracks(spark: SparkSession, root: str, path: str, basin: str = "AL") -> DataFrame:
     """hurricane-backfill: S6, P2, P3, J6."""
     fixes = best_track.parse_blocks(best_track.read_best_track(spark, path, basin))
+    _reject(root, "tracks", "no storm or time", keyed(fixes, "hurricane_fixes")[1])
     return replace_into(spark, f"{root}/hurricane_fixes", "hurricane_fixes", _arrival(fixes), SEQ)
 
 
@@ -180,7 +197,8 @@ def forecast_storms(spark: SparkSession, root: str, feed_path: str) -> DataFrame
     """hurricane-predict: S7, P11, P12, M8, J6."""
     bundle = forests.load_bundle(spark, f"{root}/models/tracks")
     storms = feeds.parse_active_storms(feeds.read_documents(spark, feed_path))
-    live, _ = K.live_features(storms)
+    live, unusable = K.live_features(storms)
+    _reject(root, "live storms", "no position or time", unusable)
     rows = forests.forecast_storms(bundle, live)
     replace_into(
         spark, f"{root}/hurricane_predictions", "hurricane_predictions", _arrival(rows), SEQ
@@ -203,7 +221,8 @@ def scan_catalog(
     spark: SparkSession, root: str, listing_path: str, start: str | None = None, end: str | None = None
 ) -> DataFrame:
     """radar-fetch-raw, radar-backfill-raw: S8, S9, P8, J11.  Returns the newly listed scans."""
-    found, _ = scans.parse_scans(scans.scan_names(scans.read_listing(spark, listing_path)))
+    found, unusable = scans.parse_scans(scans.scan_names(scans.read_listing(spark, listing_path)))
+    _reject(root, "scans", "no scan name", unusable)
     if start and end:
         found = scans.scans_between(found, F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
     return insert_ignore(
@@ -243,9 +262,10 @@ def _latest_flow(spark: SparkSession, root: str, block: int, radius: int) -> Dat
     calendar day), so grids are read from those folders only.
     """
     table = read_table(spark, f"{root}/radar_frames", "radar_frames")
-    R.require_frames(table, 2)
     keys = R.latest_keys(table, 2, keep=["scan_date"])
     dates = [r[0] for r in keys.select("scan_date").distinct().collect()]
+    if not dates:
+        R.require_frames(table, 2)  # no station can be used
     recent = table.filter(F.col("scan_date").isin(dates)).drop("scan_date")
     return R.block_flow(R.frame_pairs(R.latest_frames(recent, 2)), block, radius)
 
@@ -289,10 +309,13 @@ def region_product(
     """radar-image: G7, F9, A14, G8 of the latest frames.  ``boxes``: point_id, station,
     point_lat, point_lon, radius_km."""
     flow = _latest_flow(spark, root, block, radius)
-    missed = R.crop_bounds(flow, boxes).filter("NOT in_range").select("point_id").limit(5).collect()
-    if missed:
-        raise OutOfRadarRangeError(f"outside the radar grid: points {[r[0] for r in missed]}")
-    return R.region_product(flow, boxes, spacing)
+    bounds = R.crop_bounds(flow, boxes)
+    missed = bounds.filter("NOT in_range").select("point_id").distinct()
+    _reject(root, "region product", "outside the radar grid", missed)
+    inside = bounds.filter("in_range").select("point_id").distinct()
+    if inside.isEmpty():
+        raise OutOfRadarRangeError(f"outside the radar grid: points {[r[0] for r in missed.limit(5).collect()]}")
+    return R.region_product(flow, boxes.join(inside, "point_id", "left_semi"), spacing)
 
 
 def storm_check(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skyloom.constants import INHG_TO_HPA, MPH_TO_KMH
 from skyloom.functions.scalar import first_truthy, flagged_number
+from skyloom.sources.feeds import in_file_order
 
 # --- fixed values: header names and the daily report type -----------------------
 DAILY_REPORT = "SOD"
@@ -22,11 +23,28 @@ COLUMNS = (
 
 
 def read_climate_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header-keyed CSV files, every column as text; only the named columns are parsed."""
-    raw = spark.read.option("header", True).csv(path)
-    have = set(raw.columns)
-    return raw.select(
-        *[F.col(f"`{c}`") if c in have else F.lit(None).cast("string").alias(c) for c in COLUMNS]
+    """CSV files, each read by its own header, every column as text, in their order of ``arrival``.
+
+    Files may differ in the columns they have and in their order; a column that a file lacks is NULL.
+    """
+    lines = in_file_order(spark.read.text(path))
+    first = F.col("arrival.block") == 0
+    heads = lines.filter(first).groupBy("file").agg(
+        F.min("arrival").alias("head_at"), F.min_by("value", "arrival").alias("head")
+    )
+    widest = heads.agg(F.max(F.size(F.split("head", ",")))).first()[0] or 1
+    ddl = ", ".join(f"c{k} string" for k in range(widest))
+
+    def cells(line: Column) -> Column:
+        parsed = F.from_csv(line, F.lit(ddl))
+        return F.array(*[parsed[f"c{k}"] for k in range(widest)])
+
+    heads = heads.select("file", "head_at", F.transform(cells(F.col("head")), lambda c: F.trim(c)).alias("names"))
+    rows = lines.join(heads, "file").filter((F.col("arrival") != F.col("head_at")) & (F.trim("value") != ""))
+    rows = rows.select("arrival", "names", cells(F.col("value")).alias("cells"))
+    at = {c: F.array_position("names", c) for c in COLUMNS}
+    return rows.select(
+        *[F.when(at[c] > 0, F.get("cells", (at[c] - 1).cast("int"))).alias(c) for c in COLUMNS], "arrival"
     )
 
 

@@ -79,8 +79,18 @@ def only_partitions(stored: DataFrame, column: str, wanted: DataFrame) -> DataFr
     the filter is a literal list and the other directories are not even listed for
     reading.  A run-time semi join would prune only where Spark judges it selective.
     """
-    values = [r[0] for r in wanted.distinct().collect() if r[0] is not None]
-    return stored.filter(F.col(column).isin(values))
+    values = [r[0] for r in wanted.distinct().collect()]
+    known = F.col(column).isin([v for v in values if v is not None])
+    return stored.filter(known | F.col(column).isNull() if None in values else known)
+
+
+def keyed(df: DataFrame, table: str | Table) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects): rows that lack a part of the table's key cannot be stored."""
+    spec = TABLES[table] if isinstance(table, str) else table
+    whole = F.lit(True)
+    for key in spec.keys:
+        whole = whole & F.col(key).isNotNull()
+    return df.filter(whole), df.filter(~whole)
 
 
 def touched(stored: DataFrame, new: DataFrame, table: Table) -> DataFrame:
@@ -95,9 +105,11 @@ def touched(stored: DataFrame, new: DataFrame, table: Table) -> DataFrame:
 def insert_ignore(spark: SparkSession, path: str, name: str, new: DataFrame, seq: str) -> DataFrame:
     """J5 sink: append the rows whose key is not stored.  Returns the appended rows.
 
-    Re-running a batch appends nothing, so a retried batch is harmless.
+    Re-running a batch appends nothing, so a retried batch is harmless.  Rows that lack a part of
+    the key are not stored; ``keyed`` tells them apart.
     """
     table = TABLES[name]
+    new, _ = keyed(new, table)
     stored = touched(read_table(spark, path, table), new, table)
     fresh = merge_ignore(stored, new, list(table.keys), seq).select(*table.schema.fieldNames())
     fresh = _materialise(spark, fresh)
@@ -114,9 +126,11 @@ def merge_into(
 ) -> DataFrame:
     """J6-J9 sink: merge into the touched partitions only.  Returns the merged rows with actions.
 
-    ``merge(stored, new)`` is one of the operators of ``skyloom.operators.merge``.
+    ``merge(stored, new)`` is one of the operators of ``skyloom.operators.merge``.  Rows that lack
+    a part of the key are not stored.
     """
     table = TABLES[name]
+    new, _ = keyed(new, table)
     stored = touched(read_table(spark, path, table), new, table)
     merged = _materialise(spark, merge(stored.select(*table.schema.fieldNames()), new))
     _write(with_partition(table_part(merged), table), path, table, "overwrite")

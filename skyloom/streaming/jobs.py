@@ -181,6 +181,8 @@ def match_tracks(
     A better (nearer) fix that arrives later replaces the earlier match, so the
     outcome table equals the batch result whatever the order of arrival.
     """
+    if tolerance_s > _SLICE_S:
+        raise ValueError(f"the tolerance must not exceed a slice of {_SLICE_S:.0f} s")
 
     def step(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession

@@ -60,10 +60,10 @@ def test_fetch_twice_then_history_takes_over(spark, tmp_path):
     assert (first["source"], first["temp_max_c"], first["temp_min_c"], first["precip_mm"], first["rain"]) == ("ghcnd", 9.0, 1.0, None, 0)
     assert first["pressure_hpa"] == 1010.0
 
-    csv = write(tmp_path / "csv", "a.csv", CSV.replace("72327013897", "A"))
+    csv = write(tmp_path / "csv", "a.csv", CSV.replace("S1,2019-07-0", "A,2020-01-0").replace("01-04T", "01-01T").replace("01-05T", "01-02T").replace("01-06T", "01-03T").replace("01-07T", "01-04T"))
     jobs.load_enrichment(spark, root, csv, "2020-01-02", "2020-01-03")
     rows = {str(r["date"]): r for r in read_table(spark, f"{root}/daily_observations", "daily_observations").collect()}
-    assert rows["2020-01-02"]["source"] == "metar_live" and rows["2020-01-02"]["humidity_pct"] == 77
+    assert rows["2020-01-02"]["source"] == "metar_live" and rows["2020-01-02"]["humidity_pct"] == 71
     assert rows["2020-01-03"]["source"] == "lcd" and "2020-01-04" not in rows
     status = jobs.history_status(spark, root).collect()
     assert {r["source"]: r["n_source"] for r in status} == {"ghcnd": 1, "metar_live": 1, "lcd": 1}
@@ -104,7 +104,7 @@ def test_tracks_from_text_to_scores(spark, tmp_path):
     with pytest.raises(NotEnoughDataError):
         jobs.train_tracks(spark, root, horizons=(6,))
     jobs.train_tracks(spark, root, horizons=(6,), minimum=1, trees=2, trained_at="v1")
-    storm = {"id": "al092021", "name": "Ida", "latitude_numeric": 29.1, "longitude_numeric": -90.2, "intensity": 130, "pressure": 930, "movementDir": 315, "movementSpeed": 13, "lastUpdate": "2021-08-29T12:00:00Z"}
+    storm = {"id": "al072004", "name": "Second", "latitude_numeric": 20.0, "longitude_numeric": -60.5, "intensity": 100, "pressure": 955, "movementDir": 315, "movementSpeed": 13, "lastUpdate": "2004-09-12T06:00:00Z"}
     feed_path = write(tmp_path / "s", "s.json", json.dumps({"activeStorms": [storm, {**storm, "id": "al01", "latitude_numeric": None}]}))
     assert jobs.forecast_storms(spark, root, feed_path).count() == 1
     (score,) = jobs.score_tracks(spark, root).collect()
