@@ -16,8 +16,9 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +36,29 @@ MAX_BUCKETS = 100_000
 BLOCK = 512  # bits between two entries of a rank directory
 REMEMBERED = 700_000  # words kept per Python process
 END_ID = 0
-# Only texts with single spaces and line ends between words can be cut into words.
-UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
+# Texts with single spaces and line ends between words are cut by these, others before each run of white space.
+PAIRS = ("  ", " \n", "\n ", "\n\n")
+RARE_ASCII = tuple("\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+RARE = RARE_ASCII + tuple(c for c in map(chr, range(128, 0x3001)) if c.isspace())
+CHUNK = re.compile(r"\s*\S+|\s+")
+# Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others for 256 and up.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LEVEL = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+
+
+def is_even(text: str) -> bool:
+    """Whether all white space is single spaces and line ends between words."""
+    if not text or text[0] in " \n" or text[-1] in " \n":
+        return False
+    return not any(p in text for p in PAIRS) and not any(c in text for c in (RARE_ASCII if text.isascii() else RARE))
 
 
 class Words:
     """Encodes texts with the ``tokenizers`` library, each distinct word once.
 
-    The tokenizer's pattern never joins a word with the space or line end before it to the word
-    before that, so the ids of a text are those of its words, each with the space before it.
+    The tokenizer's pattern never joins white space with what stands before it, nor a letter or digit
+    with a full stop or comma, so the ids of a text are those of its words, each with the white space
+    before it, and those of a word are those of its beginning and of its full stops and commas.
     """
 
     def __init__(self, path: str):
@@ -52,34 +67,59 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.inner: dict[str, bytes] = {}  # words behind a space
         self.first: dict[str, bytes] = {}  # words at the start of a line
+        self.stops: dict[str, bytes] = {}
         self.line_end = self._ids("\n")
+        # a run of letters is one unit of a byte-level tokenizer, so its model can be asked directly
+        self.direct = all(self._unit(w) == self._ids(w) for w in ("word", " word", " Übermäßig", " 中文", " été"))
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _unit(self, text: str) -> bytes:
+        symbols = text.encode().decode("latin-1").translate(BYTE_LEVEL)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(symbols)], dtype="<u4").tobytes()
+
     def lookup(self, words: set[str], known: dict[str, bytes], before: str) -> dict[str, bytes]:
         """Ids of the given words at least. A full memory keeps its words, which are the frequent ones."""
         missing = [w for w in words if w not in known]
         grows = len(known) + len(missing) <= REMEMBERED
         found = known if grows else {w: known[w] for w in words if w in known}
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            got = self.tokenizer.encode_batch_fast([before + w for w in part], add_special_tokens=False)
-            for w, e in zip(part, got):
+        ended = [(w, w.rstrip(".,")) for w in missing if w[-1:] in ".," and w[-1:]]
+        ended = [(w, c) for w, c in ended if c and c[-1].isalnum()]
+        whole = set(missing).difference(w for w, _ in ended)
+        whole.update(c for _, c in ended if c not in known)
+        if self.direct:
+            letters = [w for w in whole if w.isalpha()]
+            model = self.tokenizer.model.tokenize
+            for w in letters:
+                symbols = (before + w).encode().decode("latin-1").translate(BYTE_LEVEL)
+                found[w] = array("I", [t.id for t in model(symbols)]).tobytes()
+            whole.difference_update(letters)
+        encode = self.tokenizer.encode_batch_fast
+        for part in iter(lambda it=iter(whole): list(islice(it, 4096)), []):
+            for w, e in zip(part, encode([before + w for w in part], add_special_tokens=False)):
                 found[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for w, c in ended:
+            stops = w[len(c) :]
+            if stops not in self.stops:
+                self.stops[stops] = self._ids(stops)
+            found[w] = found[c] if c in found else known[c]
+            found[w] += self.stops[stops]
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (little-endian, 32 bits) of each text."""
-        lines = [None if UNEVEN.search(t) else [x.split(" ") for x in t.split("\n")] if t else [] for t in texts]
+        lines = [[x.split(" ") for x in t.split("\n")] if is_even(t) else None for t in texts]
         flat = [x for doc in lines if doc for x in doc]
-        first = self.lookup({x[0] for x in flat}, self.first, "").__getitem__
+        chunks = {i: CHUNK.findall(t) for i, t in enumerate(texts) if lines[i] is None}
+        starts = {x[0] for x in flat}.union(*chunks.values())
+        first = self.lookup(starts, self.first, "").__getitem__
         inner = self.lookup(set(chain.from_iterable(x[1:] for x in flat)), self.inner, " ").__getitem__
         return [
-            self._ids(text)
+            b"".join(map(first, chunks[i]))
             if doc is None
             else self.line_end.join([first(x[0]) + b"".join(map(inner, x[1:])) for x in doc])
-            for text, doc in zip(texts, lines)
+            for i, doc in enumerate(lines)
         ]
 
 
