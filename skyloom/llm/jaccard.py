@@ -15,22 +15,25 @@ metric, and links reach at most a quarter (``REACH``).
 4. The join recurs on what is left: candidate pairs of different components, and in large regions
    with several components blocks of documents, where pairs must be of different components, pass
    the size and position bounds, and, where both know their distance to one pivot, must differ in it
-   by a quarter at most (triangle inequality). What passes is compared exactly.
+   by a quarter at most (triangle inequality). In the first turns a document of a smaller component tries a few
+   partners, which joins most components; in the last turn all pairs still open are compared.
 
-The order only decides how much work there is; it is taken from the shingles that several documents
+Shingles are 64-bit hashes; comparisons count the 40 upper bits in common, which for two sets of 400
+is wrong by one in some six million pairs. The order only decides how much work there is; it is taken from the shingles that several documents
 of one task share, added up over all tasks.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
+from xxhash import xxh3_64_intdigest
 
-from skyloom.llm.common import bounded_batches, by_value, process_store, stored, table, texts_of
+from skyloom.llm.common import bounded_batches, by_value, stored, table, texts_of
 from skyloom.llm.components import components
 
 by_value(__name__)
@@ -41,43 +44,71 @@ REACH = 0.25
 SMALL_REGION = 16
 CHUNK_ROWS = 65_536  # rows of one region held at once
 BLOCK_ROWS = 1024
+TURNS = 2  # before all pairs that are still open are compared
 PIVOT_MEMBERS = 2048  # members compared with one pivot in one task
 FREQUENT = 1 << 20  # shingles whose frequency is known to the order
 SEEN_IN_TASK = 4
 NEED_WORDS = 1 << 20  # 64-bit words of the filter of needed documents
-REMEMBERED = 500_000
+ASKED = 4  # partners that a document of a smaller component tries in a turn
+TEXT_BYTES = 2 << 20  # of an Arrow batch: its words are in memory one by one
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-class Hashes(dict):
-    """A 64-bit hash for each word."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
-
-
-def shingles(text: str, words: int, known: Hashes) -> np.ndarray:
-    """The sorted distinct shingles of a text as 64-bit hashes; A-Z lowered, words between ASCII white space."""
-    tokens = text.encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.zeros(0, dtype=np.uint64)
-    w = np.array([known[t] for t in tokens], dtype=np.uint64)
-    n = min(words, len(w))
-    h = np.full(len(w) - n + 1, n, dtype=np.uint64)
-    for k in range(n):
-        h = h * FACTOR + w[k : len(w) - n + 1 + k]
-        h ^= h >> np.uint64(29)
+def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * MIX[0]
     h = (h ^ (h >> np.uint64(27))) * MIX[1]
-    return np.unique(h ^ (h >> np.uint64(31)))
+    return h ^ (h >> np.uint64(31))
 
 
-def key_of(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def shingles(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingles of each text as 64-bit hashes, end to end, and where each text's begin.
+
+    A-Z are lowered; words stand between ASCII white space; a text of fewer words is one shingle.
+    """
+    tokens = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    count = np.array([len(t) for t in tokens], dtype=np.int64)
+    begin = np.concatenate([[0], np.cumsum(count)])
+    w = np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(tokens)), np.uint64, begin[-1])
+    n = len(w)
+    h = np.full(n, words, dtype=np.uint64)
+    for k in range(words):  # the last words of a text run into the next; those hashes are cut off below
+        h[: n - k] = h[: n - k] * FACTOR + w[k:]
+        h ^= h >> np.uint64(29)
+    h = mixed(h)
+    parts, sizes = [], np.zeros(len(texts), dtype=np.int64)
+    for i, c in enumerate(count.tolist()):
+        if c >= words:
+            part = np.sort(h[begin[i] : begin[i + 1] - words + 1])
+            part = part[np.concatenate([[True], part[1:] != part[:-1]])]
+        elif c:
+            one = np.array([c], dtype=np.uint64)
+            for k in range(begin[i], begin[i + 1]):
+                one = one * FACTOR + w[k : k + 1]
+                one ^= one >> np.uint64(29)
+            part = mixed(one)
+        else:
+            continue
+        parts.append(part)
+        sizes[i] = len(part)
+    return np.concatenate([np.zeros(0, dtype=np.uint64), *parts]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def keys_of(items: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set: the sum of hashes of its shingles."""
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed(items ^ FACTOR), dtype=np.uint64)])
+    return mixed(sums[begin[1:]] - sums[begin[:-1]]).view(np.int64)
+
+
+def packed(items: np.ndarray) -> bytes:
+    """The upper 40 bits of each hash, in order: what travels to a comparison."""
+    return (items >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(items) -> np.ndarray:
+    out = np.zeros((len(items) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(items, dtype=np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
 
 
 def window(n):
@@ -97,7 +128,6 @@ def measured(docs: DataFrame, words: int) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = process_store("shingle_words", Hashes)
         values, counts, kind = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), None
 
         def often(least):
@@ -108,20 +138,20 @@ def measured(docs: DataFrame, words: int) -> DataFrame:
 
         for batch in batches:
             kind = batch.column("doc_id").type
-            sets = [shingles(t, words, known) for t in texts_of(batch.column("text"))]
-            nothing = pa.nulls(len(sets), pa.int64())
+            items, begin = shingles(texts_of(batch.column("text")), words)
+            nothing = pa.nulls(len(begin) - 1, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("place"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([key_of(s) for s in sets], pa.int64()),
+                    pa.array(np.diff(begin)),
+                    pa.array(keys_of(items, begin)),
                     nothing,
                     nothing,
                 ],
                 names=schema.names,
             )
-            here, times = np.unique(np.concatenate(sets), return_counts=True)
+            here, times = np.unique(items, return_counts=True)
             several = times > 1
             values, counts = np.concatenate([values, here[several]]), np.concatenate([counts, times[several]])
             if len(values) > 2_000_000:
@@ -148,60 +178,71 @@ def order_of(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def regions(docs: DataFrame, words: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``pivot, n, key, pos, before``: every set in the regions of its window; ``before`` is its pivot before."""
-    schema = "pivot long, n int, key long, pos int, before long"
+    """``pivot, key, n, mark``: every set in the regions of its window.
+
+    ``mark`` holds the pivot's position in the window and, in its lower half, 32 bits of the pivot before.
+    """
+    schema = "pivot long, key long, n int, mark long"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = process_store("shingle_words", Hashes)
         frequent, counts = order
         done: set = set()
         for batch in batches:
-            parts: list[tuple] = []
-            for text in texts_of(batch.column("text")):
-                s = shingles(text, words, known)
-                n = len(s)
-                if not n or (name := (n, key_of(s))) in done:
+            items, begin = shingles(texts_of(batch.column("text")), words)
+            keys = keys_of(items, begin)
+            seen = np.zeros(len(items), dtype=np.int64)
+            if len(frequent):
+                at = np.searchsorted(frequent, items)
+                at[at == len(frequent)] = 0
+                seen = np.where(frequent[at] == items, counts[at], 0)
+            parts, sizes, names_of = [], [], []
+            for i, key in enumerate(keys.tolist()):
+                a, b = int(begin[i]), int(begin[i + 1])
+                n = b - a
+                if not n or (n, key) in done:
                     continue  # a copy of a document of this task
                 if len(done) < 200_000:
-                    done.add(name)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    s = s[np.lexsort((s, np.where(frequent[at] == s, counts[at], 0)))]
-                first = s[: window(n)].view(np.int64)
-                parts.append((first, n, name[1], np.concatenate([[0], first[:-1]])))
+                    done.add((n, key))
+                s, c = items[a:b], seen[a:b]
+                first = s[c == 0][: window(n)]
+                if len(first) < window(n):
+                    s, c = s[c > 0], c[c > 0]
+                    first = np.concatenate([first, s[np.lexsort((s, c))][: window(n) - len(first)]])
+                parts.append(first)
+                sizes.append(len(first))
+                names_of.append((n, key))
             if parts:
-                sizes = [len(p[0]) for p in parts]
-                columns = [
-                    np.concatenate([p[0] for p in parts]),
-                    np.repeat(np.array([p[1] for p in parts], dtype=np.int32), sizes),
-                    np.repeat(np.array([p[2] for p in parts], dtype=np.int64), sizes),
-                    np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]),
-                    np.concatenate([p[3] for p in parts]),
-                ]
+                flat, size = np.concatenate(parts).view(np.int64), np.array(sizes)
+                start = np.cumsum(size) - size
+                pos = np.arange(len(flat)) - np.repeat(start, size)
+                before = np.concatenate([[0], flat[:-1]]) & 0xFFFFFFFF
+                name = np.array(names_of, dtype=np.int64)
+                columns = [flat, np.repeat(name[:, 1], size), np.repeat(name[:, 0].astype(np.int32), size), pos << 32 | before]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     return docs.select("text").mapInArrow(run, schema)
 
 
-def can_link(n1, pos1, before1, n2, pos2, before2):
+def can_link(n1, mark1, n2, mark2):
     """Whether sets that meet at these positions, the first being the smaller, may link and meet here first."""
-    need = -(-3 * (n1 + n2) // 7)  # shared shingles of a link
+    need = -(-3 * (n1.astype(np.int64) + n2) // 7)  # shared shingles of a link
+    pos1, pos2 = mark1 >> 32, mark2 >> 32
     return (
-        (4 * n1 >= 3 * n2)
+        (4 * n1.astype(np.int64) >= 3 * n2.astype(np.int64))
         & (n1 - pos1 >= need)
         & (n2 - pos2 >= need)
-        & ((before1 != before2) | (pos1 == 0) | (pos2 == 0))
+        & (((mark1 ^ mark2) & 0xFFFFFFFF != 0) | (pos1 == 0) | (pos2 == 0))
     )
 
 
-FOUND = "pivot long, n1 int, key1 long, pos1 int, before1 long, n2 int, key2 long"
+FOUND = "pivot long, n1 int, key1 long, mark1 long, n2 int, key2 long"
 
 
 def pairs_of_regions(rows: DataFrame) -> DataFrame:
     """Candidate pairs, and the rows of large regions (without n2 and key2)."""
     names = [x.split()[0] for x in FOUND.split(", ")]
-    source = rows.distinct().repartition("pivot").sortWithinPartitions("pivot", "n", "key")
+    source = rows.repartition("pivot").sortWithinPartitions("pivot", "n", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -209,7 +250,7 @@ def pairs_of_regions(rows: DataFrame) -> DataFrame:
 
         def settle(c, continued):
             """Pairs and live rows of whole regions (the first may be a continued one)."""
-            pivot, n, key, pos, before = c
+            pivot, n, key, mark = c
             start = np.flatnonzero(np.concatenate([[True], pivot[1:] != pivot[:-1]]))
             size = np.diff(np.concatenate([start, [len(pivot)]]))
             of = np.repeat(np.arange(len(start)), size)
@@ -221,7 +262,7 @@ def pairs_of_regions(rows: DataFrame) -> DataFrame:
             for d in range(1, SMALL_REGION):
                 i = np.flatnonzero((of[d:] == of[:-d]) & small_row[:-d])
                 j = i + d
-                ok = can_link(n[i], pos[i], before[i], n[j], pos[j], before[j])
+                ok = can_link(n[i], mark[i], n[j], mark[j])
                 left.append(i[ok])
                 right.append(j[ok])
             for r in np.flatnonzero(large).tolist():
@@ -238,18 +279,21 @@ def pairs_of_regions(rows: DataFrame) -> DataFrame:
                 live = live[live > 0]
             for at in range(0, len(i), CHUNK_ROWS):
                 a, b = i[at : at + CHUNK_ROWS], j[at : at + CHUNK_ROWS]
-                yield out([pivot[a], n[a], key[a], pos[a], before[a], n[b], key[b]])
+                yield out([pivot[a], n[a], key[a], mark[a], n[b], key[b]])
             for at in range(0, len(live), CHUNK_ROWS):
                 a = live[at : at + CHUNK_ROWS]
                 none = pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int64())
-                yield out([pivot[a], n[a], key[a], pos[a], before[a], *none])
+                yield out([pivot[a], n[a], key[a], mark[a], *none])
 
         def out(columns):
             return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
         for batch in batches:
-            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("pivot", "n", "key", "pos", "before")]
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("pivot", "n", "key", "mark")]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            fresh = np.ones(len(held[0]), dtype=bool)  # copies from several tasks stand side by side
+            fresh[1:] = (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1])
+            held = [c[fresh] for c in held]
             cut = int(np.searchsorted(held[0], held[0][-1]))  # the last region may go on
             if cut:
                 yield from settle([c[:cut] for c in held], going_on)
@@ -273,7 +317,6 @@ def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) ->
     Only needed sets leave the scan: a filter of fixed size over hashed ids passes all of them. A
     pivot meets its members sorted behind it; pivots with many members are dealt to several tasks.
     """
-    pairs = stored(pairs, "pairs")
     ends = pairs.select(F.col("n1").alias("n"), F.col("key1").alias("key")).unionByName(
         pairs.select(F.col("n2").alias("n"), F.col("key2").alias("key"))
     )
@@ -285,19 +328,17 @@ def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) ->
     filled[got.column("slot").to_numpy()] = got.column("bits").to_numpy().astype(np.int64).view(np.uint64)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = process_store("shingle_words", Hashes)
         for batch in batches:
             place = batch.column("place").to_numpy().view(np.uint64)
             asked = filled[(place >> np.uint64(6)) & np.uint64(NEED_WORDS - 1)] >> (place & np.uint64(63)) & np.uint64(1)
             rows = np.flatnonzero(asked)
-            sets = [shingles(t, words, known) for t in texts_of(batch.column("text").take(pa.array(rows)))]
-            sets = [s for s in sets if len(s)]
-            if sets:
+            items, begin = shingles(texts_of(batch.column("text").take(pa.array(rows))), words)
+            if len(items):
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([len(s) for s in sets], pa.int32()),
-                        pa.array([key_of(s) for s in sets], pa.int64()),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
+                        pa.array(np.diff(begin).astype(np.int32)),
+                        pa.array(keys_of(items, begin)),
+                        pa.array([packed(items[a:b]) for a, b in zip(begin, begin[1:])], pa.binary()),
                     ],
                     names=["n", "key", "items"],
                 )
@@ -326,7 +367,7 @@ def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) ->
             role, items = batch.column("role").to_pylist(), batch.column("items")
             kept, shared = [], []
             for i, r in enumerate(role):
-                s = np.frombuffer(items[i].as_buffer(), dtype=np.uint64)
+                s = unpacked(items[i].as_buffer())
                 if r == 0:
                     pivot = s
                     continue
@@ -367,19 +408,21 @@ def with_groups(df: DataFrame, groups: DataFrame, side: str) -> DataFrame:
     return df.join(named, [n, key], "left").withColumn(g, F.coalesce(g, own))
 
 
-def left_over(live: DataFrame, groups: DataFrame, met: DataFrame) -> DataFrame:
-    """Pairs of different components in large regions that the bounds and known distances allow."""
+def left_over(live: DataFrame, groups: DataFrame, met: DataFrame, turn: int | None) -> DataFrame:
+    """Pairs of different components in large regions that the bounds and known distances allow.
+
+    With a ``turn`` each document gets one such pair in each of its regions, another one each turn.
+    """
     distance = 1 - F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared"))
     known = met.groupBy(F.col("n2").alias("n1"), F.col("key2").alias("key1")).agg(
         F.min_by(F.struct(F.col("key1").alias("to"), distance.alias("far")), F.struct("n1", "key1")).alias("seen")
     )
-    rows = with_groups(live, groups, "1").join(known, ["n1", "key1"], "left")
+    rows = with_groups(live, groups, "1")
     several = rows.groupBy("pivot").agg(F.min("group1").alias("low"), F.max("group1").alias("high"), F.count("*").alias("m"))
     several = several.where(F.col("low") != F.col("high"))
     several = several.select("pivot", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
-    rows = rows.join(several, "pivot").select(
-        "pivot", "n1", "key1", "pos1", "before1",
-        F.xxhash64("group1").alias("group1"), "seen.to", "seen.far", "blocks",
+    rows = rows.join(several, "pivot").join(known, ["n1", "key1"], "left").select(
+        "pivot", "n1", "key1", "mark1", F.xxhash64("group1").alias("group1"), "seen.to", "seen.far", "blocks",
         F.pmod(F.xxhash64("key1"), "blocks").cast("int").alias("block"),
     )
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -389,25 +432,47 @@ def left_over(live: DataFrame, groups: DataFrame, met: DataFrame) -> DataFrame:
         import pandas as pd
 
         f = frame.sort_values(["n1", "key1"], kind="stable")
-        n, key, pos, before, group, block = (f[c].to_numpy() for c in ("n1", "key1", "pos1", "before1", "group1", "block"))
+        n, key, mark, group, block = (f[c].to_numpy() for c in ("n1", "key1", "mark1", "group1", "block"))
         far, to = f["far"].to_numpy(dtype=float), f["to"].fillna(0).to_numpy()
         same_block = f["first"].iloc[0] == f["second"].iloc[0]
-        left, right = [], []
-        for i in range(len(f) - 1):
-            stop = int(np.searchsorted(n, 4 * int(n[i]) // 3, side="right"))
-            j = slice(i + 1, stop)
-            ok = can_link(n[i], pos[i], before[i], n[j], pos[j], before[j]) & (group[j] != group[i])
+        names, sizes = np.unique(group, return_counts=True)
+        minor = group != names[sizes.argmax()]  # a pair has one of these at least
+        asker, left, right = [], [], []
+
+        def take(i, j):
+            """Keep what may link of the pairs (i, j), where one is a number and i is the smaller set."""
+            ok = can_link(n[i], mark[i], n[j], mark[j]) & (group[j] != group[i])
             if not same_block:
                 ok &= block[j] != block[i]
             apart = (to[j] == to[i]) & (np.abs(far[j] - far[i]) > REACH + 1e-9)
-            apart |= (to[j] == key[i]) & (far[j] > REACH + 1e-9)
-            hits = np.flatnonzero(ok & ~apart) + i + 1
-            left.append(np.full(len(hits), i))
-            right.append(hits)
-        i, j = (np.concatenate([np.zeros(0, dtype=int), *x]).astype(int) for x in (left, right))
-        return pd.DataFrame({"n1": n[i], "key1": key[i], "n2": n[j], "key2": key[j]})
-
-    return rows.groupBy("pivot", "first", "second").applyInPandas(meet, "n1 int, key1 long, n2 int, key2 long")
+            apart |= ((to[j] == key[i]) & (far[j] > REACH + 1e-9)) | ((to[i] == key[j]) & (far[i] > REACH + 1e-9))
+            return ok & ~apart
+
+        for i in np.flatnonzero(minor).tolist():
+            low = int(np.searchsorted(n, -(-3 * int(n[i]) // 4)))
+            high = int(np.searchsorted(n, 4 * int(n[i]) // 3, side="right"))
+            below, above = np.arange(low, i), np.arange(i + 1, high)
+            below = below[~minor[below]]  # a smaller one of the minority has looked up here itself
+            one = slice(i, i + 1)
+            hits = np.concatenate([below[take(below, one)], above[take(one, above)]])
+            if turn is not None and len(hits) > ASKED:
+                # the same choice in all regions that offer the same partners
+                hits = hits[np.argsort(key[hits] * np.int64(2 * turn + 1) ^ key[i], kind="stable")[:ASKED]]
+            asker.append(np.full(len(hits), i))
+            left.append(np.minimum(hits, i))
+            right.append(np.maximum(hits, i))
+        i, j, a = (np.concatenate([np.zeros(0, dtype=int), *x]).astype(int) for x in (left, right, asker))
+        return pd.DataFrame({"n1": n[i], "key1": key[i], "n2": n[j], "key2": key[j], "asker": key[a]})
+
+    schema = "n1 int, key1 long, n2 int, key2 long, asker long"
+    return rows.groupBy("pivot", "first", "second").applyInPandas(meet, schema)
+
+
+def best_of(pairs: DataFrame, most: int) -> DataFrame:
+    """For each asking set the partners it met most often, ``most`` at most."""
+    order = Window.partitionBy("asker").orderBy(F.desc("met"), F.col("n2") - F.col("n1"), "key1", "key2")
+    ranked = pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return ranked.select("n1", "key1", "n2", "key2").distinct()
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -418,6 +483,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     columns are not looked at; an empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
     facts = stored(measured(docs, words), "sets")
     rows = facts.where(F.col("n").isNotNull()).select("doc_id", "place", F.col("n").cast("int").alias("n"), "key")
     nodes = rows.where("n > 0").groupBy("n", "key").agg(
@@ -427,20 +493,24 @@ def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     order = order_of(facts.where(F.col("shingle").isNotNull()).select("shingle", "seen"))
     found = stored(pairs_of_regions(regions(docs, words, order)), "regions")
     candidates = found.where(F.col("key2").isNotNull()).groupBy("n1", "key1", "n2", "key2").agg(F.count("*").alias("met"))
-    candidates = stored(candidates, "candidates")
+    candidates = stored(candidates.withColumn("asker", F.col("key2")), "candidates")
     live = found.where(F.col("key2").isNull())
     names = ["n1", "key1", "n2", "key2"]
-    best = candidates.groupBy("n2", "key2").agg(
-        F.max_by(F.struct("n1", "key1"), F.struct("met", -F.col("n1"), -F.col("key1"))).alias("p")
-    )
-    met = compared(best.select("p.n1", "p.key1", "n2", "key2"), docs, nodes, words)
-    edges = linked(met)
-    groups = group_names(edges)
-    open_pairs = with_groups(with_groups(candidates.select(*names), groups, "1"), groups, "2")
-    open_pairs = open_pairs.where(F.col("group1") != F.col("group2")).select(*names)
-    open_pairs = open_pairs.unionByName(left_over(live, groups, met)).distinct()
-    rest = compared(open_pairs.join(met.select(*names), names, "left_anti"), docs, nodes, words)
-    groups = group_names(edges.unionByName(linked(rest)))
+    met = compared(stored(best_of(candidates, 1), "pairs"), docs, nodes, words)
+    groups = group_names(linked(met))
+    for turn in range(TURNS + 1):
+        apart = with_groups(with_groups(candidates, groups, "1"), groups, "2").where(F.col("group1") != F.col("group2"))
+        apart = apart.join(met.select(*names), names, "left_anti")
+        last = turn == TURNS
+        more = left_over(live, groups, met, None if last else turn)
+        more = more.groupBy(*names, "asker").agg(F.count("*").alias("met"))
+        more = more.join(met.select(*names), names, "left_anti")
+        pairs = apart.select(*names, "asker", "met").unionByName(more)
+        pairs = stored(pairs.select(*names).distinct() if last else best_of(pairs, ASKED), "pairs")
+        if not last and pairs.isEmpty():
+            continue
+        met = met.unionByName(compared(pairs, docs, nodes, words))
+        groups = group_names(linked(met))
     known = nodes.join(groups, ["n", "key"], "left").withColumn(
         "group", F.coalesce("group", F.struct("n", "key"))
     )
