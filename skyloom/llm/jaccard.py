@@ -72,7 +72,7 @@ def shingles(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
     w = np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(tokens)), np.uint64, begin[-1])
     n = len(w)
     h = np.full(n, words, dtype=np.uint64)
-    for k in range(words):  # the last words of a text run into the next; those hashes are cut off below
+    for k in range(min(words, n)):  # the last words of a text run into the next; those hashes are cut off below
         h[: n - k] = h[: n - k] * FACTOR + w[k:]
         h ^= h >> np.uint64(29)
     h = mixed(h)

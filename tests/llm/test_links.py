@@ -134,6 +134,21 @@ def test_documents_without_rows_or_ids(spark):
     assert (-1, 4) in got and (-1, None) in got
 
 
+@pytest.mark.parametrize("words", range(7))
+def test_batches_of_one_short_text(words):
+    text = " ".join("abcdefg"[:words])
+    items, begin = jaccard.shingles([text], jaccard.WORDS)
+    among, places = jaccard.shingles(["x y", text, "z " * 9], jaccard.WORDS)
+    assert items.tolist() == among[places[1] : places[2]].tolist() and begin.tolist() == [0, len(items)]
+
+
+def test_partitions_of_one_short_text(spark):
+    texts = {1: "two words", 2: "only three words", 3: "Two  WORDS"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartitionByRange(3, "doc_id")
+    got = {tuple(r) for r in jaccard.similar_documents(docs).select("doc_id", "n_shingles", "component_id").collect()}
+    assert got == {(1, 1, 1), (2, 1, 2), (3, 1, 1)}
+
+
 def test_windows_meet_all_partners():
     for n in range(1, 60):
         for m in range(n, 60):
