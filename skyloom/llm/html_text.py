@@ -21,10 +21,9 @@ from skyloom.llm.url_rules import host_and_path
 
 by_value(__name__)
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,8192}\"|'[^']{0,8192}')*+)>|<[!?][^>]*>", re.S
-)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)|<[!?][^>]*>", re.S)  # of an element only up to its name
+CLOSES = re.compile("[>\"']")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # Fixed lists of HTML: elements without content, with raw content, that begin a block, that hold blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
@@ -62,6 +61,32 @@ def words_of(attributes: dict[str, str]) -> set[str]:
     return set(re.findall(r"[a-z]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
 
 
+class TagEnds:
+    """Where tags end: at the first '>' outside quotes, however long those are. Linear over a page."""
+
+    def __init__(self, source: str):
+        self.source, self.dead, self.dead_to = source, set(), -1
+
+    def after(self, at: int) -> int:
+        """The end of the tag whose name ends at ``at``; -1 if it never ends. Calls go forward."""
+        if at <= self.dead_to:
+            return -1
+        quotes, first, start = [], None, at
+        while m := CLOSES.search(self.source, start):
+            here = m.start()
+            first = here if first is None else first
+            if m[0] == ">":
+                return here + 1
+            quotes.append(here)
+            close = -1 if here in self.dead else self.source.find(m[0], here + 1)
+            if close < 0:
+                break
+            start = close + 1
+        self.dead.update(quotes)
+        self.dead_to = len(self.source) if first is None else first
+        return -1
+
+
 class Page:
     """The blocks of a page and the containers they stand in."""
 
@@ -71,20 +96,25 @@ class Page:
         root = Node("", "", None, False, False)
         self.stack, self.open, self.links = [root], [], 0
         self.linked = 0
-        at = 0
-        for m in iter(lambda: TAG.search(source, at), None):
-            self._text(source[at : m.start()])
-            at = m.end()
+        at = search = 0
+        ends = TagEnds(source)
+        while m := TAG.search(source, search):
             name = (m[2] or "").lower()
+            end = ends.after(m.end()) if name else m.end()
+            if end < 0:  # a quote stays open: this is text
+                search = m.end()
+                continue
+            self._text(source[at : m.start()])
+            at = search = end
             if not name:
                 continue
             if m[1]:
                 self._end(name)
             elif name in RAW:
                 close = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-                at = close.end() if close else len(source)
+                at = search = close.end() if close else len(source)
             else:
-                self._start(name, m[3])
+                self._start(name, source[m.end() : end - 1])
         self._text(source[at:])
         self._break()
 

@@ -97,6 +97,20 @@ def test_broken_pages_do_not_fail(source):
     assert isinstance(html_text.Page(source).main_text("/body"), str)
 
 
+@pytest.mark.parametrize("size", [100, 8192, 8193, 10_000, 1_000_000])
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_attributes_of_any_length(size, quote):
+    long = f"{quote}{'<p> d>' * (size // 6)}{quote}"
+    source = f"<div class='story'><p>one<img src={long}>two</p><div data-x={long} class='nav'><p>Menu</p></div><p>three</p></div>"
+    assert html_text.Page(source).main_text(None) == "onetwo\nthree"
+
+
+@pytest.mark.parametrize("part", ["<a href=\"", "<a b='", "<a ", "<p a=\"x", "<a b='\" "])
+def test_quotes_that_stay_open_take_linear_time(part):
+    assert isinstance(html_text.Page(part * 20_000 + "'\">").main_text(None), str)
+    assert "left <a b=" in html_text.Page("<p>left <a b='c>right").main_text(None)
+
+
 def test_hosts_vote_and_every_row_gets_a_text(spark):
     long, short = "<p>" + "words of the story " * 20 + "</p>", "<p>tiny</p>"
     rows = [(i, "https://a.org/x", FRAME.format(holder=f"post-{i}", body=long * 3), "own", "t") for i in range(5)]
