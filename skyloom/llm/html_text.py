@@ -3,7 +3,8 @@
 Each page's containers are scored by the text of their blocks without links. A container is named by
 its generalised path: tags and classes from the body down, with numbers in classes made alike. The
 pages of a host vote with the shares of their scores, Spark adds the votes up (in every task before
-the shuffle), and the text of each page is taken from its containers that lie on the winning path.
+the shuffle), and the text of each page is taken from its containers that lie on the winning path,
+or whole from the article or other container of text that these stand in.
 A page that lacks it, or has most of its text elsewhere, uses its own best container.
 """
 
@@ -32,6 +33,7 @@ BLOCK = frozenset(
     " h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 HOLDER = frozenset("article body div main section td".split())
+HEADINGS = frozenset("h1 h2 h3".split())
 ENDS_ITSELF = {"li": "ul ol", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}
 # What is not the article: elements, roles, and words in classes and ids.
 DROPPED = frozenset("aside button dialog footer form iframe nav noscript script select style svg template textarea".split())
@@ -43,6 +45,7 @@ DROPPED_WORDS = frozenset(
 )
 HEADER_WORDS = frozenset("header site-header page-header topbar".split())
 GOOD_WORDS = frozenset("article body content entry main post story text".split())
+PROPER = 40  # unlinked characters of a block that is a text; shorter ones are mostly labels and dates
 ENOUGH = 0.5  # of the best container's text; below it a page does not follow its host
 
 
@@ -93,6 +96,7 @@ class Page:
     def __init__(self, source: str):
         self.nodes: list[Node] = []
         self.blocks: list[tuple[Node, str]] = []  # (nearest holder, text)
+        self.proper: list[bool] = []  # of each block: a heading or a text, no boilerplate
         root = Node("", "", None, False, False)
         self.stack, self.open, self.links = [root], [], 0
         self.linked = 0
@@ -130,9 +134,13 @@ class Page:
             text = " ".join(html.unescape("".join(self.open)).split())
             if text:
                 node = self.stack[-1]
+                heading = False
                 while node.parent and node.tag not in HOLDER:
+                    heading = heading or node.tag in HEADINGS
                     node = node.parent
-                node.text += max(0, len(text) - self.linked)
+                own = max(0, len(text) - self.linked)
+                self.proper.append(2 * own >= len(text) and (heading or own >= PROPER))
+                node.text += own
                 node.blocks.append(len(self.blocks))
                 self.blocks.append((node, text))
             self.open.clear()
@@ -212,17 +220,40 @@ class Page:
                 out[n.path] = out.get(n.path, 0.0) + score[id(n)] * (1.25 if n.good else 1.0)
         return out
 
+    def _whole(self, node: Node) -> tuple[Node, Node | None]:
+        """The container that holds all of the article of ``node``, and a body whose own blocks belong to it.
+
+        That is the nearest article or main, else the outermost container with own text that is no
+        boilerplate. A body also holds the rest of the page: of it only such own blocks are taken.
+        """
+        holder, body, above = node, None, node
+        while above:
+            if above.tag in ("article", "main"):
+                return above, None
+            if above.tag in HOLDER and any(self.proper[k] for k in above.blocks):
+                if above.tag == "body":
+                    body = above
+                else:
+                    holder = above
+            above = above.parent
+        return holder, body
+
     def text_on(self, path: str) -> str:
-        """The blocks inside all containers of a path, in page order."""
-        kept, seen = [], {}
+        """The blocks of the articles that the containers of a path stand in, in page order."""
+        wholes, bodies, kept, seen = set(), set(), [], {}
+        for n in self.nodes:
+            if n.path == path:
+                whole, body = self._whole(n)
+                wholes.add(id(whole))
+                bodies.add(id(body))
 
         def inside(node: Node) -> bool:
             if id(node) not in seen:
-                seen[id(node)] = node.path == path and node.tag in HOLDER or bool(node.parent and inside(node.parent))
+                seen[id(node)] = id(node) in wholes or bool(node.parent and inside(node.parent))
             return seen[id(node)]
 
-        for node, text in self.blocks:
-            if inside(node):
+        for k, (node, text) in enumerate(self.blocks):
+            if inside(node) or id(node) in bodies and self.proper[k]:
                 kept.append(text)
         return "\n".join(kept)
 

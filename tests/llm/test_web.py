@@ -97,6 +97,28 @@ def test_broken_pages_do_not_fail(source):
     assert isinstance(html_text.Page(source).main_text("/body"), str)
 
 
+LONG = "Some words of the story. " * 60
+PARTS = f"<h1>Title</h1><p>The lead of it</p><section><p>{LONG}</p></section><section><p>{LONG}</p></section><p>The end</p>"
+BODY = f"<h1>Title</h1><p>The lead of it</p><div class='entry-content'><p>{LONG}</p><p>{LONG}</p></div><p>The end</p>"
+
+
+@pytest.mark.parametrize("parts", [PARTS, BODY])
+@pytest.mark.parametrize("holder", ["article", "main", "div", "section"])
+def test_title_and_lead_beside_the_containers(parts, holder):
+    other = f"<div class='teasers'><p>{LONG[:200]}</p></div>"
+    page = html_text.Page(f"<body><div class='page'>{other}<{holder} class='x'>{parts}</{holder}></div></body>")
+    want = "\n".join(["Title", "The lead of it", LONG.strip(), LONG.strip(), "The end"])
+    assert page.main_text(None) == want
+    assert all(page.main_text(path) == want for path in page.scores() if "x" in path)
+
+
+def test_title_and_lead_in_the_body():
+    lead, other = "The lead of this story, which is a sentence.", "<div class='teasers'><p>Other</p></div><a href='/'>Home</a>"
+    body = BODY.replace("The lead of it", lead).replace("The end", lead)
+    text = html_text.Page(f"<body>{other}{body}</body>").main_text(None)
+    assert text == "\n".join(["Title", lead, LONG.strip(), LONG.strip(), lead])
+
+
 @pytest.mark.parametrize("size", [100, 8192, 8193, 10_000, 1_000_000])
 @pytest.mark.parametrize("quote", ["'", '"'])
 def test_attributes_of_any_length(size, quote):
