@@ -43,9 +43,20 @@ DROPPED_WORDS = frozenset(
     " masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related"
     " share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+# Names of a class or id that only tell of a page's layout, state or topic, by their first or last word.
+STATES_FIRST = frozenset("with without no not has have is hide hides show shows hidden before after category tag topic format type".split())
+STATES_LAST = frozenset("open opened closed on off enabled disabled active inactive allowed layout".split())
+# "related" and the like name what is listed; alone, or before one of these
+LISTED = frozenset("related promoted sponsored".split())
+LISTS = frozenset(
+    "article articles box block content item items link links list news post posts product products reading section"
+    " sidebar stories story topics videos widget".split()
+)
 HEADER_WORDS = frozenset("header site-header page-header topbar".split())
 GOOD_WORDS = frozenset("article body content entry main post story text".split())
 PROPER = 40  # unlinked characters of a block that is a text; shorter ones are mostly labels and dates
+WHOLLY, PARTLY = 2, 1  # a name of a class or id is a dropped word, or a dropped word begins or ends it
+MOST = {WHOLLY: 0.9, PARTLY: 0.5}  # of the unlinked text: where more of it stands is no side matter
 ENOUGH = 0.5  # of the best container's text; below it a page does not follow its host
 
 
@@ -56,6 +67,8 @@ class Node:
     parent: Node | None
     dropped: bool
     good: bool
+    named: int = 0  # dropped by its class or id, unless the page's text is in it: WHOLLY or PARTLY
+    within: int = 0  # of such a one: unlinked characters in it
     text: int = 0  # characters of own blocks outside links
     blocks: list[int] = field(default_factory=list)
 
@@ -64,6 +77,22 @@ def words_of(attributes: dict[str, str]) -> set[str]:
     return set(re.findall(r"[a-z]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
 
 
+def named(attributes: dict[str, str]) -> int:
+    """Whether a class or an id names something that is not the article."""
+    found = 0
+    for name in f"{attributes.get('class') or ''} {attributes.get('id') or ''}".lower().split():
+        if name in DROPPED_WORDS:
+            return WHOLLY
+        words = re.findall("[a-z]+", name)
+        if not words or words[0] in STATES_FIRST or words[-1] in STATES_LAST:
+            continue
+        if words[0] in LISTED:
+            found = max(found, PARTLY * (len(words) == 1 or words[-1] in LISTS))
+        elif words[0] in DROPPED_WORDS or words[-1] in DROPPED_WORDS:
+            found = PARTLY
+    return found
+
+
 class TagEnds:
     """Where tags end: at the first '>' outside quotes, however long those are. Linear over a page."""
 
@@ -99,6 +128,7 @@ class Page:
         self.proper: list[bool] = []  # of each block: a heading or a text, no boilerplate
         root = Node("", "", None, False, False)
         self.stack, self.open, self.links = [root], [], 0
+        self.found: list[tuple[Node, str, int]] = []  # (innermost element, text, unlinked characters)
         self.linked = 0
         at = search = 0
         ends = TagEnds(source)
@@ -121,6 +151,7 @@ class Page:
                 self._start(name, source[m.end() : end - 1])
         self._text(source[at:])
         self._break()
+        self._settle()
 
     def _text(self, text: str) -> None:
         if text and not self.stack[-1].dropped:
@@ -133,19 +164,54 @@ class Page:
         if self.open:
             text = " ".join(html.unescape("".join(self.open)).split())
             if text:
-                node = self.stack[-1]
-                heading = False
-                while node.parent and node.tag not in HOLDER:
-                    heading = heading or node.tag in HEADINGS
-                    node = node.parent
-                own = max(0, len(text) - self.linked)
-                self.proper.append(2 * own >= len(text) and (heading or own >= PROPER))
-                node.text += own
-                node.blocks.append(len(self.blocks))
-                self.blocks.append((node, text))
+                self.found.append((self.stack[-1], text, max(0, len(text) - self.linked)))
             self.open.clear()
         self.linked = 0
 
+    def _settle(self) -> None:
+        """Drop what is named so, but not where the text of the page is, and give the rest to its holders."""
+        names: dict[int, list[Node]] = {}
+
+        def above(node: Node | None) -> list[Node]:
+            """The named elements around a node, the outermost first."""
+            way = []
+            while node and id(node) not in names:
+                way.append(node)
+                node = node.parent
+            known = names[id(node)] if node else []
+            for n in reversed(way):
+                known = [*known, n] if n.named else known
+                names[id(n)] = known
+            return known
+
+        every, good, outer = 0, False, {}
+        for node, _, own in self.found:
+            every += own
+            around = above(node)
+            for n in around:
+                n.within += own
+                outer[id(n)] = n
+            if not around and own:
+                while node and not node.good:
+                    node = node.parent
+                good = good or node is not None
+        for n in outer.values():
+            # a whole name is believed as long as there is another place for the article
+            n.named *= n.within <= MOST[n.named] * every or (n.named == WHOLLY and good)
+        for node, text, own in self.found:
+            if any(n.named for n in names[id(node)]):
+                continue
+            heading = False
+            while node.parent and node.tag not in HOLDER:
+                heading = heading or node.tag in HEADINGS
+                node = node.parent
+            self.proper.append(2 * own >= len(text) and (heading or own >= PROPER))
+            node.text += own
+            node.blocks.append(len(self.blocks))
+            self.blocks.append((node, text))
+        self.nodes = [n for n in self.nodes if not any(x.named for x in above(n))]
+        self.found.clear()
+
     def _start(self, name: str, rest: str) -> None:
         if name == "br" or name == "td" or name == "th":
             self._text(" ")
@@ -156,9 +222,7 @@ class Page:
             self._close(name, ENDS_ITSELF[name].split())
         if name in VOID:
             return
-        attributes = {}
-        if "=" in rest:
-            attributes = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(rest)}
+        attributes = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(rest)} if rest else {}
         words = words_of(attributes) if attributes else set()
         above = self.stack[-1]
         inside = any(n.tag in ("article", "main") for n in self.stack)
@@ -166,20 +230,30 @@ class Page:
             above.dropped
             or name in DROPPED
             or attributes.get("role", "").lower() in DROPPED_ROLES
-            or bool(words & DROPPED_WORDS)
-            or (not inside and (name == "header" or bool(words & HEADER_WORDS)))
-            or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", rest) is not None
+            or (not inside and name == "header")
+            or "hidden" in attributes
             or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         ) and name not in ("html", "body")
+        by_name = 0
+        if attributes and not dropped and name not in ("html", "body", "article", "main"):
+            by_name = named(attributes)
+            if not inside and HEADER_WORDS & set(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()):
+                by_name = WHOLLY
+            if by_name and name not in BLOCK and name != "td":
+                dropped, by_name = True, 0  # inside a line there is no container to keep
+        if by_name:
+            self._break()
         classes = sorted(re.sub("[0-9]+", "#", c) for c in attributes.get("class", "").lower().split())
         path = f"{above.path}/{'.'.join([name, *classes])}" if name in BLOCK or name == "td" else above.path
-        node = Node(name, path, above, dropped, name in ("article", "main") or bool(words & GOOD_WORDS))
+        node = Node(name, path, above, dropped, name in ("article", "main") or bool(words & GOOD_WORDS), by_name)
         self.stack.append(node)
         self.links += name == "a"
         if name in HOLDER and not dropped:
             self.nodes.append(node)
 
     def _pop(self) -> None:
+        if self.stack[-1].named:
+            self._break()
         self.links -= self.stack.pop().tag == "a"
 
     def _close(self, name: str, stops) -> None:
@@ -247,10 +321,14 @@ class Page:
                 wholes.add(id(whole))
                 bodies.add(id(body))
 
-        def inside(node: Node) -> bool:
-            if id(node) not in seen:
-                seen[id(node)] = id(node) in wholes or bool(node.parent and inside(node.parent))
-            return seen[id(node)]
+        def inside(node: Node | None) -> bool:
+            way = []
+            while node and id(node) not in seen and id(node) not in wholes:
+                way.append(id(node))
+                node = node.parent
+            found = node is not None and seen.get(id(node), True)
+            seen.update(dict.fromkeys(way, found))
+            return found
 
         for k, (node, text) in enumerate(self.blocks):
             if inside(node) or id(node) in bodies and self.proper[k]:

@@ -119,6 +119,33 @@ def test_title_and_lead_in_the_body():
     assert text == "\n".join(["Title", lead, LONG.strip(), LONG.strip(), lead])
 
 
+NAMES = [
+    "class='layout with-sidebar'", "class=no-sidebar", "class='elementor-widget-text-editor'", "class='post category-social'",
+    "class='comments-open'", "id='related-work'", "title='the hidden one'", "class='sidebar-page'", "class=widget", "class='page-header'",
+]
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("tag", ["div", "section", "article", "main", "td", "body"])
+def test_names_of_wrappers_keep_the_article(name, tag):
+    side = "<div class='site-sidebar'><p>Side</p></div><ul id='main-nav'><li>Menu</ul><p hidden>No</p><div class='related-posts'>More</div>"
+    open_, close = ("<table><tr>", "</table>") if tag == "td" else ("", "")
+    page = html_text.Page(f"<body>{open_}<{tag} {name}><h1>Title</h1><p>{LONG}</p>{side}<p>The end</p></{tag}>{close}</body>")
+    assert page.main_text(None) == f"Title\n{LONG.strip()}\nThe end"
+
+
+def test_parts_of_an_article_are_not_dropped_for_a_modifier():
+    parts = "".join(f"<div {n}><p>part {k}</p></div>" for k, n in enumerate(NAMES[:7]))
+    text = html_text.Page(f"<body><article>{parts}<p>{LONG}</p></article></body>").main_text(None)
+    assert text == "\n".join([*(f"part {k}" for k in range(7)), LONG.strip()])
+
+
+def test_containers_of_containers_keep_their_score():
+    page = html_text.Page("<body><div class=a><div class=b><p>" + "b" * 100 + "</div><div class=c><p>" + "c" * 90 + "</div></div>")
+    assert page.scores() == {"/body/div.a": 95, "/body/div.a/div.b": 100, "/body/div.a/div.c": 90}
+    assert html_text.Page("<article><p>a</p>" + "<div class=x>" * 3000 + LONG).main_text(None) == "a\n" + LONG.strip()
+
+
 @pytest.mark.parametrize("size", [100, 8192, 8193, 10_000, 1_000_000])
 @pytest.mark.parametrize("quote", ["'", '"'])
 def test_attributes_of_any_length(size, quote):
