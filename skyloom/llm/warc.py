@@ -3,7 +3,8 @@
 A record is a gzip member of its own. Of equal payloads the one with the largest page id is written
 in full, the others as revisits of it. The reader checks each record (gzip CRC, version line, length,
 end mark, block digest). After a failed check it searches for the next gzip member or version line
-that begins a sound record, goes on there, and logs the bytes in between as a gap.
+that begins a sound record, goes on there, and logs the bytes in between as a gap. Foreign members of
+many records are searched inside as well; a gap in one has the member's place in the file.
 """
 
 from __future__ import annotations
@@ -95,29 +96,45 @@ def member(data: memoryview, at: int) -> tuple[bytes, int] | None:
     return b"".join(out), at - len(unpack.unused_data)
 
 
+def records_in(content: bytes) -> Iterator[tuple[dict, bytes, int] | None]:
+    """The sound records of a gzip member, and None for what lies before, between or behind them."""
+    data, at, lost = memoryview(content), 0, False
+    while at < len(content):
+        if one := parse(data, at):
+            yield one
+            at, lost = one[2], False
+            continue
+        if not lost:
+            yield None
+        lost = True
+        at = content.find(b"WARC/1", at + 1)
+        if at < 0:
+            return
+
+
 def salvage(content: bytes) -> Iterator[tuple[str, int, int, dict, bytes]]:
-    """('record', from, to, headers, block) and ('gap', from, to, {}, b'') over all bytes of an archive."""
+    """('record', from, to, headers, block) and ('gap', from, to, {}, b'') over all bytes of an archive.
+
+    All records and gaps of one gzip member have its place.
+    """
     data, at, lost = memoryview(content), 0, None
     while at < len(content):
         found, end = [], at
         if content[at : at + 2] == b"\x1f\x8b":
             got = member(data, at)
             if got:
-                inner, place = memoryview(got[0]), 0
-                while place < len(inner) and (one := parse(inner, place)):
-                    found.append(one)
-                    place = one[2]
+                found = list(records_in(got[0]))
                 end = got[1]
-                if place < len(inner):
-                    found = []  # a member must hold records and nothing else
+                if not any(found):
+                    found = []
         elif one := parse(data, at):
             found, end = [one], one[2]
         if found:
             if lost is not None:
                 yield "gap", lost, at, {}, b""
                 lost = None
-            for headers, block, _ in found:
-                yield "record", at, end, headers, block
+            for one in found:
+                yield ("record", at, end, *one[:2]) if one else ("gap", at, end, {}, b"")
             at = end
             continue
         lost = at if lost is None else lost

@@ -1,5 +1,6 @@
 """Archives, main text and URL rules against plain Python."""
 
+import gzip
 import hashlib
 import itertools
 import random
@@ -77,6 +78,18 @@ def test_damage_costs_only_the_damaged_record(spark, tmp_path):
     assert list(warc.salvage(b"")) == [] and [x[:3] for x in warc.salvage(b"nothing here")] == [("gap", 0, 12)]
 
 
+@pytest.mark.parametrize("bad", [(), (0,), (1,), (2,), (0, 1), (0, 2), (0, 1, 2)])
+def test_damage_inside_a_member_costs_only_its_records(spark, tmp_path, bad):
+    records = [bytearray(gzip.decompress(warc.record(i, f"http://h/{i}", text, hashlib.sha1(text).hexdigest(), None))) for i in range(3) for text in [b"payload %d" % i]]
+    for k in bad:
+        records[k][-6] ^= 1  # in the block: its digest fails
+    alone = warc.record(9, "http://h/9", b"nine", hashlib.sha1(b"nine").hexdigest(), None)
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(b"".join(records)) + alone)
+    found, gaps = warc.read_archives(spark, f"file://{tmp_path}")
+    assert [r["page_id"] for r in found.collect()] == [k for k in range(3) if k not in bad] + [9]
+    assert gaps.count() == (2 if bad == (0, 2) else min(len(bad), 1))
+
+
 # ---- op5
 
 FRAME = """<html><head><title>T</title><style>p{{}}</style></head><body class="x">
