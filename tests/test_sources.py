@@ -65,6 +65,42 @@ def test_feed_files_of_both_layouts_in_their_order(spark, tmp_path):
     assert [r["temperature_c"] for r in first.collect()] == [1.0]
 
 
+def test_files_of_lines_never_come_into_one_row(spark, tmp_path, monkeypatch):
+    reader = type(spark.read)
+    read = reader.text
+    monkeypatch.setattr(reader, "text", lambda self, path, wholetext=False, **k: pytest.fail("a whole file in a row") if wholetext else read(self, path, **k))
+    monkeypatch.setattr(feeds, "ROW_BYTES", 20_000)
+    lines = [json.dumps({"n": i}) for i in range(300)]
+    pretty = {"a": [{}, [], {"k": [1, 2]}], "b": [[1], [2, 3]], "long": list(range(900))}
+    files = {
+        "a=1/lines.json": "\n".join(lines),
+        "a=1/odd.json": "broken {\n" + "\n\n".join(lines),
+        "a=2/pretty.json": "\n \r\n" + json.dumps(pretty, indent=1).replace("\n", "\r\n"),
+        "a=2/array.json": "[\n" + ",\n".join(lines) + "\n]",
+        "a=2/torn.json": '{\n"x": 1,\n',
+        "a=3/long.json": json.dumps(list(range(9000)), indent=1),
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        docs = feeds.read_documents(spark, str(tmp_path)).orderBy("arrival").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    by_file = {}
+    for r in docs:
+        name = "/".join(r["arrival"]["file"].split("/")[-2:])
+        assert name.startswith(f"a={r['a']}/")
+        by_file.setdefault(name, []).append(r["doc"])
+    assert by_file["a=1/lines.json"] == lines
+    assert [d for d in by_file["a=1/odd.json"] if d] == ["broken {", *lines]
+    assert [json.loads(d) for d in by_file["a=2/pretty.json"]] == [pretty]
+    assert [json.loads(d) for d in by_file["a=2/array.json"]] == [[json.loads(x) for x in lines]]
+    assert by_file["a=2/torn.json"] == ["{", '"x": 1,']
+    assert by_file["a=3/long.json"] == files["a=3/long.json"].splitlines()
+
+
 def test_rows_without_a_key_are_not_stored(spark, tmp_path):
     ddl = "storm_id string, name string, timestamp timestamp, lat double, lon double, max_wind_kt double, min_pressure_mb double, status string, ingest_seq long"
     for name in ("A", "B"):
