@@ -11,8 +11,6 @@ from skyloom.operators import daily as D, forests as M, tracks as K
 from skyloom.session import workspace
 from skyloom.sources.feeds import parse_active_storms
 
-# Full-size forests belong to the jobs; the registered queries fit fewer trees on all rows.
-TREES = 20
 VERSION = "2024-02-01T00:00:00Z"
 
 
@@ -23,16 +21,14 @@ def _features(spark, sf_dir):
 @query("m_rain")
 def m_rain(spark, sf_dir):
     """M3: hold-out rain probabilities at all horizons."""
-    _, holdout = M.fit_days(_features(spark, sf_dir), VERSION, trees=TREES, targets=("rain",))
+    _, holdout = M.fit_days(_features(spark, sf_dir), VERSION, targets=("rain",))
     return present(holdout.select("station_id", "date", "horizon_days", "y_rain", "rain", "rain_probability"))
 
 
 @query("m_temp")
 def m_temp(spark, sf_dir):
     """M4: hold-out high and low at all horizons."""
-    _, holdout = M.fit_days(
-        _features(spark, sf_dir), VERSION, trees=TREES, targets=("temp_max", "temp_min")
-    )
+    _, holdout = M.fit_days(_features(spark, sf_dir), VERSION, targets=("temp_max", "temp_min"))
     return present(
         holdout.select("station_id", "date", "horizon_days", "y_temp_max", "temp_max_pred_c", "y_temp_min", "temp_min_pred_c")
     )
@@ -41,7 +37,7 @@ def m_temp(spark, sf_dir):
 def _fit_tracks(spark, sf_dir, horizons=(12, 24, 48, 72)):
     fixes = c_fixes(spark, sf_dir)
     motion = K.storm_motion(fixes, seq="ingest_seq")
-    return M.fit_tracks(motion, fixes, VERSION, horizons=horizons, minimum=10, trees=TREES)
+    return M.fit_tracks(motion, fixes, VERSION, horizons=horizons)
 
 
 @query("m_track")
@@ -55,7 +51,7 @@ def m_track(spark, sf_dir):
 def m_forecast_days(spark, sf_dir):
     """Train, save, load, forecast every station's latest day."""
     features = _features(spark, sf_dir)
-    bundle, _ = M.fit_days(features, VERSION, trees=TREES)
+    bundle, _ = M.fit_days(features, VERSION)
     path = workspace(spark, "day-models")
     M.save_bundle(spark, bundle, path)
     return present(M.forecast_days(M.load_bundle(spark, path), D.latest_features(features)))
@@ -72,7 +68,7 @@ def m_forecast_storms(spark, sf_dir):
 @query("q_model_manifest")
 def q_model_manifest(spark, sf_dir):
     """Manifest of a saved bundle."""
-    bundle, _ = M.fit_days(_features(spark, sf_dir), VERSION, trees=TREES, targets=("rain",))
+    bundle, _ = M.fit_days(_features(spark, sf_dir), VERSION, targets=("rain",))
     path = workspace(spark, "manifest")
     M.save_bundle(spark, bundle, path)
     return M.read_manifest(spark, path).select("trained_at", F.col("horizon").cast("long").alias("horizon"), "target")

@@ -28,3 +28,20 @@ def test_query_equals_sql(spark, con, name):
         assert entry.queries()[name](spark, SF).count() > 0
         return
     assert compare(spark, con, SF, name, entry.queries()[name], entry.oracle_sql()[name]) == ""
+
+
+@pytest.mark.parametrize("name", ["m_rain", "m_temp", "m_track", "m_forecast_days", "m_forecast_storms", "q_model_manifest"])
+def test_model_queries_fit_the_forests_of_the_jobs(spark, monkeypatch, name):
+    from skyloom.operators import forests
+
+    class Asked(Exception):
+        pass
+
+    def fit(*args, **sizes):
+        assert not {"trees", "minimum"} & set(sizes)
+        raise Asked
+
+    monkeypatch.setattr(forests, "fit_days", fit)
+    monkeypatch.setattr(forests, "fit_tracks", fit)
+    with pytest.raises(Asked):
+        entry.queries()[name](spark, SF)
