@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from skyloom.llm.bpe import op11_bpe
+from skyloom.llm.conversations import op12_repair
 from skyloom.llm.decontaminate import OP2_SQL, op2_decontaminate
 from skyloom.llm.html_text import op5_html
 from skyloom.llm.jaccard import op7_jaccard
+from skyloom.llm.periodic import op13_periodic
 from skyloom.llm.pieces import op1_sentencepiece
 from skyloom.llm.pii import op10_pii
 from skyloom.llm.quality import op6_quality
@@ -24,5 +27,8 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_url_rules": op9_url_rules,
     "op10_pii": op10_pii,
+    "op11_bpe": op11_bpe,
+    "op12_repair": op12_repair,
+    "op13_periodic": op13_periodic,
 }
 ORACLES = {"op2_decontaminate": OP2_SQL, "op3_vector_dedup": OP3_SQL, "op8_warc": OP8_SQL}
