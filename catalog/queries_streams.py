@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.carrier_sql import micros, r6, with_ctes
-from catalog.carriers import c_daily, c_fixes, c_obs, c_scans
+from catalog.carriers import c_daily, c_fixes, c_frames, c_obs, c_scans
 from catalog.queries_daily import _BLEND, _JOINED, _preds_sql, c_preds
+from catalog.queries_grids import _ACTUAL, _NOWCAST, _SCORES, LEAD, flow_frames
 from catalog.queries_tracks import _FORECASTS, _nearest, c_track_preds
 from catalog.registry import present, query
+from skyloom.operators import rasters as R
 from skyloom.operators.verify import score_days
 from skyloom.session import workspace
 from skyloom.sources.schemas import TABLES
@@ -147,6 +149,65 @@ def t_score(spark, sf_dir):
     return present(scores.drop("n_pending", "n_rain"))
 
 
+_REVISED_SCORES = f"""SELECT model_trained_at, CAST(horizon_days AS BIGINT) AS horizon_days,
+  CAST(count(*) FILTER (WHERE NOT pending) AS BIGINT) AS n_samples, CAST(count(*) FILTER (WHERE pending) AS BIGINT) AS n_pending,
+  {r6('avg(CASE WHEN pending THEN NULL WHEN actual_rain = rain_predicted THEN 1.0 WHEN actual_rain <> rain_predicted THEN 0.0 END)')} AS rain_accuracy,
+  {r6('avg(CASE WHEN NOT pending THEN power(actual_rain - rain_probability, 2) END)')} AS rain_brier,
+  {r6('avg(abs(actual_temp_max_c - temp_max_pred_c))')} AS temp_max_mae,
+  {r6('avg(CASE WHEN NOT pending THEN abs(actual_temp_min_c - temp_min_pred_c) END)')} AS temp_min_mae
+FROM joined GROUP BY 1, 2"""
+
+
+@query("t_score_revised", with_ctes("daily", _preds_sql("c_daily", _BLEND), _JOINED, _REVISED_SCORES))
+def t_score_revised(spark, sf_dir):
+    """Every day gets a provisional outcome too; of odd months the final one comes first. Scored once, by the final one."""
+    root = workspace(spark, "t-revised")
+    final = c_daily(spark, sf_dir).drop("ingest_seq").withColumn("version", F.lit(2))
+    early = final.withColumn("version", F.lit(1)).withColumns(
+        {"temp_max_c": F.col("temp_max_c") + 40, "rain": F.when(F.col("rain") == 0, 1), "temp_min_c": F.lit(None).cast("double")}
+    )
+    outcomes = early.unionByName(final).withColumn("kind", F.lit("outcome"))
+    forecasts = c_preds(spark, sf_dir).withColumn("kind", F.lit("prediction"))
+    rows = outcomes.unionByName(forecasts, allowMissingColumns=True)
+    odd = F.month("date") % 2 == 1
+    turns = [
+        (F.col("kind") == "outcome") & F.when(odd, F.col("version") == 2).otherwise(F.col("version") == 1),
+        (F.col("kind") == "prediction") & (F.col("horizon_days") == 1),
+        (F.col("kind") == "outcome") & F.when(odd, F.col("version") == 1).otherwise(F.col("version") == 2),
+        (F.col("kind") == "prediction") & (F.col("horizon_days") != 1),
+    ]
+    _finish(J.match_outcomes(stream_of(spark, rows, f"{root}/spool", turns), root, f"{root}/checkpoint"))
+    matched = read_table(spark, f"{root}/prediction_outcomes", "prediction_outcomes")
+    scores = score_days(matched.withColumn("pending", F.col("actual_temp_max_c").isNull()))
+    return present(scores.drop("n_rain"))
+
+
+@query(
+    "t_score_nowcasts",
+    with_ctes(
+        "frames cells",
+        *_NOWCAST,
+        _ACTUAL,
+        _SCORES,
+        f"""SELECT station, {micros('predicted_at')} AS predicted_at, {micros('valid_at')} AS valid_at, method,
+  CAST({LEAD} AS DOUBLE) AS lead_minutes, {micros('actual_at')} AS actual_at, round(mae_dbz, 4) + 0.0 AS mae_dbz, {r6('csi')} AS csi FROM scores""",
+    ),
+)
+def t_score_nowcasts(spark, sf_dir):
+    """Frames and nowcasts come mixed, many before their truth and many after; the table ends as the batch join."""
+    root = workspace(spark, "t-nowcasts")
+    frames = c_frames(spark, sf_dir)
+    nowcasts = R.nowcast(flow_frames(spark, sf_dir, frames), LEAD)
+    rows = frames.withColumn("kind", F.lit("frame")).unionByName(
+        nowcasts.withColumn("kind", F.lit("nowcast")), allowMissingColumns=True
+    )
+    turn = F.pmod(F.xxhash64("station", F.coalesce("timestamp", "predicted_at"), "kind"), F.lit(3))
+    stream = stream_of(spark, rows, f"{root}/spool", [turn == i for i in range(3)])
+    _finish(J.match_nowcasts(stream, root, f"{root}/checkpoint"))
+    outcomes = read_table(spark, f"{root}/radar_nowcast_outcomes", "radar_nowcast_outcomes")
+    return present(outcomes.drop("valid_date"), mae_dbz=4)
+
+
 @query(
     "t_score_tracks",
     with_ctes(

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from catalog.carrier_sql import bearing, day, dest_lat, dest_lon, haversine, micros, r6, with_ctes, wrap360
 from catalog.carriers import c_fixes, events
 from catalog.registry import present, query
-from skyloom.constants import TRACK_FEATURES
+from skyloom.constants import TEST_SEASONS, TRACK_FEATURES
 from skyloom.functions.geo import bearing_deg, compass, destination, haversine_km
 from skyloom.functions.register import register_functions
 from skyloom.operators import tracks as K, verify as V
+from skyloom.sources.tables import materialise
 
 _HOME = ("CAST(36.1245 AS DOUBLE)", "CAST(-86.6782 AS DOUBLE)")
 _GEO = with_ctes(
@@ -192,7 +193,7 @@ def q_storm_training(spark, sf_dir):
     ),
 )
 def q_season_split(spark, sf_dir):
-    rows = K.season_split(_training(spark, sf_dir))
+    rows = K.season_split(materialise(spark, _training(spark, sf_dir).select("storm_id", "timestamp", "horizon_hours")))
     return present(rows.select("storm_id", "timestamp", "horizon_hours", "is_test"))
 
 
@@ -216,8 +217,7 @@ _LINE = (
     ),
 )
 def q_track_baseline(spark, sf_dir):
-    test = K.season_split(_training(spark, sf_dir)).filter("is_test")
-    return present(K.track_baseline(test), track_baseline_error_km=3)
+    return present(K.track_baseline(_training(spark, sf_dir), TEST_SEASONS), track_baseline_error_km=3)
 
 
 _FORECASTS = (

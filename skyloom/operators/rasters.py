@@ -84,15 +84,22 @@ def require_frames(frames: DataFrame, n: int = 2) -> None:
 
 
 def frame_pairs(frames: DataFrame, slice_s: float = _PAIR_SLICE_S) -> DataFrame:
-    """Every frame with its predecessor's grid and the interval in minutes (> 0)."""
+    """Every frame with its predecessor's grid and the interval in minutes (> 0).
+
+    Predecessors are found on keys alone; then each grid is fetched once by an equality join. The joins
+    hash their narrow or earlier side, so no grid is ever sorted. (station, time) pairs are unique, which
+    spreads them evenly whatever station is large.
+    """
     paired = with_previous(
-        frames, ["station"], "timestamp", [_GRID], time_slice(F.col("timestamp"), slice_s)
+        frames.select("station", "timestamp"), ["station"], "timestamp", [], time_slice(F.col("timestamp"), slice_s)
     )
     minutes = hours_between(F.col("timestamp"), F.col("prev_timestamp")) * 60
+    keys = paired.withColumn("interval_minutes", minutes).filter(F.col("interval_minutes") > 0)
+    earlier = frames.select("station", F.col("timestamp").alias("prev_timestamp"), F.col(_GRID).alias("prev_dbz"))
     return (
-        paired.withColumnRenamed(f"prev_{_GRID}", "prev_dbz")
-        .withColumn("interval_minutes", minutes)
-        .filter(F.col("interval_minutes") > 0)
+        frames.join(keys.hint("shuffle_hash"), ["station", "timestamp"])
+        .join(earlier.hint("shuffle_hash"), ["station", "prev_timestamp"])
+        .select(*frames.columns, "prev_timestamp", "prev_dbz", "interval_minutes")
     )
 
 
@@ -198,16 +205,25 @@ def grid_scores(
     tolerance_s: float = GRID_TOLERANCE_S,
     threshold: float = RAIN_THRESHOLD_DBZ,
 ) -> DataFrame:
-    """MAE and CSI of every nowcast that has an observed frame.
+    """MAE and CSI of every nowcast that has an observed frame."""
+    matched = match_grids(nowcasts, frames, tolerance_s).filter(F.col("actual_at").isNotNull())
+    return pair_scores(nowcasts, frames, matched, threshold)
+
 
-    Cells of a pair of grids are unrolled and summed inside the same task (generated
-    code, partial aggregation); what is shuffled is one row per nowcast.
+def pair_scores(
+    nowcasts: DataFrame, frames: DataFrame, matched: DataFrame, threshold: float = RAIN_THRESHOLD_DBZ
+) -> DataFrame:
+    """MAE and CSI of the nowcasts for which ``matched`` (station, valid_at) names the frame ``actual_at``.
+
+    The match goes to the frames first, so a nowcast's grid is shuffled once. Cells of a pair of grids are
+    unrolled and summed inside the same task (generated code, partial aggregation); what is shuffled
+    after that is one row per nowcast.
     """
-    matched = match_grids(nowcasts, frames, tolerance_s).filter(F.col("actual_at").isNotNull())
-    truth = frames.select(
+    observed = frames.select(
         "station", F.col("timestamp").alias("actual_at"), F.col(_GRID).alias("_actual")
     )
-    pairs = nowcasts.join(matched, ["station", "valid_at"]).join(truth, ["station", "actual_at"])
+    truth = observed.join(matched.select("station", "valid_at", "actual_at").hint("shuffle_hash"), ["station", "actual_at"])
+    pairs = nowcasts.join(truth, ["station", "valid_at"])
     keys = ["station", "predicted_at", "valid_at", "method", "lead_minutes", "actual_at"]
     cells = pairs.select(*keys, "_actual", F.posexplode(_GRID).alias("_i", "_p")).select(
         *keys, filled(F.col("_p")).alias("p"), filled(F.get("_actual", "_i")).alias("a")

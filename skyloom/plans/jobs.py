@@ -163,9 +163,9 @@ def _store_scores(spark: SparkSession, root: str, table: str, scores: DataFrame)
 # --- storm track --------------------------------------------------------------------------------
 
 
-def load_tracks(spark: SparkSession, root: str, path: str, basin: str = "AL") -> DataFrame:
-    """hurricane-backfill: S6, P2, P3, J6."""
-    fixes = best_track.parse_blocks(best_track.read_best_track(spark, path, basin))
+def load_tracks(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """hurricane-backfill: S6, P2, P3, W11, J6.  Files of any basin; of repeated fixes the last line counts."""
+    fixes = best_track.parse_lines(best_track.read_best_track(spark, path), keep=["arrival"])
     _reject(root, "tracks", "no storm or time", keyed(fixes, "hurricane_fixes")[1])
     return replace_into(spark, f"{root}/hurricane_fixes", "hurricane_fixes", _arrival(fixes), SEQ)
 

@@ -1,9 +1,9 @@
 """Best-track text: a header line governs the data lines after it.
 
-The file is read in storm-sized records: the text source splits large files on the
-record separator, so neither a whole file nor an ordering window is needed.  Lines
-that arrive one per row take the ``header_lines`` route, which carries the header
-forward per slice of the file.
+Files of any basin, or of several, are read by lines in their splits; every line knows its file, the
+start of its split and its place there. The header is carried forward within a split, and from split to split
+by a table with one row per split, so no file and no storm has to fit into one task. Text that
+already comes in blocks takes the ``parse_blocks`` route.
 """
 
 from __future__ import annotations
@@ -12,27 +12,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skyloom.functions.scalar import hemisphere_degrees, sentinel_number
 from skyloom.operators.sliced import fill_forward
+from skyloom.sources.feeds import in_file_order
 
 # --- fixed values ------------------------------------------------------------------
-BASINS = ("AL", "EP", "CP")
 _STORM_START = r"(?m)(?=^\s*[A-Z]{2}\d{6}\s*,)"
 _DATA_LINE = r"^\s*[+-]?\d+\s*,"
 # ------------------------------------------------------------------------------------
 _LINE_SLICE = 100_000
 
 
-def read_best_track(spark: SparkSession, path: str, basin: str = "AL") -> DataFrame:
-    """Text blocks of a best-track file, cut where a line starts with the basin code.
-
-    The cut eats the code itself, so it is put back on every block but a file's first.
-    A block of a mixed-basin file may hold several storms; ``parse_blocks`` splits them.
-    """
-    cut = spark.read.option("lineSep", "\n" + basin).text(path)
-    return cut.select(
-        F.when(F.col("value").rlike(r"^\d{6}\s*,"), F.concat(F.lit(basin), "value"))
-        .otherwise(F.col("value"))
-        .alias("block")
-    )
+def read_best_track(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of best-track files as ``file``, ``arrival`` (place in the file) and ``line``."""
+    lines = in_file_order(spark.read.text(path))
+    return lines.select("file", "arrival", F.col("value").alias("line"))
 
 
 def _fields(line):
@@ -76,13 +68,19 @@ def parse_blocks(blocks: DataFrame, keep: list[str] = ()) -> DataFrame:
 
 
 def header_lines(lines: DataFrame, slice_lines: int = _LINE_SLICE) -> DataFrame:
-    """(file, pos, line) rows -> data lines with the ``header`` that governs them."""
+    """(file, place, line) rows -> data lines with the ``header`` that governs them.
+
+    The place is ``arrival`` of a reader, sliced at the splits of the file, or a line number ``pos``, sliced
+    every ``slice_lines``. Data lines before a file's first header have none.
+    """
+    if "arrival" in lines.columns:
+        order, slice_of = "arrival", F.col("arrival.block")
+    else:
+        order, slice_of = "pos", F.floor(F.col("pos") / slice_lines)
     marked = lines.filter(F.trim("line") != "").withColumn(
         "_own", F.when(~F.col("line").rlike(_DATA_LINE), F.col("line"))
     )
-    carried = fill_forward(
-        marked, ["file"], "pos", "_own", F.floor(F.col("pos") / slice_lines), "header"
-    )
+    carried = fill_forward(marked, ["file"], order, "_own", slice_of, "header")
     return carried.filter(F.col("_own").isNull()).drop("_own")
 
 

@@ -13,8 +13,9 @@ from skyloom.constants import OBSERVATION_MEASURES
 class Table:
     """One stored table: column DDL, merge key, directory partition column (if any).
 
-    ``day_of`` names the column whose date (or year) partitions the files; the
-    partition value is derived on write, so a filter on it prunes directories.
+    The partition value is derived on write from ``partition_expr``, so a filter on it prunes
+    directories. Tables of ``grids`` also part their folders by station; their rows are only
+    ever appended (see ``skyloom.sources.grids``).
     """
 
     name: str
@@ -22,6 +23,14 @@ class Table:
     keys: tuple[str, ...]
     partition: str | None = None
     partition_expr: str | None = None
+    grids: bool = False
+
+    @property
+    def folders(self) -> tuple[str, ...]:
+        """Directory partition columns, outermost first."""
+        if self.partition is None:
+            return ()
+        return ("station", self.partition) if self.grids else (self.partition,)
 
     @property
     def schema(self) -> T.StructType:
@@ -110,6 +119,7 @@ TABLES = {
             ("station", "timestamp"),
             "scan_date",
             "to_date(timestamp)",
+            grids=True,
         ),
         Table(
             "radar_nowcasts",
@@ -119,6 +129,32 @@ TABLES = {
             ("station", "predicted_at", "valid_at", "method"),
             "valid_date",
             "to_date(valid_at)",
+            grids=True,
+        ),
+        Table(
+            "radar_nowcast_outcomes",
+            "station STRING, predicted_at TIMESTAMP, valid_at TIMESTAMP, method STRING,"
+            " lead_minutes DOUBLE, actual_at TIMESTAMP, mae_dbz DOUBLE, csi DOUBLE",
+            ("station", "predicted_at", "valid_at", "method"),
+            "valid_date",
+            "to_date(valid_at)",
+        ),
+        Table(
+            "daily_outcomes",
+            "station_id STRING, date DATE, rain INT, temp_max_c DOUBLE, temp_min_c DOUBLE, version BIGINT",
+            ("station_id", "date"),
+            "obs_year",
+            "year(date)",
+        ),
+        Table(
+            "prediction_outcomes",
+            "station_id STRING, predicted_date DATE, horizon_days INT, target_date DATE,"
+            " rain_probability DOUBLE, rain_predicted INT, temp_max_pred_c DOUBLE,"
+            " temp_min_pred_c DOUBLE, model_trained_at STRING, actual_rain INT,"
+            " actual_temp_max_c DOUBLE, actual_temp_min_c DOUBLE",
+            ("station_id", "predicted_date", "horizon_days"),
+            "target_month",
+            "trunc(target_date, 'MM')",
         ),
         Table(
             "radar_nowcast_performance",

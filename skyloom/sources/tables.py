@@ -10,14 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from skyloom.operators.merge import merge_ignore, owned_merge, table_part
 from skyloom.session import workspace
+from skyloom.sources import grids
 from skyloom.sources.schemas import TABLES, Table
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
@@ -39,13 +40,25 @@ def read_table(
     that filters on it prune directories.
     """
     spec = TABLES[table] if isinstance(table, str) else table
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return with_partition(spark.createDataFrame([], spec.schema), spec)
+    if spec.grids:
+        return grids.read_grids(spark, path, spec, skip_corrupt)
+    return stored_files(spark, path, spec, skip_corrupt)
+
+
+def stored_files(
+    spark: SparkSession, path: str, spec: Table, skip_corrupt: bool = False, more: str = ""
+) -> DataFrame:
+    """The rows of all files, with the partition column behind the declared ones, then ``more``."""
     schema = spec.schema
     if spec.partition:
         kind = with_partition(spark.createDataFrame([], spec.schema), spec).schema[spec.partition]
         schema = schema.add(kind)
-    return spark.read.schema(schema).option("ignoreCorruptFiles", skip_corrupt).parquet(path)
+    if more:
+        schema = T.StructType([*schema, *T.StructType.fromDDL(more)])
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", skip_corrupt).parquet(path)
+    return rows.select(*schema.fieldNames())
 
 
 def evolve(df: DataFrame, table: str | Table) -> DataFrame:
@@ -68,7 +81,7 @@ def append_rows(df: DataFrame, path: str, table: Table) -> None:
 def _write(df: DataFrame, path: str, table: Table, mode: str) -> None:
     writer = df.write.mode(mode).option("compression", "zstd")
     if table.partition:
-        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(table.partition)
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*table.folders)
     writer.parquet(path)
 
 
@@ -95,11 +108,9 @@ def keyed(df: DataFrame, table: str | Table) -> tuple[DataFrame, DataFrame]:
 
 def touched(stored: DataFrame, new: DataFrame, table: Table) -> DataFrame:
     """Stored rows of the directory partitions that ``new`` falls into."""
-    if table.partition is None:
-        return stored
-    return only_partitions(
-        stored, table.partition, with_partition(new, table).select(table.partition)
-    )
+    for column in table.folders:
+        stored = only_partitions(stored, column, with_partition(new, table).select(column))
+    return stored
 
 
 def insert_ignore(spark: SparkSession, path: str, name: str, new: DataFrame, seq: str) -> DataFrame:
@@ -109,10 +120,12 @@ def insert_ignore(spark: SparkSession, path: str, name: str, new: DataFrame, seq
     the key are not stored; ``keyed`` tells them apart.
     """
     table = TABLES[name]
+    if table.grids:
+        return grids.store_grids(spark, path, table, new, seq, replace=False)
     new, _ = keyed(new, table)
     stored = touched(read_table(spark, path, table), new, table)
     fresh = merge_ignore(stored, new, list(table.keys), seq).select(*table.schema.fieldNames())
-    fresh = _materialise(spark, fresh)
+    fresh = materialise(spark, fresh)
     append_rows(fresh, path, table)
     return fresh
 
@@ -132,14 +145,19 @@ def merge_into(
     table = TABLES[name]
     new, _ = keyed(new, table)
     stored = touched(read_table(spark, path, table), new, table)
-    merged = _materialise(spark, merge(stored.select(*table.schema.fieldNames()), new))
+    merged = materialise(spark, merge(stored.select(*table.schema.fieldNames()), new))
     _write(with_partition(table_part(merged), table), path, table, "overwrite")
     return merged
 
 
 def replace_into(spark: SparkSession, path: str, name: str, new: DataFrame, seq: str) -> DataFrame:
-    """J6 sink for the tables whose whole row is replaced."""
+    """J6 sink for the tables whose whole row is replaced.
+
+    Tables of grids return the stored rows only, all others also what they were merged with.
+    """
     table = TABLES[name]
+    if table.grids:
+        return grids.store_grids(spark, path, table, new, seq)
     columns = table.schema.fieldNames()
     owned = [c for c in columns if c not in table.keys]
     return merge_into(
@@ -151,7 +169,7 @@ def replace_into(spark: SparkSession, path: str, name: str, new: DataFrame, seq:
     )
 
 
-def _materialise(spark: SparkSession, df: DataFrame) -> DataFrame:
+def materialise(spark: SparkSession, df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         workspace(spark, "checkpoint")
     return df.checkpoint(eager=True)

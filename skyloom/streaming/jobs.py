@@ -1,9 +1,11 @@
 """T1-T4.  Every sink is an idempotent keyed merge, so a replayed micro-batch changes nothing.
 
 Exactness comes from the stored tables and not from stream state: a duplicate is
-recognised however late it arrives, and late truth still scores its forecast.  The
-one join that keeps state (``match_days``) has a unique key on its outcome side and
-is bounded by its watermark; rows beyond it stay pending for the batch scorer.
+recognised however late it arrives, and late truth still scores its forecast.  Outcome
+tables (``match_outcomes``, ``match_tracks``, ``match_nowcasts``) hold one row per forecast:
+whatever arrives, on either side and in any order, they end as the batch join would.  The
+one join that keeps state (``match_days``) is for outcomes that are not revised; it has a
+unique key on its outcome side and is bounded by its watermark.
 """
 
 from __future__ import annotations
@@ -13,15 +15,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skyloom.constants import LOCAL_TZ, TRACK_TOLERANCE_S
+from skyloom.constants import GRID_TOLERANCE_S, LOCAL_TZ, TRACK_TOLERANCE_S
 from skyloom.functions.scalar import local_date
 from skyloom.operators.daily import live_daily
-from skyloom.operators.merge import merge_enrichment, merge_gapfill, table_part
+from skyloom.operators.merge import last_per_key, merge_enrichment, merge_gapfill, table_part
+from skyloom.operators.rasters import match_grids, pair_scores
 from skyloom.operators.sliced import time_slice
-from skyloom.operators.verify import join_fixes
+from skyloom.operators.verify import join_fixes, join_outcomes
 from skyloom.sources.scans import parse_scans, scan_names
+from skyloom.sources.schemas import TABLES
 from skyloom.sources.tables import (
     insert_ignore,
+    materialise,
     merge_into,
     only_partitions,
     read_table,
@@ -166,6 +171,150 @@ def match_days(predictions: DataFrame, outcomes: DataFrame, delay: str = "10 day
     )
 
 
+def arrivals(**streams: DataFrame) -> DataFrame:
+    """One stream of several kinds of rows, ``kind`` telling them apart: one query then owns the outcome table."""
+    out = None
+    for kind, stream in streams.items():
+        rows = stream.withColumn("kind", F.lit(kind))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def _of_kind(batch: DataFrame, kind: str, table: str) -> DataFrame:
+    """The rows of one kind with the columns of its table and the arrival order."""
+    rows = batch.filter(F.col("kind") == kind)
+    have = set(rows.columns)
+    columns = [
+        F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in TABLES[table].schema
+    ]
+    return rows.select(*columns, F.col(SEQ) if SEQ in have else F.lit(0).alias(SEQ))
+
+
+def match_outcomes(
+    rows: DataFrame, root: str, checkpoint: str, reach_days: int = 31, trigger: dict | None = None
+) -> StreamingQuery:
+    """T4 for daily forecasts with outcomes that are revised: ``arrivals(prediction=..., outcome=...)``.
+
+    Outcomes are rows of daily observations with a ``version`` (arrival order where there is none). The highest
+    version of a day counts, however late a lower one comes; the forecasts of its day are joined again, so a
+    revised day is scored once, with its last value, and is pending again if it lost its high. Forecasts reach
+    at most ``reach_days`` ahead; a longer one is an error.
+    """
+
+    def step(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            forecasts = _of_kind(batch, "prediction", "predictions")
+            if not forecasts.filter(F.datediff("target_date", "predicted_date") > reach_days).isEmpty():
+                raise ValueError(f"a forecast reaches more than {reach_days} days ahead")
+            truth = _of_kind(batch, "outcome", "daily_outcomes")
+            truth = truth.withColumn("version", F.coalesce("version", SEQ)).drop(SEQ)
+            replace_into(spark, f"{root}/predictions", "predictions", forecasts, SEQ)
+            merge_into(
+                spark,
+                f"{root}/daily_outcomes",
+                "daily_outcomes",
+                truth,
+                lambda stored, new: last_per_key(stored.unionByName(new), ["station_id", "date"], "version"),
+            )
+            days = truth.select("station_id", F.col("date").alias("target_date")).unionByName(
+                forecasts.select("station_id", "target_date")
+            )
+            days = materialise(spark, days.distinct())
+            months = days.select(
+                F.explode(F.sequence(
+                    F.trunc(F.date_sub("target_date", reach_days), "MM"), F.trunc("target_date", "MM"), F.expr("INTERVAL 1 MONTH")
+                ))
+            )
+            stored = read_table(spark, f"{root}/predictions", "predictions")
+            due = only_partitions(stored, "predicted_month", months).drop("predicted_month")
+            due = due.join(days, ["station_id", "target_date"], "left_semi")
+            outcomes = read_table(spark, f"{root}/daily_outcomes", "daily_outcomes")
+            known = only_partitions(outcomes, "obs_year", days.select(F.year("target_date")))
+            matched = join_outcomes(due, known.drop("obs_year", "version")).drop("pending")
+            replace_into(
+                spark, f"{root}/prediction_outcomes", "prediction_outcomes", matched.withColumn(SEQ, F.lit(0)), SEQ
+            )
+        finally:
+            batch.unpersist()
+
+    return _run(rows, checkpoint, step, trigger)
+
+
+def match_nowcasts(
+    rows: DataFrame,
+    root: str,
+    checkpoint: str,
+    tolerance_s: float = GRID_TOLERANCE_S,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """T4 for radar nowcasts: ``arrivals(frame=..., nowcast=...)``, either side first.
+
+    Both are stored, then the nowcasts near what arrived are matched on keys alone. Grids are fetched only for
+    nowcasts that are new, replaced, or now have a nearer frame; their scores replace the earlier ones.
+    """
+    if tolerance_s > _SLICE_S:
+        raise ValueError(f"the tolerance must not exceed a slice of {_SLICE_S:.0f} s")
+    keys = list(TABLES["radar_nowcasts"].keys)
+    reach = F.make_dt_interval(secs=F.lit(float(tolerance_s)))
+
+    def step(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            frames = _of_kind(batch, "frame", "radar_frames")
+            nowcasts = _of_kind(batch, "nowcast", "radar_nowcasts")
+            insert_ignore(spark, f"{root}/radar_frames", "radar_frames", frames, SEQ)
+            replace_into(spark, f"{root}/radar_nowcasts", "radar_nowcasts", nowcasts, SEQ)
+            arrived = materialise(spark, nowcasts.select(*keys).distinct())
+            moments = frames.select("station", F.col("timestamp").alias("_at")).unionByName(
+                nowcasts.select("station", F.col("valid_at").alias("_at"))
+            )
+            # the slices that a match of what arrived can lie in, and the days of those slices
+            at = F.col("_at")
+            near = F.explode(F.array_distinct(F.array(*[time_slice(t, _SLICE_S) for t in (at - reach, at, at + reach)])))
+            slices = materialise(spark, moments.select("station", near.alias("_slice")).distinct())
+            day = F.date_from_unix_date(F.col("_slice").cast("int"))
+            around = slices.select("station", F.explode(F.array(F.date_sub(day, 1), day, F.date_add(day, 1))).alias("day"))
+
+            def within(name: str, column: str, days: DataFrame) -> DataFrame:
+                stored = only_partitions(read_table(spark, f"{root}/{name}", name), column, days.select("day"))
+                return only_partitions(stored, "station", slices.select("station")).drop(column)
+
+            stored = within("radar_nowcasts", "valid_date", slices.select(day.alias("day")))
+            due = stored.select(*keys).withColumn("_slice", time_slice(F.col("valid_at"), _SLICE_S))
+            due = due.join(slices, ["station", "_slice"], "left_semi").drop("_slice")
+            observed = within("radar_frames", "scan_date", around)
+            matched = match_grids(due, observed, tolerance_s).filter(F.col("actual_at").isNotNull())
+            outcomes = within("radar_nowcast_outcomes", "valid_date", slices.select(day.alias("day")))
+            before = outcomes.select(*keys, F.col("actual_at").alias("_was"))
+            same = F.col("_was").isNotNull() & (F.col("_was") == F.col("actual_at")) & F.col("_arrived").isNull()
+            changed = (
+                due.join(matched, ["station", "valid_at"])
+                .join(before, keys, "left")
+                .join(arrived.withColumn("_arrived", F.lit(True)), keys, "left")
+                .filter(~same)
+                .select(*keys, "actual_at")
+            )
+            changed = materialise(spark, changed)
+            grids = stored.join(changed.select(*keys), keys, "left_semi")
+            meant = changed.select("station", "valid_at", "actual_at").distinct()
+            scores = pair_scores(grids, observed, meant)
+            replace_into(
+                spark,
+                f"{root}/radar_nowcast_outcomes",
+                "radar_nowcast_outcomes",
+                scores.withColumn(SEQ, F.lit(0)),
+                SEQ,
+            )
+        finally:
+            batch.unpersist()
+
+    return _run(rows, checkpoint, step, trigger)
+
+
 _SLICE_S = 86_400.0
 
 

@@ -131,19 +131,32 @@ def _fixes(df):
 
 
 @pytest.mark.parametrize("newline", ["\n", "\r\n"])
-def test_best_track_file(spark, tmp_path, newline):
-    (tmp_path / "t.txt").write_bytes(TRACK.replace("\n", newline).encode())
-    blocks = best_track.read_best_track(spark, str(tmp_path))
-    assert blocks.count() == 2
-    assert _fixes(best_track.parse_blocks(blocks)) == EXPECTED
-
-
-def test_best_track_of_another_basin(spark, tmp_path):
-    (tmp_path / "t.txt").write_text(TRACK.replace("AL07", "EP07"))
-    rows = _fixes(best_track.parse_blocks(best_track.read_best_track(spark, str(tmp_path), "EP")))
-    assert [r[0] for r in rows] == ["AL031999"] * 3 + ["EP072004"] * 2
-    rows = _fixes(best_track.parse_blocks(best_track.read_best_track(spark, str(tmp_path), "AL")))
-    assert [r[0] for r in rows] == ["AL031999"] * 3 + ["EP072004"] * 2
+@pytest.mark.parametrize("basins", [("AL", "AL"), ("AL", "EP"), ("EP", "EP")])
+@pytest.mark.parametrize("split", [40, 100, 100_000])
+def test_best_track_files_of_any_basin_and_split(spark, tmp_path, newline, basins, split):
+    text = TRACK.replace("AL03", f"{basins[0]}03").replace("AL07", f"{basins[1]}07")
+    (tmp_path / "t.txt").write_bytes(text.replace("\n", newline).encode())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        lines = best_track.read_best_track(spark, str(tmp_path))
+        assert lines.select("arrival.block").distinct().count() > 1 or split > 1000
+        rows = _fixes(best_track.parse_lines(lines))
+        in_order = best_track.parse_lines(lines, keep=["arrival"]).orderBy("arrival").select("timestamp").collect()
+        assert [str(r[0]) for r in in_order] == [r[2] for r in EXPECTED]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    of = {"AL031999": f"{basins[0]}031999", "AL072004": f"{basins[1]}072004"}
+    assert rows == [(of[r[0]], *r[1:]) for r in EXPECTED]
+
+
+def test_files_do_not_lend_each_other_a_header(spark, tmp_path):
+    (tmp_path / "a.txt").write_text(TRACK)
+    (tmp_path / "b.txt").write_text("".join(TRACK.splitlines(True)[-1:]))
+    rows = best_track.parse_lines(best_track.read_best_track(spark, str(tmp_path)))
+    assert rows.filter("storm_id IS NULL").count() == 1 and rows.filter("storm_id IS NOT NULL").count() == 5
 
 
 @pytest.mark.parametrize("width", [1, 2, 3, 100])
