@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import heapq
 import json
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,8 @@ from skyloom.llm.common import by_value, process_store, table, texts_of, with_co
 
 by_value(__name__)
 
-REMEMBERED = 700_000  # words kept per Python process
+REMEMBERED = 250_000  # words kept per Python process
+PIECE = 1 << 20  # letters of texts that are cut into words at once
 SHORT = 32  # words of at most so many bytes are merged together in one matrix
 BETWEEN = "Ā"  # parts words in the text given to the matcher; no byte has this letter
 NEVER = np.int64(1) << 40
@@ -65,13 +65,9 @@ class Vocabulary:
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in special):
             raise ValueError("added tokens that depend on their neighbours are not supported")
         vocab = model["vocab"]
-        size = max([*vocab.values(), *(t["id"] for t in special)]) + 1
-        self.bytes_of: list[bytes] = [b""] * size
-        for token, i in vocab.items():
-            self.bytes_of[i] = bytes(LETTERS[c] for c in token)
+        self.bytes_of = bytes_of_ids(vocab, special)
+        size = len(self.bytes_of)
         self.special = {t["content"]: t["id"] for t in special}
-        for content, i in self.special.items():
-            self.bytes_of[i] = content.encode()
         self.id_of_byte = np.zeros(256, dtype=np.int64)
         for i in vocab.values():
             if len(self.bytes_of[i]) == 1:
@@ -264,6 +260,16 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (little-endian, 32 bits) of each text."""
+        out, held, size = [], [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size >= PIECE:
+                out += self._encode(held)
+                held, size = [], 0
+        return out + self._encode(held)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         parts: list[list] = []
         for t in texts:
             here: list = []
@@ -273,18 +279,36 @@ class Vocabulary:
                     here += [*self.words(t[at : m.start()]), self.special[m.group()]]
                     at = m.end()
             parts.append(here + self.words(t[at:]) if at else self.words(t))
-        new = [w for w in set().union(*parts).difference(self.known) if isinstance(w, str)]
-        found = self.known if len(self.known) + len(new) <= REMEMBERED else dict(self.known)
-        for some in iter(lambda it=iter(new): list(islice(it, 100_000)), []):
-            found.update(zip(some, self.solve(some)))
+        distinct = set().union(*parts)
+        known = self.known
+        found = {w: known[w] for w in distinct if w in known}
+        new = [w for w in distinct if w not in found and isinstance(w, str)]
+        solved = dict(zip(new, self.solve(new))) if new else {}
+        if len(known) + len(new) <= REMEMBERED:
+            known.update(solved)
+        found.update(solved)
         for i in self.special.values():
             found[i] = i.to_bytes(4, "little")
         return [b"".join(map(found.__getitem__, p)) for p in parts]
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ids; unknown ids give nothing, broken UTF-8 the replacement character."""
-        known = ids[ids < len(self.bytes_of)].tolist()
-        return b"".join(map(self.bytes_of.__getitem__, known)).decode("utf-8", "replace")
+        return decode(self.bytes_of, ids)
+
+
+def bytes_of_ids(vocab: dict[str, int], special: list[dict]) -> list[bytes]:
+    """The bytes of every id, empty for ids that are not in use."""
+    out = [b""] * (max([*vocab.values(), *(t["id"] for t in special)]) + 1)
+    for token, i in vocab.items():
+        out[i] = bytes(LETTERS[c] for c in token)
+    for t in special:
+        out[t["id"]] = t["content"].encode()
+    return out
+
+
+def decode(bytes_of: list[bytes], ids: np.ndarray) -> str:
+    """The text of ids; unknown ids give nothing, broken UTF-8 the replacement character."""
+    known = ids[ids < len(bytes_of)].tolist()
+    return b"".join(map(bytes_of.__getitem__, known)).decode("utf-8", "replace")
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -294,6 +318,16 @@ def vocabulary(path: str) -> Vocabulary:
     return held[path]
 
 
+def byte_table(path: str) -> list[bytes]:
+    """What decoding needs of a vocabulary."""
+    held = process_store("bpe_byte_tables", dict)
+    if path not in held:
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        held[path] = bytes_of_ids(parts["model"]["vocab"], parts["added_tokens"])
+    return held[path]
+
+
 def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns and ``ids``: the packed ids (little-endian, 32 bits) of the whole text.
 
@@ -315,8 +349,8 @@ def decoded(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     """
 
     def make():
-        decode = vocabulary(path).decode
-        return lambda column: [[decode(np.frombuffer(x or b"", dtype="<u4")) for x in column.to_pylist()]]
+        table = byte_table(path)
+        return lambda column: [[decode(table, np.frombuffer(x or b"", dtype="<u4")) for x in column.to_pylist()]]
 
     return with_columns(docs, [ids], [T.StructField(text, T.StringType())], make)
 
