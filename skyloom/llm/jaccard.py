@@ -1,26 +1,26 @@
 """Exact similarity join of documents in the metric space of Jaccard distance over word shingles.
 
 Two documents link at a similarity of at least ``LEAST_PERCENT``; the distance 1 - similarity is a
-metric, and links reach at most a quarter (``REACH``).
+metric, and links reach at most a quarter (``REACH``). Equal sets are one node.
 
-1. Pivots of the first level are single shingles in one global order, rare ones before frequent ones.
+1. How many sets have a shingle is counted exactly. Shingles are packed by buckets of their hash, a few bytes
+   each, and only those of several sets come back to the lots of documents that they came from.
+2. Pivots of the first level are single shingles in one global order, rare ones before frequent ones.
    A document's nearest pivot is its first shingle: the Voronoi regions. A partner shares at least
    three quarters of the larger set, so it meets the document in one of its first
-   ``n - ceil(3n/4) + 1`` pivots: to these windows the document is replicated. Copies are one node.
-2. In each region documents stand by size. In a small region all pairs that can still link become
-   candidates, in a large one each document with the pivot document of its size range only. A pair
-   whose documents also share the pivot before is left to that region.
-3. Each document is compared with the pivot document it met most often, which gives its exact
-   distance to it. Links of this step give components.
-4. The join recurs on what is left: candidate pairs of different components, and in large regions
-   with several components blocks of documents, where pairs must be of different components, pass
-   the size and position bounds, and, where both know their distance to one pivot, must differ in it
-   by a quarter at most (triangle inequality). In the first turns a document of a smaller component tries a few
-   partners, which joins most components; in the last turn all pairs still open are compared.
-
-Shingles are 64-bit hashes; comparisons count the 40 upper bits in common, which for two sets of 400
-is wrong by one in some six million pairs. The order only decides how much work there is; it is taken from the shingles that several documents
-of one task share, added up over all tasks.
+   ``n - ceil(3n/4) + 1`` pivots: to these windows the document is replicated. Pivots of one document
+   need no region, and a document without other pivots has no partner.
+3. What two documents share behind the window that ends first is at most the rest of that set, so a
+   link must meet in a known number of pivots (``least_met``). Where a pivot's place leaves fewer, or a set too
+   few pivots, the pair is out. Regions of rare pivots name their pairs; in regions of frequent pivots, blocks of documents are
+   counted against each other by their pivots, and only pairs that meet often enough come out.
+4. Each document is compared with the partner it met most often, which gives its exact distance to that
+   pivot document. Links give components, and the join recurs on pairs of different components; where both know their
+   distance to one pivot document, it must differ by a quarter at most (triangle inequality). In the
+   first turns a document tries a few partners; in the last turn all pairs still open are compared.
+
+Shingles are 64-bit hashes and comparisons count all of them. Pivots are told apart by 40 bits and their bucket; more
+pivots taken for one only add candidates.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from xxhash import xxh3_64_intdigest
 
@@ -42,15 +43,16 @@ WORDS = 5
 LEAST_PERCENT = 75
 REACH = 0.25
 SMALL_REGION = 16
-CHUNK_ROWS = 65_536  # rows of one region held at once
 BLOCK_ROWS = 1024
+CHUNK_ROWS = 65_536  # rows of small regions held at once
 TURNS = 2  # before all pairs that are still open are compared
 PIVOT_MEMBERS = 2048  # members compared with one pivot in one task
-FREQUENT = 1 << 20  # shingles whose frequency is known to the order
-SEEN_IN_TASK = 4
 NEED_WORDS = 1 << 20  # 64-bit words of the filter of needed documents
-ASKED = 4  # partners that a document of a smaller component tries in a turn
+ASKED = 4  # partners that a document tries in a turn
 TEXT_BYTES = 2 << 20  # of an Arrow batch: its words are in memory one by one
+LOT_SHINGLES, LOT_DOCS = 1 << 20, 60_000  # documents of one task that travel together
+BUCKET_SHINGLES = 3 << 20
+TOKEN = (1 << 40) - 1
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -100,215 +102,266 @@ def keys_of(items: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return mixed(sums[begin[1:]] - sums[begin[:-1]]).view(np.int64)
 
 
-def packed(items: np.ndarray) -> bytes:
-    """The upper 40 bits of each hash, in order: what travels to a comparison."""
-    return (items >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def window(n):
+    """How many of its first pivots a set of ``n`` shingles meets partners in."""
+    return n - (3 * n + 3) // 4 + 1
 
 
-def unpacked(items) -> np.ndarray:
-    out = np.zeros((len(items) // 5, 8), dtype=np.uint8)
-    out[:, :5] = np.frombuffer(items, dtype=np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).ravel()
+def least_shared(n1, n2):
+    """How many shingles two sets that link share at least."""
+    return -(-3 * (n1 + n2) // 7)
 
 
-def window(n):
-    """How many of its first pivots a set of ``n`` shingles meets partners in."""
-    return n - (3 * n + 3) // 4 + 1
+def least_met(n1, n2):
+    """In how many pivots of both windows two sets that link meet at least."""
+    rest = np.maximum(n1 - window(n1), n2 - window(n2))
+    return np.maximum(least_shared(n1, n2) - rest, 1)
 
 
 def measured(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, place, n, key, shingle, seen``: a row per document, and the shingles that a task saw often.
-
-    ``key`` and ``n`` name a set: equal sets have equal names. ``place`` is a hash of ``doc_id``.
-    """
+    """``doc_id, place, n, key`` per document: ``key`` and ``n`` name its set, ``place`` is a hash of ``doc_id``."""
     source = docs.select("doc_id", F.xxhash64("doc_id").alias("place"), "text")
-    schema = T.StructType(
-        [source.schema["doc_id"]]
-        + [T.StructField(c, T.LongType()) for c in ("place", "n", "key", "shingle", "seen")]
-    )
+    schema = T.StructType([source.schema["doc_id"]] + [T.StructField(c, T.LongType()) for c in ("place", "n", "key")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, counts, kind = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), None
-
-        def often(least):
-            nonlocal values, counts
-            values, at = np.unique(values, return_inverse=True)
-            counts = np.bincount(at, counts, len(values)).astype(np.int64)
-            values, counts = values[counts >= least], counts[counts >= least]
-
         for batch in batches:
-            kind = batch.column("doc_id").type
             items, begin = shingles(texts_of(batch.column("text")), words)
-            nothing = pa.nulls(len(begin) - 1, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("place"),
-                    pa.array(np.diff(begin)),
-                    pa.array(keys_of(items, begin)),
-                    nothing,
-                    nothing,
-                ],
-                names=schema.names,
-            )
-            here, times = np.unique(items, return_counts=True)
-            several = times > 1
-            values, counts = np.concatenate([values, here[several]]), np.concatenate([counts, times[several]])
-            if len(values) > 2_000_000:
-                often(2)
-        often(SEEN_IN_TASK)
-        for at in range(0, len(values), 65_536):
-            part = values[at : at + 65_536].view(np.int64)
-            nothing = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(part), kind), nothing, nothing, nothing, pa.array(part), pa.array(counts[at : at + 65_536])],
-                names=schema.names,
-            )
+            made = [pa.array(np.diff(begin)), pa.array(keys_of(items, begin))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), *made], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def order_of(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles (sorted) and their counts, ``FREQUENT`` at most."""
-    top = seen.groupBy("shingle").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "shingle").limit(FREQUENT)
-    got = top.toArrow()
-    values = got.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
-    at = np.argsort(values)
-    return values[at], got.column("seen").to_numpy().astype(np.int64)[at]
+def ranges(values: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal values begins and ends."""
+    edges = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])) if len(values) else [0]
+    return list(zip(edges[:-1], edges[1:]))
+
+
+def narrow(tokens: np.ndarray) -> bytes:
+    """The lower 40 bits of each hash."""
+    return tokens.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
-def regions(docs: DataFrame, words: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``pivot, key, n, mark``: every set in the regions of its window.
+def widened(content: bytes) -> np.ndarray:
+    out = np.zeros((len(content) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(content, dtype=np.uint8).reshape(-1, 5)
+    return out.view(np.int64).ravel()
 
-    ``mark`` holds the pivot's position in the window and, in its lower half, 32 bits of the pivot before.
+
+def lots(docs: DataFrame, words: int, buckets: int) -> DataFrame:
+    """``bucket, lot, tokens, at, n, key``: the shingles of a lot of sets that fall into a bucket.
+
+    ``tokens`` and ``at`` (which set of the lot) are packed; the sets' sizes and names go with one row of the lot.
+    A task takes a set once as long as it remembers it.
     """
-    schema = "pivot long, key long, n int, mark long"
-    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, counts = order
+        task, number = TaskContext.get().partitionId(), 0
         done: set = set()
+        parts, sizes, names, held = [], [], [], 0
+
+        def lot():
+            flat = np.concatenate(parts)
+            at = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+            bucket = ((flat >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            flat, at, bucket = flat[order], at[order], bucket[order]
+            name = task << 32 | number
+            rows = [(int(bucket[a]), narrow(flat[a:b]), at[a:b].tobytes()) for a, b in ranges(bucket)]
+            n, key = np.array(sizes, dtype=np.int32).tobytes(), np.array(names, dtype=np.int64).tobytes()
+            first = name % len(rows)
+            for k, (b, tokens, which) in enumerate(rows):
+                more = (n, key) if k == first else (None, None)
+                columns = [pa.array([b], pa.int32()), pa.array([name], pa.int64())]
+                columns += [pa.array([x], pa.binary()) for x in (tokens, which, *more)]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "lot", "tokens", "at", "n", "key"])
+
         for batch in batches:
             items, begin = shingles(texts_of(batch.column("text")), words)
-            keys = keys_of(items, begin)
-            seen = np.zeros(len(items), dtype=np.int64)
-            if len(frequent):
-                at = np.searchsorted(frequent, items)
-                at[at == len(frequent)] = 0
-                seen = np.where(frequent[at] == items, counts[at], 0)
-            parts, sizes, names_of = [], [], []
-            for i, key in enumerate(keys.tolist()):
+            for i, key in enumerate(keys_of(items, begin).tolist()):
                 a, b = int(begin[i]), int(begin[i + 1])
-                n = b - a
-                if not n or (n, key) in done:
-                    continue  # a copy of a document of this task
+                if a == b or (b - a, key) in done:
+                    continue
                 if len(done) < 200_000:
-                    done.add((n, key))
-                s, c = items[a:b], seen[a:b]
-                first = s[c == 0][: window(n)]
-                if len(first) < window(n):
-                    s, c = s[c > 0], c[c > 0]
-                    first = np.concatenate([first, s[np.lexsort((s, c))][: window(n) - len(first)]])
-                parts.append(first)
-                sizes.append(len(first))
-                names_of.append((n, key))
-            if parts:
-                flat, size = np.concatenate(parts).view(np.int64), np.array(sizes)
-                start = np.cumsum(size) - size
-                pos = np.arange(len(flat)) - np.repeat(start, size)
-                before = np.concatenate([[0], flat[:-1]]) & 0xFFFFFFFF
-                name = np.array(names_of, dtype=np.int64)
-                columns = [flat, np.repeat(name[:, 1], size), np.repeat(name[:, 0].astype(np.int32), size), pos << 32 | before]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-
-    return docs.select("text").mapInArrow(run, schema)
-
-
-def can_link(n1, mark1, n2, mark2):
-    """Whether sets that meet at these positions, the first being the smaller, may link and meet here first."""
-    need = -(-3 * (n1.astype(np.int64) + n2) // 7)  # shared shingles of a link
-    pos1, pos2 = mark1 >> 32, mark2 >> 32
-    return (
-        (4 * n1.astype(np.int64) >= 3 * n2.astype(np.int64))
-        & (n1 - pos1 >= need)
-        & (n2 - pos2 >= need)
-        & (((mark1 ^ mark2) & 0xFFFFFFFF != 0) | (pos1 == 0) | (pos2 == 0))
-    )
+                    done.add((b - a, key))
+                parts.append(items[a:b])
+                sizes.append(b - a)
+                names.append(key)
+                held += b - a
+                if held >= LOT_SHINGLES or len(sizes) >= LOT_DOCS:
+                    yield from lot()
+                    number += 1
+                    parts, sizes, names, held = [], [], [], 0
+        if held:
+            yield from lot()
+
+    return docs.select("text").mapInArrow(run, "bucket int, lot long, tokens binary, at binary, n binary, key binary")
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[list[pa.RecordBatch]]:
+    """The slices of a sorted stream that belong to one value of ``keys``."""
+    held, now = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        changed = np.zeros(batch.num_rows, dtype=bool)
+        for k in keys:
+            column = batch.column(k).to_numpy(zero_copy_only=False)
+            changed[1:] |= column[1:] != column[:-1]
+        edges = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            name = tuple(batch.column(k)[a].as_py() for k in keys)
+            if held and name != now:
+                yield held
+                held = []
+            now = name
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held
+
+
+def values_of(parts: list[pa.RecordBatch], column: str) -> np.ndarray:
+    return np.concatenate([p.column(column).to_numpy(zero_copy_only=False) for p in parts])
+
+
+def shared_shingles(packed_rows: DataFrame, buckets: int) -> DataFrame:
+    """``lot, tokens, at, seen, n, key``: of each lot the shingles that several sets have, and in how many."""
+    source = packed_rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lot")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in groups_of(batches, "bucket"):
+            names = values_of(parts, "lot")
+            bucket = int(parts[0].column("bucket")[0].as_py())
+            column = lambda c: [x for p in parts for x in p.column(c).to_pylist()]
+            packed_tokens = column("tokens")
+            tokens = widened(b"".join(packed_tokens))
+            at = np.frombuffer(b"".join(column("at")), dtype=np.uint16)
+            of = np.repeat(np.arange(len(names), dtype=np.int32), [len(t) // 5 for t in packed_tokens])
+            order = np.argsort(tokens, kind="stable")
+            t = tokens[order]
+            edges = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]]))
+            seen = np.zeros(len(t), dtype=np.int32)
+            seen[order] = np.repeat(np.diff(edges), np.diff(edges))
+            many = np.flatnonzero(seen > 1)
+            pivots = tokens | np.int64(bucket) << 40
+            cut = np.searchsorted(of[many], np.arange(len(names) + 1))
+            for k, (n, key) in enumerate(zip(column("n"), column("key"))):
+                rows = many[cut[k] : cut[k + 1]]
+                if not len(rows) and n is None:
+                    continue
+                columns = [pa.array([int(names[k])], pa.int64())]
+                packed_columns = (pivots[rows].tobytes(), at[rows].tobytes(), seen[rows].tobytes(), n, key)
+                columns += [pa.array([x], pa.binary()) for x in packed_columns]
+                yield pa.RecordBatch.from_arrays(columns, names=["lot", "tokens", "at", "seen", "n", "key"])
 
+    return source.mapInArrow(run, "lot long, tokens binary, at binary, seen binary, n binary, key binary")
 
-FOUND = "pivot long, n1 int, key1 long, mark1 long, n2 int, key2 long"
 
+def windows(shared: DataFrame) -> DataFrame:
+    """``n, key, alone, pivots, seen``: of each set the pivots of its window that other sets have too.
+
+    ``alone`` counts the shingles that no other set has; they come first in the order. Sets without
+    such pivots are left out.
+    """
+    source = shared.repartition("lot").sortWithinPartitions("lot")
+    schema = "n int, key long, alone int, pivots array<long>, seen array<int>"
 
-def pairs_of_regions(rows: DataFrame) -> DataFrame:
-    """Candidate pairs, and the rows of large regions (without n2 and key2)."""
-    names = [x.split()[0] for x in FOUND.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in groups_of(batches, "lot"):
+            column = lambda c, kind: np.frombuffer(
+                b"".join(x for p in parts for x in p.column(c).to_pylist() if x is not None), dtype=kind
+            )
+            n, key = column("n", np.int32), column("key", np.int64)
+            tokens, at, seen = column("tokens", np.int64), column("at", np.uint16), column("seen", np.int32)
+            order = np.lexsort((tokens, seen, at))
+            tokens, at, seen = tokens[order], at[order], seen[order]
+            size = np.bincount(at, minlength=len(n))
+            alone = n - size
+            taken = np.clip(window(n) - alone, 0, size)
+            start = np.cumsum(size) - size
+            kept = np.arange(len(at)) - start[at] < taken[at]
+            sets = np.flatnonzero(taken)
+            ends = pa.array(np.concatenate([[0], np.cumsum(taken[sets])]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(n[sets]),
+                    pa.array(key[sets]),
+                    pa.array(alone[sets].astype(np.int32)),
+                    pa.ListArray.from_arrays(ends, pa.array(tokens[kept])),
+                    pa.ListArray.from_arrays(ends, pa.array(seen[kept])),
+                ],
+                names=["n", "key", "alone", "pivots", "seen"],
+            )
+
+    # a set that several tasks had comes once
+    found = source.mapInArrow(run, schema)
+    return found.groupBy("n", "key").agg(*(F.first(c).alias(c) for c in ("alone", "pivots", "seen")))
+
+
+def small_pairs(found: DataFrame) -> DataFrame:
+    """``n1, key1, n2, key2, met``: pairs that meet in regions of rare pivots and may link.
+
+    Such a region has at most ``SMALL_REGION`` sets. What frequent pivots may add is bounded by how many both have.
+    """
+    large = F.size(F.filter("seen", lambda x: x > SMALL_REGION))
+    rows = found.select(
+        "n", "key", "alone", F.size("pivots").alias("size"), large.alias("large"),
+        F.posexplode(F.arrays_zip("pivots", "seen")).alias("k", "p"),
+    ).where(F.col("p.seen") <= SMALL_REGION)
+    rows = rows.select(
+        F.col("p.pivots").alias("pivot"), "n", "key", (F.col("alone") + F.col("k")).alias("pos"),
+        (F.col("size") - F.col("k")).alias("left"), "large",
+    )
     source = rows.repartition("pivot").sortWithinPartitions("pivot", "n", "key")
+    names = ["n1", "key1", "n2", "key2", "large", "fits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        going_on = False  # the first rows held continue a large region; row 0 is its last pivot document
-
-        def settle(c, continued):
-            """Pairs and live rows of whole regions (the first may be a continued one)."""
-            pivot, n, key, mark = c
-            start = np.flatnonzero(np.concatenate([[True], pivot[1:] != pivot[:-1]]))
-            size = np.diff(np.concatenate([start, [len(pivot)]]))
-            of = np.repeat(np.arange(len(start)), size)
-            large = size > SMALL_REGION
-            if continued:
-                large[0] = True
-            left, right = [], []
-            small_row = ~large[of]
+        held = None
+
+        def settle(c):
+            pivot, n, key, pos, left, large = c
             for d in range(1, SMALL_REGION):
-                i = np.flatnonzero((of[d:] == of[:-d]) & small_row[:-d])
+                i = np.flatnonzero(pivot[d:] == pivot[:-d])
                 j = i + d
-                ok = can_link(n[i], mark[i], n[j], mark[j])
-                left.append(i[ok])
-                right.append(j[ok])
-            for r in np.flatnonzero(large).tolist():
-                a, b = start[r], start[r] + size[r]
-                lead = a
-                while lead < b:  # documents of like size meet the smallest of them
-                    stop = a + int(np.searchsorted(n[a:b], 4 * int(n[lead]) // 3, side="right"))
-                    left.append(np.full(stop - lead - 1, lead))
-                    right.append(np.arange(lead + 1, stop))
-                    lead = stop
-            i, j = np.concatenate(left).astype(np.int64), np.concatenate(right).astype(np.int64)
-            live = np.flatnonzero(large[of])
-            if continued:
-                live = live[live > 0]
-            for at in range(0, len(i), CHUNK_ROWS):
-                a, b = i[at : at + CHUNK_ROWS], j[at : at + CHUNK_ROWS]
-                yield out([pivot[a], n[a], key[a], mark[a], n[b], key[b]])
-            for at in range(0, len(live), CHUNK_ROWS):
-                a = live[at : at + CHUNK_ROWS]
-                none = pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int64())
-                yield out([pivot[a], n[a], key[a], mark[a], *none])
-
-        def out(columns):
-            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+                ok = 4 * n[i].astype(np.int64) >= 3 * n[j].astype(np.int64)
+                i, j = i[ok], j[ok]
+                if len(i):
+                    fits = can_link(n[i], pos[i], left[i], n[j], pos[j], left[j])
+                    columns = [n[i], key[i], n[j], key[j], np.minimum(large[i], large[j]), fits]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
 
         for batch in batches:
-            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("pivot", "n", "key", "mark")]
+            new = [batch.column(c).to_numpy() for c in ("pivot", "n", "key", "pos", "left", "large")]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-            fresh = np.ones(len(held[0]), dtype=bool)  # copies from several tasks stand side by side
-            fresh[1:] = (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1])
-            held = [c[fresh] for c in held]
-            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last region may go on
-            if cut:
-                yield from settle([c[:cut] for c in held], going_on)
-                held, going_on = [c[cut:] for c in held], False
-            elif len(held[0]) > CHUNK_ROWS:
-                yield from settle(held, going_on)
-                n = held[1]
-                lead = 0
-                while (stop := int(np.searchsorted(n, 4 * int(n[lead]) // 3, side="right"))) < len(n):
-                    lead = stop
-                held, going_on = [c[lead : lead + 1] for c in held], True
-        if held is not None and len(held[0]) > going_on:
-            yield from settle(held, going_on)
-
-    return source.mapInArrow(run, FOUND)
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if cut >= CHUNK_ROWS:  # the last region may go on
+                yield from settle([c[:cut] for c in held])
+                held = [c[cut:] for c in held]
+        if held is not None:
+            yield from settle(held)
+
+    # every meeting counts; the places must fit in the first one
+    pairs = source.mapInArrow(run, "n1 int, key1 long, n2 int, key2 long, large int, fits boolean")
+    pairs = pairs.groupBy("n1", "key1", "n2", "key2").agg(
+        F.count("*").alias("met"), F.first("large").alias("large"), F.max("fits").alias("fits")
+    )
+    n1, n2 = F.col("n1").cast("long"), F.col("n2").cast("long")
+    rest = lambda n: F.expr(f"({n} * 3 + 3) div 4 - 1")  # noqa: E731  behind the window
+    least = F.ceil(3 * (n1 + n2) / 7) - F.greatest(rest("n1"), rest("n2"))
+    return pairs.where(F.col("fits") & (F.col("met") + F.col("large") >= least)).drop("large", "fits")
+
+
+def can_link(n1, pos1, left1, n2, pos2, left2):
+    """Whether sets whose first common pivot stands at these places, the first set being the smaller, may link."""
+    n1, n2 = n1.astype(np.int64), n2.astype(np.int64)
+    need = least_shared(n1, n2)
+    return (
+        (4 * n1 >= 3 * n2)
+        & (n1 - pos1 >= need)
+        & (n2 - pos2 >= need)
+        & (np.minimum(left1, left2) >= least_met(n1, n2))
+    )
 
 
 def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -338,7 +391,7 @@ def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) ->
                     [
                         pa.array(np.diff(begin).astype(np.int32)),
                         pa.array(keys_of(items, begin)),
-                        pa.array([packed(items[a:b]) for a, b in zip(begin, begin[1:])], pa.binary()),
+                        pa.array([items[a:b].tobytes() for a, b in zip(begin, begin[1:])], pa.binary()),
                     ],
                     names=["n", "key", "items"],
                 )
@@ -367,7 +420,7 @@ def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) ->
             role, items = batch.column("role").to_pylist(), batch.column("items")
             kept, shared = [], []
             for i, r in enumerate(role):
-                s = unpacked(items[i].as_buffer())
+                s = np.frombuffer(items[i].as_buffer(), dtype=np.uint64)
                 if r == 0:
                     pivot = s
                     continue
@@ -408,64 +461,113 @@ def with_groups(df: DataFrame, groups: DataFrame, side: str) -> DataFrame:
     return df.join(named, [n, key], "left").withColumn(g, F.coalesce(g, own))
 
 
-def left_over(live: DataFrame, groups: DataFrame, met: DataFrame, turn: int | None) -> DataFrame:
-    """Pairs of different components in large regions that the bounds and known distances allow.
+def large_pairs(found: DataFrame, groups: DataFrame | None, met: DataFrame | None, turn: int | None) -> DataFrame:
+    """``n1, key1, n2, key2, asker, met``: pairs that meet in regions of frequent pivots, often enough to link.
 
-    With a ``turn`` each document gets one such pair in each of its regions, another one each turn.
+    Pairs of one component, and pairs that their known distances keep apart, are left out. With a ``turn`` each
+    set asks a few of the others in a region, other ones each turn. Regions above ``BLOCK_ROWS`` sets are
+    dealt as pairs of blocks.
     """
-    distance = 1 - F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared"))
-    known = met.groupBy(F.col("n2").alias("n1"), F.col("key2").alias("key1")).agg(
-        F.min_by(F.struct(F.col("key1").alias("to"), distance.alias("far")), F.struct("n1", "key1")).alias("seen")
+    own = F.struct("n", "key")
+    rows = found.withColumn("from", F.size("pivots") - F.size(F.filter("seen", lambda x: x > SMALL_REGION)))
+    rows = rows.where(F.col("from") < F.size("pivots"))
+    if groups is None:
+        nothing = F.lit(None).cast("long").alias("to"), F.lit(None).cast("double").alias("far")
+        rows = rows.select("*", F.xxhash64(own).alias("group"), *nothing)
+    else:
+        distance = 1 - F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared"))
+        known = met.groupBy(F.col("n2").alias("n"), F.col("key2").alias("key")).agg(
+            F.min_by(F.struct(F.col("key1").alias("to"), distance.alias("far")), F.struct("n1", "key1")).alias("known")
+        )
+        rows = rows.join(groups.select("n", "key", F.col("group").alias("named")), ["n", "key"], "left")
+        rows = rows.join(known, ["n", "key"], "left").select(
+            *found.columns, "from", F.xxhash64(F.coalesce("named", own)).alias("group"), "known.to", "known.far"
+        )
+    rows = rows.select(
+        "n", "key", "alone", "group", "to", "far", "pivots",
+        F.explode(F.sequence(F.col("from"), F.size("pivots") - 1)).alias("k"),
     )
-    rows = with_groups(live, groups, "1")
-    several = rows.groupBy("pivot").agg(F.min("group1").alias("low"), F.max("group1").alias("high"), F.count("*").alias("m"))
-    several = several.where(F.col("low") != F.col("high"))
-    several = several.select("pivot", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
-    rows = rows.join(several, "pivot").join(known, ["n1", "key1"], "left").select(
-        "pivot", "n1", "key1", "mark1", F.xxhash64("group1").alias("group1"), "seen.to", "seen.far", "blocks",
-        F.pmod(F.xxhash64("key1"), "blocks").cast("int").alias("block"),
+    rows = rows.withColumn("pivot", F.get("pivots", F.col("k")))
+    size = rows.groupBy("pivot").agg(F.count("*").alias("m"), F.min("group").alias("low"), F.max("group").alias("high"))
+    size = size.where(F.col("low") != F.col("high")).select("pivot", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = rows.join(size, "pivot").select(
+        "pivot", "n", "key", (F.col("alone") + F.col("k")).alias("pos"), "group", "to", "far", "blocks",
+        F.slice("pivots", F.col("k") + 1, F.size("pivots") - F.col("k")).alias("rest"),
+        F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"),
     )
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")})
+    task = ["pivot", "first", "second"]
+    source = rows.repartition(*task).sortWithinPartitions(*task, "n", "key").select(
+        *task, "n", "key", "pos", "group", F.coalesce("to", F.lit(0)).alias("to"), F.coalesce("far", F.lit(-1.0)).alias("far"), "block", "rest"
+    )
 
-    def meet(frame):
-        import pandas as pd
-
-        f = frame.sort_values(["n1", "key1"], kind="stable")
-        n, key, mark, group, block = (f[c].to_numpy() for c in ("n1", "key1", "mark1", "group1", "block"))
-        far, to = f["far"].to_numpy(dtype=float), f["to"].fillna(0).to_numpy()
-        same_block = f["first"].iloc[0] == f["second"].iloc[0]
-        names, sizes = np.unique(group, return_counts=True)
-        minor = group != names[sizes.argmax()]  # a pair has one of these at least
-        asker, left, right = [], [], []
-
-        def take(i, j):
-            """Keep what may link of the pairs (i, j), where one is a number and i is the smaller set."""
-            ok = can_link(n[i], mark[i], n[j], mark[j]) & (group[j] != group[i])
-            if not same_block:
-                ok &= block[j] != block[i]
-            apart = (to[j] == to[i]) & (np.abs(far[j] - far[i]) > REACH + 1e-9)
-            apart |= ((to[j] == key[i]) & (far[j] > REACH + 1e-9)) | ((to[i] == key[j]) & (far[i] > REACH + 1e-9))
-            return ok & ~apart
-
-        for i in np.flatnonzero(minor).tolist():
-            low = int(np.searchsorted(n, -(-3 * int(n[i]) // 4)))
-            high = int(np.searchsorted(n, 4 * int(n[i]) // 3, side="right"))
-            below, above = np.arange(low, i), np.arange(i + 1, high)
-            below = below[~minor[below]]  # a smaller one of the minority has looked up here itself
-            one = slice(i, i + 1)
-            hits = np.concatenate([below[take(below, one)], above[take(one, above)]])
-            if turn is not None and len(hits) > ASKED:
-                # the same choice in all regions that offer the same partners
-                hits = hits[np.argsort(key[hits] * np.int64(2 * turn + 1) ^ key[i], kind="stable")[:ASKED]]
-            asker.append(np.full(len(hits), i))
-            left.append(np.minimum(hits, i))
-            right.append(np.maximum(hits, i))
-        i, j, a = (np.concatenate([np.zeros(0, dtype=int), *x]).astype(int) for x in (left, right, asker))
-        return pd.DataFrame({"n1": n[i], "key1": key[i], "n2": n[j], "key2": key[j], "asker": key[a]})
-
-    schema = "n1 int, key1 long, n2 int, key2 long, asker long"
-    return rows.groupBy("pivot", "first", "second").applyInPandas(meet, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in groups_of(batches, *task):
+            n, key, pos, group, to, far, block = (
+                values_of(parts, c) for c in ("n", "key", "pos", "group", "to", "far", "block")
+            )
+            n = n.astype(np.int64)
+            rest = [x.values.to_numpy() for p in parts for x in p.column("rest")]
+            left = np.array([len(x) for x in rest])
+            across = parts[0].column("first")[0].as_py() != parts[0].column("second")[0].as_py()
+            kept = np.arange(len(n))
+            while len(kept) > 1:
+                # a set whose pivots from here on are too few for any partner of the sizes that are there goes
+                m, low = n[kept], -(-3 * n[kept] // 4)
+                smallest = m[np.searchsorted(m, low)]
+                largest = m[np.searchsorted(m, 4 * m // 3, side="right") - 1]
+                enough = left[kept] >= np.minimum(least_met(m, smallest), least_met(m, largest)) - 1
+                if enough.all():
+                    break
+                kept = kept[enough]
+            if len(kept) < 2:
+                continue
+            # where each pivot stands: the members of its posting list
+            flat = np.concatenate([rest[i] for i in kept])
+            _, flat = np.unique(flat, return_inverse=True)
+            member = np.repeat(np.arange(len(kept)), left[kept])
+            posted = member[np.argsort(flat, kind="stable")]
+            ends = np.cumsum(np.bincount(flat))
+            starts = ends - np.bincount(flat)
+            begin = np.cumsum(left[kept]) - left[kept]
+            f, t = far[kept], to[kept]
+            m, p, g, l_ = n[kept], pos[kept], group[kept], left[kept]
+            asker, left_side, right_side, times = [], [], [], []
+            for r in range(len(kept)):
+                # the sets of like size that stand before
+                b = int(np.searchsorted(m, -(-3 * int(m[r]) // 4)))
+                if b == r:
+                    continue
+                before = slice(b, r)
+                one = slice(r, r + 1)
+                ok = can_link(m[before], p[before], l_[before], m[one], p[one], l_[one]) & (g[before] != g[r])
+                if across:
+                    ok &= block[kept[before]] != block[kept[r]]
+                i = b + np.flatnonzero(ok)
+                if not len(i):
+                    continue
+                mine = flat[begin[r] : begin[r] + left[kept[r]]]
+                count = np.bincount(np.concatenate([posted[starts[v] : ends[v]] for v in mine]), minlength=len(kept))[i]
+                apart = (f[i] >= 0) & (f[r] >= 0) & (t[i] == t[r]) & (np.abs(f[i] - f[r]) > REACH + 1e-9)
+                good = (count >= least_met(m[i], m[r])) & ~apart
+                i, count = i[good], count[good]
+                if turn is not None and len(i) > ASKED:
+                    # the nearest, and in later turns the same choice in all regions that offer the same partners
+                    by = -count if turn == 0 else key[kept[i]] * np.int64(2 * turn + 1) ^ key[kept[r]]
+                    best = np.argsort(by, kind="stable")[:ASKED]
+                    i, count = i[best], count[best]
+                asker.append(np.full(len(i), kept[r]))
+                left_side.append(kept[i])
+                right_side.append(np.full(len(i), kept[r]))
+                times.append(count)
+            if asker:
+                i, j = np.concatenate(left_side), np.concatenate(right_side)
+                columns = [n[i].astype(np.int32), key[i], n[j].astype(np.int32), key[j], key[j], np.concatenate(times).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["n1", "key1", "n2", "key2", "asker", "met"])
+
+    pairs = source.mapInArrow(run, "n1 int, key1 long, n2 int, key2 long, asker long, met long")
+    return pairs.groupBy("n1", "key1", "n2", "key2", "asker").agg(F.max("met").alias("met"))
 
 
 def best_of(pairs: DataFrame, most: int) -> DataFrame:
@@ -484,30 +586,26 @@ def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
-    facts = stored(measured(docs, words), "sets")
-    rows = facts.where(F.col("n").isNotNull()).select("doc_id", "place", F.col("n").cast("int").alias("n"), "key")
+    rows = stored(measured(docs, words), "sets").withColumn("n", F.col("n").cast("int"))
     nodes = rows.where("n > 0").groupBy("n", "key").agg(
         F.min("doc_id").alias("rep"), F.min_by("place", "doc_id").alias("found"), F.min("place").alias("any")
     )
     nodes = stored(nodes.select("n", "key", "rep", F.coalesce("found", "any").alias("place")), "nodes")
-    order = order_of(facts.where(F.col("shingle").isNotNull()).select("shingle", "seen"))
-    found = stored(pairs_of_regions(regions(docs, words, order)), "regions")
-    candidates = found.where(F.col("key2").isNotNull()).groupBy("n1", "key1", "n2", "key2").agg(F.count("*").alias("met"))
-    candidates = stored(candidates.withColumn("asker", F.col("key2")), "candidates")
-    live = found.where(F.col("key2").isNull())
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    buckets = -(-total // BUCKET_SHINGLES) or 1
+    found = stored(windows(shared_shingles(lots(docs, words, buckets), buckets)), "windows")
     names = ["n1", "key1", "n2", "key2"]
-    met = compared(stored(best_of(candidates, 1), "pairs"), docs, nodes, words)
+    candidates = stored(small_pairs(found).withColumn("asker", F.col("key2")), "candidates")
+    first = candidates.unionByName(large_pairs(found, None, None, 0))
+    met = compared(stored(best_of(first, 1), "pairs"), docs, nodes, words)
     groups = group_names(linked(met))
-    for turn in range(TURNS + 1):
+    for turn in range(1, TURNS + 2):
+        last = turn > TURNS
         apart = with_groups(with_groups(candidates, groups, "1"), groups, "2").where(F.col("group1") != F.col("group2"))
-        apart = apart.join(met.select(*names), names, "left_anti")
-        last = turn == TURNS
-        more = left_over(live, groups, met, None if last else turn)
-        more = more.groupBy(*names, "asker").agg(F.count("*").alias("met"))
-        more = more.join(met.select(*names), names, "left_anti")
-        pairs = apart.select(*names, "asker", "met").unionByName(more)
-        pairs = stored(pairs.select(*names).distinct() if last else best_of(pairs, ASKED), "pairs")
-        if not last and pairs.isEmpty():
+        more = large_pairs(found, groups, met, None if last else turn)
+        open_pairs = apart.select(*names, "asker", "met").unionByName(more).join(met.select(*names), names, "left_anti")
+        pairs = stored(open_pairs.select(*names).distinct() if last else best_of(open_pairs, ASKED), "pairs")
+        if pairs.isEmpty():
             continue
         met = met.unionByName(compared(pairs, docs, nodes, words))
         groups = group_names(linked(met))

@@ -113,7 +113,7 @@ def corpus():
 @pytest.mark.parametrize("small", [False, True])
 def test_documents_equal_brute_force(spark, monkeypatch, small):
     if small:  # every branch: large regions, chunks, blocks, dealt pivots, an order of few shingles
-        for name, value in {"SMALL_REGION": 3, "CHUNK_ROWS": 7, "BLOCK_ROWS": 6, "PIVOT_MEMBERS": 4, "FREQUENT": 20, "SEEN_IN_TASK": 2}.items():
+        for name, value in {"SMALL_REGION": 3, "CHUNK_ROWS": 7, "BLOCK_ROWS": 6, "PIVOT_MEMBERS": 4, "LOT_SHINGLES": 300, "LOT_DOCS": 9, "BUCKET_SHINGLES": 500, "ASKED": 2}.items():
             monkeypatch.setattr(jaccard, name, value)
     texts = corpus()
     docs = spark.createDataFrame([(i, t, "x", 0) for i, t in texts], "doc_id long, text string, key string, n long").repartition(5)
@@ -149,6 +149,24 @@ def test_partitions_of_one_short_text(spark):
     assert got == {(1, 1, 1), (2, 1, 2), (3, 1, 1)}
 
 
+def test_links_meet_often_enough_in_both_windows():
+    pick = random.Random(6)
+    for _ in range(4000):
+        n, m = sorted(pick.randint(1, 90) for _ in range(2))
+        shared = -(-3 * (n + m) // 7)
+        if shared > n or 4 * shared < 3 * (n + m - shared):
+            continue
+        order = [*([0] * shared), *([1] * (n - shared)), *([2] * (m - shared))]
+        pick.shuffle(order)
+        places = [[k for k, x in enumerate(order) if x in (0, own)] for own in (1, 2)]
+        windows = [set(p[: jaccard.window(len(p))]) for p in places]
+        common = [k for k in sorted(windows[0] & windows[1]) if order[k] == 0]
+        least = int(jaccard.least_met(n, m))
+        assert len(common) >= least
+        pos = [p.index(common[0]) for p in places]
+        assert jaccard.can_link(np.array(n), pos[0], least, np.array(m), pos[1], least)
+
+
 def test_windows_meet_all_partners():
     for n in range(1, 60):
         for m in range(n, 60):
