@@ -150,7 +150,7 @@ def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = GRAM) -> Data
     """
     leaks = find_leaks(docs.select(F.md5("text").alias("doc_id"), "text"), benchmark, n)
     leaking = leaks.where(F.size("hits") > 0).select(F.col("doc_id").alias("leaking")).distinct()
-    return docs.join(leaking, F.md5("text") == F.col("leaking"), "left_anti")
+    return docs.alias("d").join(leaking.alias("l"), F.md5("d.text") == F.col("l.leaking"), "left_anti")
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = GRAM) -> DataFrame:

@@ -48,7 +48,7 @@ CHUNK_ROWS = 65_536  # rows of small regions held at once
 TURNS = 2  # before all pairs that are still open are compared
 PIVOT_MEMBERS = 2048  # members compared with one pivot in one task
 NEED_WORDS = 1 << 20  # 64-bit words of the filter of needed documents
-ASKED = 4  # partners that a document tries in a turn
+ASKED = 8  # partners that a document tries in a turn
 TEXT_BYTES = 2 << 20  # of an Arrow batch: its words are in memory one by one
 LOT_SHINGLES, LOT_DOCS = 1 << 20, 60_000  # documents of one task that travel together
 BUCKET_SHINGLES = 3 << 20
@@ -453,6 +453,19 @@ def group_names(edges: DataFrame) -> DataFrame:
     )
 
 
+def joined_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` after more links: only the groups that these join are contracted again, not all nodes."""
+    own = lambda side: links.select(F.col(f"{side}.n").alias(f"n{side}"), F.col(f"{side}.key").alias(f"key{side}"), "a", "b")
+    left = with_groups(own("a"), groups, "a").select("groupa", "b")
+    right = with_groups(left.select("groupa", F.col("b.n").alias("nb"), F.col("b.key").alias("keyb")), groups, "b")
+    moved = components(right.select(F.col("groupa").alias("a"), F.col("groupb").alias("b")))
+    moved = moved.select("node", F.col("component").alias("to"))
+    old = groups.join(moved, F.col("group") == F.col("node"), "left")
+    old = old.select("n", "key", F.coalesce("to", "group").alias("group"))
+    alone = moved.select(F.col("node.n").alias("n"), F.col("node.key").alias("key"), F.col("to").alias("group"))
+    return stored(old.unionByName(alone.join(groups.select("n", "key"), ["n", "key"], "left_anti")), "groups")
+
+
 def with_groups(df: DataFrame, groups: DataFrame, side: str) -> DataFrame:
     """Add ``group<side>`` of the node ``n<side>, key<side>``: its component's name, or its own."""
     n, key, g = f"n{side}", f"key{side}", f"group{side}"
@@ -461,12 +474,14 @@ def with_groups(df: DataFrame, groups: DataFrame, side: str) -> DataFrame:
     return df.join(named, [n, key], "left").withColumn(g, F.coalesce(g, own))
 
 
-def large_pairs(found: DataFrame, groups: DataFrame | None, met: DataFrame | None, turn: int | None) -> DataFrame:
-    """``n1, key1, n2, key2, asker, met``: pairs that meet in regions of frequent pivots, often enough to link.
+def large_pairs(
+    found: DataFrame, groups: DataFrame | None = None, met: DataFrame | None = None, among: DataFrame | None = None, turn: int | None = 0
+) -> DataFrame:
+    """``n1, key1, n2, key2, asker, met, cut``: pairs that meet in regions of frequent pivots, often enough to link.
 
     Pairs of one component, and pairs that their known distances keep apart, are left out. With a ``turn`` each
-    set asks a few of the others in a region, other ones each turn. Regions above ``BLOCK_ROWS`` sets are
-    dealt as pairs of blocks.
+    set asks a few of the others in a region, other ones each turn; ``cut`` is the region where it could have asked
+    more, and later turns look ``among`` those regions only. Regions above ``BLOCK_ROWS`` sets are dealt as pairs of blocks.
     """
     own = F.struct("n", "key")
     rows = found.withColumn("from", F.size("pivots") - F.size(F.filter("seen", lambda x: x > SMALL_REGION)))
@@ -483,18 +498,26 @@ def large_pairs(found: DataFrame, groups: DataFrame | None, met: DataFrame | Non
         rows = rows.join(known, ["n", "key"], "left").select(
             *found.columns, "from", F.xxhash64(F.coalesce("named", own)).alias("group"), "known.to", "known.far"
         )
-    rows = rows.select(
-        "n", "key", "alone", "group", "to", "far", "pivots",
-        F.explode(F.sequence(F.col("from"), F.size("pivots") - 1)).alias("k"),
-    )
-    rows = rows.withColumn("pivot", F.get("pivots", F.col("k")))
-    size = rows.groupBy("pivot").agg(F.count("*").alias("m"), F.min("group").alias("low"), F.max("group").alias("high"))
-    size = size.where(F.col("low") != F.col("high")).select("pivot", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
-    rows = rows.join(size, "pivot").select(
-        "pivot", "n", "key", (F.col("alone") + F.col("k")).alias("pos"), "group", "to", "far", "blocks",
-        F.slice("pivots", F.col("k") + 1, F.size("pivots") - F.col("k")).alias("rest"),
-        F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"),
+    each = F.explode(F.sequence(F.col("from"), F.size("pivots") - 1)).alias("k")
+    at = lambda c: F.get(c, F.col("k"))
+    # sizes of regions, counted on narrow rows; where no set is of another component there is nothing to do
+    narrow_rows = rows.select("group", "pivots", "seen", each).select(at("pivots").alias("pivot"), at("seen").alias("seen"), "group")
+    if groups is None:
+        narrow_rows = narrow_rows.where(F.col("seen") > BLOCK_ROWS)
+    sizes = narrow_rows.groupBy("pivot").agg(F.count("*").alias("m"), F.min("group").alias("low"), F.max("group").alias("high"))
+    if among is not None:
+        sizes = sizes.join(among, "pivot", "left_semi")
+    sizes = sizes.where("low <> high").select("pivot", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = rows.select("n", "key", "alone", "group", "to", "far", "pivots", "seen", each).select(
+        at("pivots").alias("pivot"), at("seen").alias("seen"), "n", "key", (F.col("alone") + F.col("k")).alias("pos"),
+        "group", "to", "far", F.slice("pivots", F.col("k") + 1, F.size("pivots") - F.col("k")).alias("rest"),
     )
+    if groups is None:  # sets outside the window count in ``seen``, so most regions are known to fit into a block
+        whole = rows.where(F.col("seen") <= BLOCK_ROWS).withColumn("blocks", F.lit(1))
+        rows = whole.unionByName(rows.where(F.col("seen") > BLOCK_ROWS).join(sizes, "pivot"))
+    else:
+        rows = rows.join(sizes, "pivot")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")})
     task = ["pivot", "first", "second"]
@@ -533,7 +556,8 @@ def large_pairs(found: DataFrame, groups: DataFrame | None, met: DataFrame | Non
             begin = np.cumsum(left[kept]) - left[kept]
             f, t = far[kept], to[kept]
             m, p, g, l_ = n[kept], pos[kept], group[kept], left[kept]
-            asker, left_side, right_side, times = [], [], [], []
+            region = int(parts[0].column("pivot")[0].as_py())
+            left_side, right_side, times, cut = [], [], [], []
             for r in range(len(kept)):
                 # the sets of like size that stand before
                 b = int(np.searchsorted(m, -(-3 * int(m[r]) // 4)))
@@ -552,22 +576,27 @@ def large_pairs(found: DataFrame, groups: DataFrame | None, met: DataFrame | Non
                 apart = (f[i] >= 0) & (f[r] >= 0) & (t[i] == t[r]) & (np.abs(f[i] - f[r]) > REACH + 1e-9)
                 good = (count >= least_met(m[i], m[r])) & ~apart
                 i, count = i[good], count[good]
-                if turn is not None and len(i) > ASKED:
+                more = turn is not None and len(i) > ASKED
+                if more:
                     # the nearest, and in later turns the same choice in all regions that offer the same partners
                     by = -count if turn == 0 else key[kept[i]] * np.int64(2 * turn + 1) ^ key[kept[r]]
                     best = np.argsort(by, kind="stable")[:ASKED]
                     i, count = i[best], count[best]
-                asker.append(np.full(len(i), kept[r]))
                 left_side.append(kept[i])
                 right_side.append(np.full(len(i), kept[r]))
                 times.append(count)
-            if asker:
+                cut.append(np.full(len(i), more))
+            if left_side:
                 i, j = np.concatenate(left_side), np.concatenate(right_side)
                 columns = [n[i].astype(np.int32), key[i], n[j].astype(np.int32), key[j], key[j], np.concatenate(times).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["n1", "key1", "n2", "key2", "asker", "met"])
+                made = [pa.array(c) for c in columns] + [pa.array(np.full(len(i), region), mask=~np.concatenate(cut))]
+                yield pa.RecordBatch.from_arrays(made, names=["n1", "key1", "n2", "key2", "asker", "met", "cut"])
+
+    return source.mapInArrow(run, "n1 int, key1 long, n2 int, key2 long, asker long, met long, cut long")
+
 
-    pairs = source.mapInArrow(run, "n1 int, key1 long, n2 int, key2 long, asker long, met long")
-    return pairs.groupBy("n1", "key1", "n2", "key2", "asker").agg(F.max("met").alias("met"))
+def cut_regions(pairs: DataFrame) -> DataFrame:
+    return pairs.where(F.col("cut").isNotNull()).select(F.col("cut").alias("pivot")).distinct()
 
 
 def best_of(pairs: DataFrame, most: int) -> DataFrame:
@@ -595,20 +624,27 @@ def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     buckets = -(-total // BUCKET_SHINGLES) or 1
     found = stored(windows(shared_shingles(lots(docs, words, buckets), buckets)), "windows")
     names = ["n1", "key1", "n2", "key2"]
-    candidates = stored(small_pairs(found).withColumn("asker", F.col("key2")), "candidates")
-    first = candidates.unionByName(large_pairs(found, None, None, 0))
-    met = compared(stored(best_of(first, 1), "pairs"), docs, nodes, words)
+    large = stored(large_pairs(found), "large-regions")
+    candidates = small_pairs(found).withColumn("asker", F.col("key2")).unionByName(large.drop("cut"))
+    candidates = stored(candidates.groupBy(*names, "asker").agg(F.max("met").alias("met")), "candidates")
+    met = compared(stored(best_of(candidates, 1), "pairs"), docs, nodes, words)
     groups = group_names(linked(met))
+    among = cut_regions(large)
     for turn in range(1, TURNS + 2):
         last = turn > TURNS
+        if not among.isEmpty():
+            more = stored(large_pairs(found, groups, met, among, None if last else turn), "large-regions")
+            among = cut_regions(more)
+            more = more.groupBy(*names, "asker").agg(F.max("met").alias("met"))
+            candidates = stored(candidates.unionByName(more).groupBy(*names, "asker").agg(F.max("met").alias("met")), "candidates")
         apart = with_groups(with_groups(candidates, groups, "1"), groups, "2").where(F.col("group1") != F.col("group2"))
-        more = large_pairs(found, groups, met, None if last else turn)
-        open_pairs = apart.select(*names, "asker", "met").unionByName(more).join(met.select(*names), names, "left_anti")
+        open_pairs = apart.select(*names, "asker", "met").join(met.select(*names), names, "left_anti")
         pairs = stored(open_pairs.select(*names).distinct() if last else best_of(open_pairs, ASKED), "pairs")
         if pairs.isEmpty():
             continue
-        met = met.unionByName(compared(pairs, docs, nodes, words))
-        groups = group_names(linked(met))
+        new = compared(pairs, docs, nodes, words)
+        met = met.unionByName(new)
+        groups = joined_groups(groups, linked(new))
     known = nodes.join(groups, ["n", "key"], "left").withColumn(
         "group", F.coalesce("group", F.struct("n", "key"))
     )
@@ -626,7 +662,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """
     same = similar_documents(docs.select("doc_id", "text"), words)
     gone = same.groupBy(F.col("doc_id").alias("gone")).agg(F.min("component_id").alias("least")).where("gone <> least")
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g.gone"), "left_anti")
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -134,7 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ranking
     """Fit on at most ``rows`` labelled documents outside the held-out third.
 
     Null labels or ids teach nothing; of contradictory labels of one id the lowest counts; of several
-    documents with one id all count.
+    documents with one id the one whose features come first counts.
     """
     sample = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
@@ -145,8 +145,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ranking
         .select(F.col("doc_id").alias("labelled"), "label")
     )
     # at most ``rows`` ids: a bound that does not depend on the data
-    known = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled")).select("labelled", "text", "label")
-    got = _measured(known, ["labelled", "label"]).orderBy("labelled", "features").limit(2 * rows).toArrow()
+    named = docs.select("doc_id", "text").alias("d")
+    known = named.join(F.broadcast(sample), F.col("d.doc_id") == F.col("labelled")).select("labelled", "text", "label")
+    first = _measured(known, ["labelled", "label"]).groupBy("labelled").agg(F.min(F.struct("features", "label")).alias("r"))
+    got = first.orderBy("labelled").select("r.features", "r.label").toArrow()
     features = np.array(got.column("features").to_pylist(), dtype=np.float64).reshape(-1, N_FEATURES)
     return fit(features, np.array(got.column("label").to_pylist(), dtype=np.int64))
 

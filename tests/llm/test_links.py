@@ -183,3 +183,20 @@ def test_no_operator_uses_local_checkpoints():
 
     for path in pathlib.Path(skyloom.llm.__file__).parent.glob("*.py"):
         assert "localCheckpoint" not in path.read_text()
+
+
+def test_stages_keep_columns_named_like_helpers(spark):
+    from skyloom.llm import decontaminate, quality
+
+    names = ("gone", "least", "leaking", "label", "labelled", "features", "score", "r", "d", "hits", "place", "key", "pivot")
+    rows = [(i, f"some words of text number {i} that say little and end here.", *range(len(names))) for i in range(12)]
+    rows += [(90, rows[0][1], *range(len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} int" for c in names))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    benchmark = spark.createDataFrame([("b", rows[3][1])], "item_id string, text string")
+    one = jaccard.one_of_each(docs)
+    assert one.columns == docs.columns and one.count() == 12
+    clean = decontaminate.drop_documents(docs, benchmark)
+    assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {r[0] for r in rows} - {3}
+    good = quality.good_documents(docs, labels)
+    assert good.columns == docs.columns and good.count() >= 0
