@@ -385,6 +385,41 @@ def q_home_check(spark, sf_dir):
     )
 
 
+# --- requests by time: one row each ---------------------------------------------------------------
+
+
+def c_requests(spark, sf_dir):
+    """Points asked for at a time each, every third for the latest frame."""
+    minutes = F.make_dt_interval(mins=(F.col("point_id") * 37 % 4000).cast("int"))
+    at = F.when(F.col("point_id") % 3 != 0, F.lit("2024-01-01").cast("timestamp") + minutes)
+    return c_boxes(spark, sf_dir).withColumn("at", at)
+
+
+_REQUESTS = """requests AS (SELECT *, CAST(1.5 AS DOUBLE) + (point_id % 3) * CAST(0.5 AS DOUBLE) AS radius_km,
+    CASE WHEN point_id % 3 <> 0 THEN epoch_us(TIMESTAMP '2024-01-01') + (point_id * 37 % 4000) * 60000000 END AS at_us FROM c_points),
+asked AS (SELECT r.*, (SELECT max(f.timestamp) FROM c_frames f WHERE f.station = r.station
+    AND (r.at_us IS NULL OR epoch_us(f.timestamp) <= r.at_us)) AS timestamp FROM requests r),
+c_asked AS (SELECT f.*, a.point_id, a.point_lat, a.point_lon, a.radius_km
+  FROM asked a JOIN c_frames f ON f.station = a.station AND f.timestamp = a.timestamp)"""
+
+
+@query(
+    "q_point_request",
+    with_ctes(
+        "frames cells points",
+        _REQUESTS,
+        f"""indexed AS (SELECT *, abs(east) <= grid_km + 0.000001 AND abs(north) <= grid_km + 0.000001 AS in_range,
+    {_index('north')} AS r, {_index('east')} AS c FROM (SELECT *, {_OFFSET} FROM c_asked))""",
+        f"""SELECT i.station, {micros('i.timestamp')} AS timestamp, i.point_id, CAST(in_range AS BIGINT) AS in_range,
+  CASE WHEN in_range THEN {r6('CAST(d.dbz AS DOUBLE)')} END AS sample_dbz
+FROM indexed i JOIN c_cells d ON d.station = i.station AND d.timestamp = i.timestamp AND d.row = i.r AND d.col = i.c""",
+    ),
+)
+def q_point_request(spark, sf_dir):
+    rows = R.point_samples(c_frames(spark, sf_dir), c_requests(spark, sf_dir))
+    return present(rows.select("station", "timestamp", "point_id", "in_range", "sample_dbz"))
+
+
 # --- G7, A14, F15, G8 ---------------------------------------------------------------------------
 
 
@@ -408,6 +443,27 @@ crops AS (SELECT b.station, b.timestamp, b.point_id, b.row_min, b.row_max, b.col
     AND c.row BETWEEN b.row_min AND b.row_max AND c.col BETWEEN b.col_min AND b.col_max)"""
 
 
+_ASKED_BOXES = _BOXES.replace(
+    "SELECT *, " + _OFFSET + ", CAST(1.5 AS DOUBLE) + (point_id % 3) * CAST(0.5 AS DOUBLE) AS radius_km\n  FROM c_frames JOIN c_points USING (station)",
+    "SELECT *, " + _OFFSET + " FROM c_asked",
+)
+
+
+@query(
+    "q_crop_request",
+    with_ctes(
+        "frames cells points",
+        _REQUESTS,
+        _ASKED_BOXES,
+        f"""SELECT station, {micros('timestamp')} AS timestamp, point_id, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col,
+  {r6('CAST(dbz AS DOUBLE)')} AS dbz, CAST(dbz_class AS BIGINT) AS dbz_class FROM crops""",
+    ),
+)
+def q_crop_request(spark, sf_dir):
+    cells = R.crop_cells(R.crop_bounds(c_frames(spark, sf_dir), c_requests(spark, sf_dir)))
+    return present(cells.select("station", "timestamp", "point_id", "row", "col", "dbz", "dbz_class"))
+
+
 @query(
     "q_crop",
     with_ctes(

@@ -43,11 +43,11 @@ def observation_docs(spark, sf_dir):
         F.struct(F.col("barometric_pressure_pa").alias("value")).alias("barometricPressure"),
         F.struct(F.col("wind_speed_kmh").alias("value")).alias("windSpeed"),
     )
-    present_feed = F.col("ingest_seq") % 9 != 0
-    features = F.filter(
-        F.array(F.struct(properties.alias("properties"))), lambda _: present_feed
-    )
-    return obs.select("ingest_seq", F.to_json(F.struct(features.alias("features"))).alias("doc"))
+    features = F.array(F.struct(properties.alias("properties")))
+    full = obs.select("ingest_seq", F.to_json(F.struct(features.alias("features"))).alias("doc"))
+    # beside the reports come documents without any
+    empty = obs.filter(F.col("ingest_seq") % 9 == 0).select("ingest_seq", F.lit('{"features":[]}').alias("doc"))
+    return full.unionByName(empty)
 
 
 @query(
@@ -58,7 +58,7 @@ def observation_docs(spark, sf_dir):
   {r6('temperature_c')} AS temperature_c, CAST(NULL AS DOUBLE) AS dewpoint_c,
   {r6('wind_speed_kmh')} AS wind_speed_kmh, {r6('barometric_pressure_pa')} AS barometric_pressure_pa,
   {r6('precip_last_hour_mm')} AS precip_last_hour_mm, {r6('relative_humidity_pct')} AS relative_humidity_pct
-FROM c_obs WHERE ingest_seq % 9 <> 0""",
+FROM c_obs""",
     ),
 )
 def q_obs_flatten(spark, sf_dir):
@@ -197,10 +197,11 @@ def storm_docs(spark, sf_dir):
         F.when(k % 19 != 0, k % 30).alias("movementSpeed"),
         F.when(k % 17 == 0, "").otherwise(_iso("ts")).alias("lastUpdate"),
     )
-    storms = F.filter(F.array(storm), lambda _: F.col("event_type") != "error")
-    return events(spark, sf_dir).select(
-        "event_id", F.to_json(F.struct(storms.alias("activeStorms"))).alias("doc")
-    )
+    rows = events(spark, sf_dir)
+    full = rows.select("event_id", F.to_json(F.struct(F.array(storm).alias("activeStorms"))).alias("doc"))
+    # beside the storms come documents without any
+    empty = rows.filter("event_type = 'error'").select("event_id", F.lit('{"activeStorms":[]}').alias("doc"))
+    return full.unionByName(empty)
 
 
 _STORMS = f"""storms AS (
@@ -213,7 +214,7 @@ _STORMS = f"""storms AS (
     CASE WHEN k % 19 <> 0 THEN CAST(k % 30 AS DOUBLE) END AS movement_speed_mph,
     CASE WHEN k % 17 = 0 THEN '' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS last_update,
     date_trunc('second', ts) AS seen_at
-  FROM events_k WHERE event_type <> 'error')"""
+  FROM events_k)"""
 
 
 @query(

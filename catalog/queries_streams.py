@@ -101,6 +101,33 @@ def t_live_daily(spark, sf_dir):
     return present(read_table(spark, f"{root}/daily_observations", "daily_observations").drop("obs_year"))
 
 
+@query(
+    "t_live_zones",
+    with_ctes(
+        "obs",
+        """kept AS (SELECT * FROM c_obs
+  QUALIFY row_number() OVER (PARTITION BY station_id, c_obs.timestamp ORDER BY ingest_seq) = 1)""",
+        f"""SELECT station_id,
+  strftime(CAST((timestamp AT TIME ZONE 'UTC') AT TIME ZONE CASE station_id WHEN 'ST1' THEN 'Europe/Berlin' WHEN 'ST2' THEN 'Asia/Kolkata' ELSE 'America/Chicago' END AS DATE), '%Y-%m-%d') AS date,
+  'metar_live' AS source, {r6('max(temperature_c)')} AS temp_max_c, {r6('min(temperature_c)')} AS temp_min_c,
+  {r6('sum(coalesce(precip_last_hour_mm, 0))')} AS precip_mm,
+  CAST(CASE WHEN sum(coalesce(precip_last_hour_mm, 0)) >= 0.254 THEN 1 ELSE 0 END AS BIGINT) AS rain,
+  {r6('avg(relative_humidity_pct)')} AS humidity_pct, {r6('avg(barometric_pressure_pa) / 100')} AS pressure_hpa,
+  {r6('avg(wind_speed_kmh)')} AS wind_speed_kmh
+FROM kept GROUP BY 1, 2""",
+    ),
+)
+def t_live_zones(spark, sf_dir):
+    """The same with stations in three zones."""
+    root = workspace(spark, "t-zones")
+    zones = spark.createDataFrame([("ST1", "Europe/Berlin"), ("ST2", "Asia/Kolkata")], "station_id string, tz string")
+    stations = zones.select("*", *[F.lit(None).cast("double").alias(c) for c in ("latitude", "longitude")])
+    replace_into(spark, f"{root}/stations", "stations", stations.withColumn("ingest_seq", F.lit(0)), "ingest_seq")
+    stream = stream_of(spark, _observed(spark, sf_dir), f"{root}/spool", _thirds("timestamp"))
+    _finish(J.ingest_and_refresh(stream, root, f"{root}/checkpoint"))
+    return present(read_table(spark, f"{root}/daily_observations", "daily_observations").drop("obs_year"))
+
+
 @query(
     "t_scan_landing",
     with_ctes(

@@ -204,18 +204,16 @@ _LINE = (
 )
 
 
-@query(
-    "q_track_baseline",
-    with_ctes(
-        "fixes",
-        *_LABELLED,
-        f"courses AS (SELECT *, {_BEARING} AS course FROM seasons WHERE is_test)",
-        f"ends AS (SELECT *, {_LINE[0]} AS lat2, {_LINE[1]} AS lon2 FROM courses)",
-        f"""SELECT CAST(h AS BIGINT) AS horizon_hours, CAST(count(*) AS BIGINT) AS n_test,
+_BASELINE = (
+    f"courses AS (SELECT *, {_BEARING} AS course FROM seasons WHERE is_test)",
+    f"ends AS (SELECT *, {_LINE[0]} AS lat2, {_LINE[1]} AS lon2 FROM courses)",
+    f"""SELECT CAST(h AS BIGINT) AS horizon_hours, CAST(count(*) AS BIGINT) AS n_test,
   round(avg({haversine('lat2', 'lon2', 'lat_target', 'lon_target')}), 3) AS track_baseline_error_km,
   {r6('avg(abs(wind_target - max_wind_kt))')} AS wind_baseline_mae_kt FROM ends GROUP BY h""",
-    ),
 )
+
+
+@query("q_track_baseline", with_ctes("fixes", *_LABELLED, *_BASELINE))
 def q_track_baseline(spark, sf_dir):
     return present(K.track_baseline(_training(spark, sf_dir), TEST_SEASONS), track_baseline_error_km=3)
 

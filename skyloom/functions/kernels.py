@@ -70,6 +70,59 @@ def match_blocks(prev: np.ndarray, curr: np.ndarray, block: int, radius: int):
     return fx.ravel(), fy.ravel()
 
 
+def averaged(grid: np.ndarray, factor: int) -> np.ndarray:
+    """Every cell of a square grid as the mean of its ``factor`` by ``factor`` tile; tiles may stick out, padded by 0."""
+    n = len(grid)
+    full = np.pad(grid.astype(np.float64), (0, -n % factor))
+    tiles = full.reshape(len(full) // factor, factor, -1, factor).mean(axis=(1, 3))
+    return np.repeat(np.repeat(tiles, factor, axis=0), factor, axis=1)[:n, :n]
+
+
+def match_levels(prev: np.ndarray, curr: np.ndarray, block: int, radius: int, levels: int):
+    """Displacements as of ``match_blocks``, found from coarse to fine.
+
+    Level k looks at grids averaged over ``2**k`` cells and tries steps of as many cells around what the level before
+    found for the block; it counts the differences of the block and of k neighbours on each side. The reach is ``radius * (2**levels - 1)`` cells for ``levels`` searches of one radius.
+    """
+    if levels <= 1:
+        return match_blocks(prev, curr, block, radius)
+    n = int(round(len(curr) ** 0.5))
+    side = -(-n // block)
+    prev, curr = prev.reshape(n, n), curr.reshape(n, n)
+    member = (np.arange(side)[:, None] == np.arange(n)[None, :] // block).astype(np.float64)
+    echo = member @ curr.astype(np.float64) @ member.T > 0
+    fx, fy = np.zeros((side, side)), np.zeros((side, side))
+    if not echo.any():
+        return fx.ravel(), fy.ravel()
+    shifts = sorted(
+        ((dx, dy) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1)),
+        key=lambda s: (s[0] * s[0] + s[1] * s[1], s[1], s[0]),
+    )
+    # only rows and columns of blocks with echo are searched
+    rows = np.flatnonzero(np.repeat(echo.any(axis=1), block)[:n])
+    cols = np.flatnonzero(np.repeat(echo.any(axis=0), block)[:n])
+    of_row, of_col = member[:, rows], member[:, cols].T
+    margin = radius * (2**levels - 1)
+    for level in range(levels - 1, -1, -1):
+        step = 1 << level
+        old = np.pad(averaged(prev, step), margin)
+        now = averaged(curr, step)[np.ix_(rows, cols)]
+        from_x = cols[None, :] - fx.astype(int)[np.ix_(rows // block, cols // block)] + margin
+        from_y = rows[:, None] - fy.astype(int)[np.ix_(rows // block, cols // block)] + margin
+        near = (np.abs(np.arange(side)[:, None] - np.arange(side)[None, :]) <= level).astype(np.float64)
+        best = np.full((side, side), np.inf)
+        best_x, best_y = np.zeros((side, side)), np.zeros((side, side))
+        for dx, dy in shifts:
+            cost = of_row @ np.abs(now - old[from_y - dy * step, from_x - dx * step]) @ of_col
+            cost = near @ cost @ near
+            better = cost < best
+            best[better], best_x[better], best_y[better] = cost[better], dx * step, dy * step
+        fx[echo] += best_x[echo]
+        fy[echo] += best_y[echo]
+    fx[~echo], fy[~echo] = fx[echo].mean(), fy[echo].mean()
+    return fx.ravel(), fy.ravel()
+
+
 def sample_moved(grid: np.ndarray, fx: np.ndarray, fy: np.ndarray, block: int, scale: float) -> np.ndarray:
     """Sample ``grid`` at (x - fx*scale, y - fy*scale), bilinear; outside is no echo."""
     n = int(round(len(grid) ** 0.5))

@@ -26,11 +26,11 @@ from skyloom.constants import (
 )
 from skyloom.errors import InsufficientFramesError
 from skyloom.functions.cells import dbz_class, filled, filled_grid, grid_side
-from skyloom.functions.kernels import match_blocks, pixels, sample_moved, spread_cells
+from skyloom.functions.kernels import match_levels, pixels, sample_moved, spread_cells
 from skyloom.functions.geo import clamp_index, grid_position, km_offset
 from skyloom.functions.scalar import hours_between, plus_minutes
 from skyloom.operators.nearest import nearest_join
-from skyloom.operators.sliced import time_slice, with_previous
+from skyloom.operators.sliced import fill_forward, time_slice, with_previous
 
 _GRID = "reflectivity_dbz"
 _PLACE = ["grid_km", "resolution_km", "latitude", "longitude"]
@@ -106,15 +106,16 @@ def frame_pairs(frames: DataFrame, slice_s: float = _PAIR_SLICE_S) -> DataFrame:
 # --- G2: block matching ---------------------------------------------------------
 
 
-def block_flow(pairs: DataFrame, block: int = 15, radius: int = 8) -> DataFrame:
+def block_flow(pairs: DataFrame, block: int = 15, radius: int = 8, levels: int = 1) -> DataFrame:
     """Motion per block in cells per frame interval, as ``flow_x`` / ``flow_y``.
 
-    Both arrays are row-major over the blocks, ceil(n / block) per side.
+    Both arrays are row-major over the blocks, ceil(n / block) per side. With several ``levels`` the search goes
+    from coarse to fine and reaches ``radius * (2**levels - 1)`` cells.
     """
 
     @F.pandas_udf("flow_x array<double>, flow_y array<double>")
     def match(prev: pd.Series, curr: pd.Series) -> pd.DataFrame:
-        flows = [match_blocks(pixels(p), pixels(c), block, radius) for p, c in zip(prev, curr)]
+        flows = [match_levels(pixels(p), pixels(c), block, radius, levels) for p, c in zip(prev, curr)]
         return pd.DataFrame({"flow_x": [f[0] for f in flows], "flow_y": [f[1] for f in flows]})
 
     return (
@@ -251,13 +252,49 @@ def score_methods(per_frame: DataFrame, threshold: float = RAIN_THRESHOLD_DBZ) -
 
 # --- G5-G8: points and regions ------------------------------------------------------
 
+_REQUEST_SLICE_S = 86_400
+
+
+def for_requests(frames: DataFrame, requests: DataFrame, max_age_s: float | None = None) -> DataFrame:
+    """One row per request: its columns beside the station's last frame at or before ``at`` (NULL: the latest).
+
+    Frames are matched on keys alone, per station and day; a request that has no frame (or none younger than
+    ``max_age_s``) has no row. Only the grids asked for are fetched, however often one is asked for.
+    """
+    seen = frames.select("station", F.col("timestamp").alias("_seen"))
+    row = F.struct(*[F.col(c) for c in requests.columns])
+    line = seen.select("station", F.struct(F.col("_seen").alias("t"), F.lit(0).alias("side")).alias("_o"), "_seen").unionByName(
+        requests.filter(F.col("at").isNotNull()).select(
+            "station", F.struct(F.col("at").alias("t"), F.lit(1).alias("side")).alias("_o"), row.alias("_request")
+        ),
+        allowMissingColumns=True,
+    )
+    day = time_slice(F.col("_o.t"), _REQUEST_SLICE_S)
+    timed = fill_forward(line, ["station"], "_o", "_seen", day, "_frame_at").filter("_o.side = 1")
+    newest = seen.groupBy("station").agg(F.max("_seen").alias("_frame_at"))
+    latest = requests.filter(F.col("at").isNull()).join(newest, "station").select(*requests.columns, "_frame_at")
+    matched = timed.select("_request.*", "_frame_at").unionByName(latest).filter(F.col("_frame_at").isNotNull())
+    if max_age_s is not None:
+        age = F.unix_micros("at") - F.unix_micros("_frame_at")
+        matched = matched.filter(F.coalesce(age, F.lit(0)) <= int(max_age_s * 1_000_000))
+    keys = matched.withColumnRenamed("_frame_at", "timestamp").hint("shuffle_hash")
+    return frames.join(keys, ["station", "timestamp"])
+
+
+def _asked(frames: DataFrame, places: DataFrame | None) -> DataFrame:
+    """Frames beside the places they are asked for: by request time, or all of a station's frames for each place."""
+    if places is None:
+        return frames
+    return for_requests(frames, places) if "at" in places.columns else frames.join(places, "station")
+
 
 def point_samples(grids: DataFrame, points: DataFrame, grid: str = _GRID) -> DataFrame:
     """Value of the cell nearest to each watch point of the same station.
 
+    Points with a time ``at`` get one row each (``for_requests``), others one per grid of the station.
     ``in_range`` is false (and the value NULL) for points outside the grid.
     """
-    at = grids.join(points, "station")
+    at = _asked(grids, points)
     n = grid_side(F.col(grid))
     east, north = km_offset(
         F.col("latitude"), F.col("longitude"), F.col("point_lat"), F.col("point_lon")
@@ -286,12 +323,13 @@ def check_points(
     )
 
 
-def crop_bounds(frames: DataFrame, boxes: DataFrame, grid: str = _GRID) -> DataFrame:
+def crop_bounds(frames: DataFrame, boxes: DataFrame | None, grid: str = _GRID) -> DataFrame:
     """Inclusive cell bounds of the box ``radius_km`` around each point.
 
-    ``in_range`` is false only where the box misses the grid altogether.
+    Boxes with a time ``at`` get one row each (``for_requests``), others one per frame; None says that the frames
+    carry their boxes. ``in_range`` is false only where the box misses the grid altogether.
     """
-    at = frames.join(boxes, "station")
+    at = _asked(frames, boxes)
     n = grid_side(F.col(grid))
     east, north = km_offset(
         F.col("latitude"), F.col("longitude"), F.col("point_lat"), F.col("point_lon")
@@ -368,9 +406,12 @@ def with_cell_flow(cells: DataFrame) -> DataFrame:
 
 
 def region_product(
-    flow_frames: DataFrame, boxes: DataFrame, spacing: int = 20
+    flow_frames: DataFrame, boxes: DataFrame | None, spacing: int = 20
 ) -> tuple[DataFrame, DataFrame]:
-    """(classified cells, block motion) of the region around every point."""
+    """(classified cells, block motion) of the region around every point.
+
+    For requests by time match them to the pairs first and pass None: then motion is computed for those pairs only.
+    """
     cells = with_cell_flow(
         crop_cells(crop_bounds(flow_frames.drop("prev_dbz"), boxes))
     )

@@ -24,7 +24,7 @@ from skyloom.errors import NotEnoughDataError, NoUsableDataError, OutOfRadarRang
 from skyloom.operators import daily as D, forests, rasters as R, tracks as K, verify as V
 from skyloom.operators.merge import merge_authoritative, merge_enrichment
 from skyloom.sources import best_track, climate_csv, feeds, scans
-from skyloom.sources.tables import insert_ignore, keyed, merge_into, read_table, replace_into
+from skyloom.sources.tables import insert_ignore, keyed, merge_into, read_table, reject, replace_into
 from skyloom.streaming.jobs import refresh_days
 
 SEQ = "ingest_seq"
@@ -37,14 +37,6 @@ def _arrival(df: DataFrame) -> DataFrame:
     return df.withColumn(SEQ, F.monotonically_increasing_id())
 
 
-def _reject(root: str, job: str, reason: str, rows: DataFrame) -> None:
-    """Keep what a job could not use, as JSON, in the table of rejects."""
-    if not rows.isEmpty():
-        rows.select(
-            F.lit(job).alias("job"), F.lit(reason).alias("reason"), F.to_json(F.struct("*")).alias("record")
-        ).write.mode("append").parquet(f"{root}/rejects")
-
-
 def _now() -> Column:
     return F.lit(datetime.now(timezone.utc)).cast("timestamp")
 
@@ -56,15 +48,18 @@ def ingest_observations(spark: SparkSession, root: str, feed_path: str) -> DataF
     """fetch, part 1: S1, J5.  Returns the appended reports."""
     docs = _arrival(feeds.read_documents(spark, feed_path))
     reports = feeds.parse_observations(docs, keep=[SEQ], seq=SEQ)
-    _reject(root, "observations", "no JSON", feeds.broken_documents(docs))
-    _reject(root, "observations", "no station or time", keyed(reports, "observations")[1])
+    reject(spark, root, "observations", "no JSON", feeds.broken_documents(docs))
+    reject(spark, root, "observations", "no station or time", keyed(reports, "observations")[1])
     return insert_ignore(spark, f"{root}/observations", "observations", reports, SEQ)
 
 
 def refresh_live_daily(
     spark: SparkSession, root: str, reports: DataFrame | None = None, tz: str | Column = LOCAL_TZ
 ) -> DataFrame:
-    """fetch, part 2: A1, J8, J9 for the days of ``reports`` (all stored reports by default)."""
+    """fetch, part 2: A1, J8, J9 for the days of ``reports`` (all stored reports by default).
+
+    Days are those of the zones in the table ``stations``, of ``tz`` for stations without one.
+    """
     if reports is None:
         reports = read_table(spark, f"{root}/observations", "observations")
     return refresh_days(spark, root, reports, tz)
@@ -73,9 +68,9 @@ def refresh_live_daily(
 def load_daily_history(spark: SparkSession, root: str, pages_path: str) -> DataFrame:
     """backfill: S4, A2, P6, J7."""
     docs = _arrival(feeds.read_documents(spark, pages_path))
-    _reject(root, "daily history", "no JSON", feeds.broken_documents(docs))
+    reject(spark, root, "daily history", "no JSON", feeds.broken_documents(docs))
     rows = D.pivot_summaries(feeds.parse_summaries(docs, keep=[SEQ], seq=SEQ), SEQ)
-    _reject(root, "daily history", "no station or date", keyed(rows, "daily_observations")[1])
+    reject(spark, root, "daily history", "no station or date", keyed(rows, "daily_observations")[1])
     return merge_into(
         spark,
         f"{root}/daily_observations",
@@ -166,7 +161,7 @@ def _store_scores(spark: SparkSession, root: str, table: str, scores: DataFrame)
 def load_tracks(spark: SparkSession, root: str, path: str) -> DataFrame:
     """hurricane-backfill: S6, P2, P3, W11, J6.  Files of any basin; of repeated fixes the last line counts."""
     fixes = best_track.parse_lines(best_track.read_best_track(spark, path), keep=["arrival"])
-    _reject(root, "tracks", "no storm or time", keyed(fixes, "hurricane_fixes")[1])
+    reject(spark, root, "tracks", "no storm or time", keyed(fixes, "hurricane_fixes")[1])
     return replace_into(spark, f"{root}/hurricane_fixes", "hurricane_fixes", _arrival(fixes), SEQ)
 
 
@@ -198,7 +193,7 @@ def forecast_storms(spark: SparkSession, root: str, feed_path: str) -> DataFrame
     bundle = forests.load_bundle(spark, f"{root}/models/tracks")
     storms = feeds.parse_active_storms(feeds.read_documents(spark, feed_path))
     live, unusable = K.live_features(storms)
-    _reject(root, "live storms", "no position or time", unusable)
+    reject(spark, root, "live storms", "no position or time", unusable)
     rows = forests.forecast_storms(bundle, live)
     replace_into(
         spark, f"{root}/hurricane_predictions", "hurricane_predictions", _arrival(rows), SEQ
@@ -222,7 +217,7 @@ def scan_catalog(
 ) -> DataFrame:
     """radar-fetch-raw, radar-backfill-raw: S8, S9, P8, J11.  Returns the newly listed scans."""
     found, unusable = scans.parse_scans(scans.scan_names(scans.read_listing(spark, listing_path)))
-    _reject(root, "scans", "no scan name", unusable)
+    reject(spark, root, "scans", "no scan name", unusable)
     if start and end:
         found = scans.scans_between(found, F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
     return insert_ignore(
@@ -255,7 +250,7 @@ def _frames(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, f"{root}/radar_frames", "radar_frames").drop("scan_date")
 
 
-def _latest_flow(spark: SparkSession, root: str, block: int, radius: int) -> DataFrame:
+def _latest_flow(spark: SparkSession, root: str, block: int, radius: int, levels: int) -> DataFrame:
     """Motion of every station's last two frames.
 
     The day folders that hold them are looked up first (at most one value per
@@ -267,7 +262,7 @@ def _latest_flow(spark: SparkSession, root: str, block: int, radius: int) -> Dat
     if not dates:
         R.require_frames(table, 2)  # no station can be used
     recent = table.filter(F.col("scan_date").isin(dates)).drop("scan_date")
-    return R.block_flow(R.frame_pairs(R.latest_frames(recent, 2)), block, radius)
+    return R.block_flow(R.frame_pairs(R.latest_frames(recent, 2)), block, radius, levels)
 
 
 def nowcast(
@@ -275,10 +270,11 @@ def nowcast(
     root: str,
     lead_minutes: float = DEFAULT_LEAD_MINUTES,
     block: int = 15,
-    radius: int = 8,
+    radius: int = 4,
+    levels: int = 3,
 ) -> DataFrame:
     """radar-nowcast: K1, W12, G1-G4, S11, J6 for every station at once."""
-    rows = R.nowcast(_latest_flow(spark, root, block, radius), lead_minutes)
+    rows = R.nowcast(_latest_flow(spark, root, block, radius, levels), lead_minutes)
     return replace_into(
         spark, f"{root}/radar_nowcasts", "radar_nowcasts", rows.withColumn(SEQ, F.lit(0)), SEQ
     )
@@ -304,14 +300,20 @@ def score_nowcasts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame
 
 
 def region_product(
-    spark: SparkSession, root: str, boxes: DataFrame, spacing: int = 20, block: int = 15, radius: int = 8
+    spark: SparkSession,
+    root: str,
+    boxes: DataFrame,
+    spacing: int = 20,
+    block: int = 15,
+    radius: int = 4,
+    levels: int = 3,
 ) -> tuple[DataFrame, DataFrame]:
     """radar-image: G7, F9, A14, G8 of the latest frames.  ``boxes``: point_id, station,
     point_lat, point_lon, radius_km."""
-    flow = _latest_flow(spark, root, block, radius)
+    flow = _latest_flow(spark, root, block, radius, levels)
     bounds = R.crop_bounds(flow, boxes)
     missed = bounds.filter("NOT in_range").select("point_id").distinct()
-    _reject(root, "region product", "outside the radar grid", missed)
+    reject(spark, root, "region product", "outside the radar grid", missed)
     inside = bounds.filter("in_range").select("point_id").distinct()
     if inside.isEmpty():
         raise OutOfRadarRangeError(f"outside the radar grid: points {[r[0] for r in missed.limit(5).collect()]}")
@@ -325,9 +327,10 @@ def storm_check(
     alerts_path: str | None = None,
     lead_minutes: float = DEFAULT_LEAD_MINUTES,
     block: int = 15,
-    radius: int = 8,
+    radius: int = 4,
+    levels: int = 3,
 ) -> tuple[DataFrame, DataFrame | None]:
     """storm-check: S2, G5, G6.  Returns (rain check per point, active alerts)."""
-    checks = R.check_points(R.nowcast(_latest_flow(spark, root, block, radius), lead_minutes), points)
+    checks = R.check_points(R.nowcast(_latest_flow(spark, root, block, radius, levels), lead_minutes), points)
     alerts = feeds.parse_alerts(feeds.read_documents(spark, alerts_path)) if alerts_path else None
     return checks, alerts

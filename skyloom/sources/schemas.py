@@ -42,6 +42,18 @@ _MEASURES = ", ".join(f"{c} DOUBLE" for c in OBSERVATION_MEASURES.values())
 TABLES = {
     t.name: t
     for t in (
+        Table(
+            "stations",
+            "station_id STRING, tz STRING, latitude DOUBLE, longitude DOUBLE",
+            ("station_id",),
+        ),
+        Table(
+            "rejects",
+            "job STRING, reason STRING, record STRING, record_id STRING",
+            ("job", "record_id"),
+            "of_job",
+            "job",
+        ),
         Table(
             "observations",
             f"station_id STRING, timestamp TIMESTAMP, text_description STRING, {_MEASURES}",

@@ -106,6 +106,23 @@ def keyed(df: DataFrame, table: str | Table) -> tuple[DataFrame, DataFrame]:
     return df.filter(whole), df.filter(~whole)
 
 
+BOOKKEEPING = ("ingest_seq", "arrival", "kind", "copy")
+
+
+def reject(spark: SparkSession, root: str, job: str, reason: str, rows: DataFrame) -> None:
+    """Keep what a job could not use, as JSON, in the table of rejects, once per job and record.
+
+    A record is named by the hash of its values; its place of arrival does not count, so a rerun or a replayed
+    batch adds nothing.
+    """
+    if rows.isEmpty():
+        return
+    record = F.to_json(F.struct(*[F.col(c) for c in rows.columns if c not in BOOKKEEPING]))
+    kept = rows.select(F.lit(job).alias("job"), F.lit(reason).alias("reason"), record.alias("record"))
+    kept = kept.withColumn("record_id", F.sha2("record", 256)).withColumn("ingest_seq", F.lit(0))
+    insert_ignore(spark, f"{root}/rejects", "rejects", kept, "ingest_seq")
+
+
 def touched(stored: DataFrame, new: DataFrame, table: Table) -> DataFrame:
     """Stored rows of the directory partitions that ``new`` falls into."""
     for column in table.folders:

@@ -25,11 +25,14 @@ from skyloom.operators.verify import join_fixes, join_outcomes
 from skyloom.sources.scans import parse_scans, scan_names
 from skyloom.sources.schemas import TABLES
 from skyloom.sources.tables import (
+    exists,
     insert_ignore,
+    keyed,
     materialise,
     merge_into,
     only_partitions,
     read_table,
+    reject,
     replace_into,
 )
 
@@ -67,12 +70,18 @@ def _run(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _without_key(batch: DataFrame, root: str, job: str, table: str) -> None:
+    """Rows that cannot be stored are kept among the rejects, each once however often it is replayed."""
+    reject(batch.sparkSession, root, job, f"no {' or '.join(TABLES[table].keys)}", keyed(batch, table)[1])
+
+
 def ingest_observations(
     reports: DataFrame, root: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Append reports whose (station, time) is not stored; the first copy wins."""
+    """Append reports whose (station, time) is not stored; the first copy wins.  Keyless ones go to the rejects."""
 
     def step(batch: DataFrame, _: int) -> None:
+        _without_key(batch, root, "observations", "observations")
         insert_ignore(batch.sparkSession, f"{root}/observations", "observations", batch, SEQ)
 
     return _run(reports, checkpoint, step, trigger)
@@ -81,9 +90,17 @@ def ingest_observations(
 def refresh_days(spark: SparkSession, root: str, reports: DataFrame, tz: str | Column = LOCAL_TZ) -> DataFrame:
     """T2's step: re-aggregate the local days that ``reports`` touch, then J8 and J9.
 
-    Reads only the stored UTC dates around those days, so cost follows the batch.
+    Reads only the stored UTC dates around those days, so cost follows the batch. A station's day is that of its
+    zone in the table ``stations``; ``tz`` stands in for stations without one (F2).
     """
-    days = reports.select(
+    if exists(spark, f"{root}/stations"):
+        zones = read_table(spark, f"{root}/stations", "stations").groupBy("station_id").agg(F.max("tz").alias("_zone"))
+        own = F.coalesce("_zone", F.lit(tz) if isinstance(tz, str) else tz)
+        zoned = lambda rows: rows.join(zones, "station_id", "left").withColumn("_zone", own)
+        tz = F.col("_zone")
+    else:
+        zoned = lambda rows: rows
+    days = zoned(reports.select("station_id", "timestamp")).select(
         "station_id", local_date(F.col("timestamp"), tz).alias("_day")
     ).distinct()
     around = days.select(
@@ -91,7 +108,7 @@ def refresh_days(spark: SparkSession, root: str, reports: DataFrame, tz: str | C
     )
     observations = read_table(spark, f"{root}/observations", "observations")
     stored = (
-        only_partitions(observations, "obs_date", around)
+        zoned(only_partitions(observations, "obs_date", around))
         .withColumn("_day", local_date(F.col("timestamp"), tz))
         .join(days, ["station_id", "_day"], "left_semi")
     )
@@ -119,6 +136,7 @@ def ingest_and_refresh(
         spark = batch.sparkSession
         batch = batch.persist()
         try:
+            _without_key(batch, root, "observations", "observations")
             insert_ignore(spark, f"{root}/observations", "observations", batch, SEQ)
             refresh_days(spark, root, batch, tz)
         finally:
@@ -211,6 +229,8 @@ def match_outcomes(
                 raise ValueError(f"a forecast reaches more than {reach_days} days ahead")
             truth = _of_kind(batch, "outcome", "daily_outcomes")
             truth = truth.withColumn("version", F.coalesce("version", SEQ)).drop(SEQ)
+            _without_key(forecasts, root, "daily forecasts", "predictions")
+            _without_key(truth, root, "daily outcomes", "daily_outcomes")
             replace_into(spark, f"{root}/predictions", "predictions", forecasts, SEQ)
             merge_into(
                 spark,
@@ -266,6 +286,9 @@ def match_nowcasts(
         try:
             frames = _of_kind(batch, "frame", "radar_frames")
             nowcasts = _of_kind(batch, "nowcast", "radar_nowcasts")
+            narrow = [c for c in batch.columns if c != "reflectivity_dbz"]
+            for kind, table in (("frame", "radar_frames"), ("nowcast", "radar_nowcasts")):
+                _without_key(batch.filter(F.col("kind") == kind).select(*narrow), root, f"radar {kind}s", table)
             insert_ignore(spark, f"{root}/radar_frames", "radar_frames", frames, SEQ)
             replace_into(spark, f"{root}/radar_nowcasts", "radar_nowcasts", nowcasts, SEQ)
             arrived = materialise(spark, nowcasts.select(*keys).distinct())
@@ -337,6 +360,7 @@ def match_tracks(
         spark = batch.sparkSession
         batch = batch.persist()
         try:
+            _without_key(batch, root, "tracks", "hurricane_fixes")
             replace_into(spark, f"{root}/hurricane_fixes", "hurricane_fixes", batch, SEQ)
             reach = F.make_dt_interval(secs=F.lit(float(tolerance_s)))
             at = F.col("timestamp")

@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skyloom.functions import kernels
 from skyloom.operators import rasters as R, tracks as K
 from skyloom.sources import grids
 from skyloom.sources.schemas import TABLES
@@ -182,3 +184,117 @@ def test_nowcasts_meet_frames_in_any_order(spark, tmp_path, order):
     batch = R.grid_scores(nowcasts, read_table(spark, f"{root}/radar_frames", "radar_frames").drop("scan_date"))
     assert sorted((r["method"], r["mae_dbz"]) for r in batch.collect()) == sorted((m, e) for m, _, e, _ in score())
     assert batch.filter(F.col("csi") < 0).isEmpty()
+
+
+# --- requests by time, motion in levels --------------------------------------------------------------
+
+
+def test_requests_get_one_row_each(spark):
+    rows = frames(spark, *[frame(blob(k), 5 * k) for k in range(6)], frame(blob(30), 700), frame(blob(9), 2, "KHPX"))
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    asked = [(1, "KOHX", at(12)), (2, "KOHX", at(10)), (3, "KOHX", None), (4, "KOHX", at(-1)), (5, "KHPX", at(9000)), (6, "none", None), (2, "KOHX", at(10))]
+    requests = spark.createDataFrame(asked, "point_id int, station string, at timestamp")
+    got = R.for_requests(rows, requests).collect()
+    assert sorted((r["point_id"], (r["timestamp"] - T0).total_seconds() / 60) for r in got) == [(1, 10.0), (2, 10.0), (2, 10.0), (3, 700.0), (5, 2.0)]
+    young = R.for_requests(rows, requests, max_age_s=60.0)
+    assert sorted(r["point_id"] for r in young.collect()) == [2, 2, 3]
+    assert R.for_requests(rows.limit(0), requests).isEmpty() and R.for_requests(rows, requests.limit(0)).isEmpty()
+    places = requests.filter("point_id < 4").selectExpr("*", "36.0 AS point_lat", "-87.0 AS point_lon", "5.0 AS radius_km")
+    assert R.point_samples(rows, places).count() == 4 and R.crop_bounds(rows, places).count() == 4
+
+
+def plain_levels(prev, curr, block, radius, levels):
+    n = len(curr)
+    side = -(-n // block)
+    at = lambda g, r, c: g[r, c] if 0 <= r < n and 0 <= c < n else 0.0
+    cells = {
+        (i, j): [(r, c) for r in range(i * block, min(n, i * block + block)) for c in range(j * block, min(n, j * block + block))]
+        for i in range(side)
+        for j in range(side)
+    }
+    echo = [b for b in cells if sum(int(curr[r, c]) for r, c in cells[b])]
+    rows, cols = {i for i, _ in echo}, {j for _, j in echo}
+    found = {b: (0, 0) for b in cells}
+    tries = [(dx, dy) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1)]
+    for level in range(levels - 1, -1, -1):
+        step = 2**level
+        full = lambda g: np.pad(g, (0, -n % step)).astype(float)
+        mean = lambda g, r, c: full(g)[r // step * step : r // step * step + step, c // step * step : c // step * step + step].mean()
+        a, b = (np.array([[mean(g, r, c) for c in range(n)] for r in range(n)]) for g in (prev, curr))
+
+        def alone(k, s):
+            x, y = (int(v) for v in found[k])
+            return sum(abs(b[r, c] - at(a, r - y - s[1] * step, c - x - s[0] * step)) for r, c in cells[k])
+
+        costs = {(k, s): alone(k, s) if k[0] in rows and k[1] in cols else 0.0 for k in cells for s in tries}
+        now = {}
+        for i, j in echo:
+            near = [k for k in cells if abs(k[0] - i) <= level and abs(k[1] - j) <= level]
+            cost = lambda s: round(sum(costs[k, s] for k in near), 6)
+            dx, dy = min(tries, key=lambda s: (cost(s), s[0] ** 2 + s[1] ** 2, s[1], s[0]))
+            now[i, j] = (found[i, j][0] + dx * step, found[i, j][1] + dy * step)
+        found.update(now)
+    return {k: found[k] for k in echo}
+
+
+def test_motion_in_levels_equals_plain_loops():
+    rng = np.random.default_rng(4)
+    for n, block in ((11, 4), (8, 4)):
+        prev, curr = (rng.integers(0, 5, (n, n)).astype(np.uint8) * rng.integers(0, 40, (n, n)).astype(np.uint8) for _ in range(2))
+        curr[:block, :block] = 0
+        fx, fy = kernels.match_levels(prev.ravel(), curr.ravel(), block, 1, 2)
+        side = -(-n // block)
+        want = plain_levels(prev, curr, block, 1, 2)
+        assert {(r, c): (fx[r * side + c], fy[r * side + c]) for r, c in want} == want
+        assert fx[0] == pytest.approx(np.mean([x for x, _ in want.values()]))
+
+
+def storm(cx, cy, n=180):
+    """A cell of several cores."""
+    y, x = np.mgrid[0:n, 0:n]
+    cores = ((0, 0, 14, 200), (18, 10, 8, 140), (-14, 16, 7, 170), (6, -20, 9, 120))
+    grid = sum(h * np.exp(-((x - cx - dx) ** 2 + (y - cy - dy) ** 2) / (2 * s * s)) for dx, dy, s, h in cores)
+    return np.where(grid < 8, 0, np.minimum(grid, 255)).astype(np.uint8)
+
+
+def test_a_far_shift_is_found_by_three_small_searches():
+    prev, curr = storm(70, 90), storm(100, 90)
+    fx, fy = (f.reshape(12, 12) for f in kernels.match_levels(prev.ravel(), curr.ravel(), 15, 5, 3))
+    core = np.add.reduceat(np.add.reduceat(curr.astype(float), range(0, 180, 15), 0), range(0, 180, 15), 1) > 5000
+    assert core.sum() > 10 and (fx[core] == 30).mean() > 0.9 and (fy[core] == 0).mean() > 0.9
+    near, _ = kernels.match_blocks(prev.ravel(), curr.ravel(), 15, 8)
+    assert np.abs(near).max() <= 8
+    same = kernels.match_levels(prev.ravel(), curr.ravel(), 15, 3, 1)
+    assert all((a == b).all() for a, b in zip(same, kernels.match_blocks(prev.ravel(), curr.ravel(), 15, 3)))
+
+
+# --- rejects and zones ---------------------------------------------------------------------------------
+
+
+def reports(spark, *rows):
+    names = [f for f in TABLES["observations"].schema.fieldNames() if f not in ("station_id", "timestamp", "temperature_c")]
+    made = spark.createDataFrame(list(rows), "station_id string, timestamp timestamp, temperature_c double")
+    return made.select("*", *[F.lit(None).cast(TABLES["observations"].schema[c].dataType).alias(c) for c in names], F.lit(0).alias("ingest_seq"))
+
+
+def test_keyless_rows_are_kept_once_however_often_they_come(spark, tmp_path):
+    rows = reports(spark, ("A", T0, 1.0), (None, T0, 2.0), ("A", None, 3.0), (None, T0, 2.0))
+    for name in ("first", "second", "first"):
+        rows.write.mode("append").parquet(f"{tmp_path}/spool")
+        stream = streams.file_stream(spark, f"{tmp_path}/spool", rows.schema)
+        streams.ingest_observations(stream, str(tmp_path), f"{tmp_path}/{name}").awaitTermination()
+    kept = read_table(spark, f"{tmp_path}/rejects", "rejects").collect()
+    assert len(kept) == 2 and {r["job"] for r in kept} == {"observations"} and "3.0" in "".join(r["record"] for r in kept)
+    assert read_table(spark, f"{tmp_path}/observations", "observations").count() == 1
+
+
+def test_days_are_cut_at_the_midnight_of_each_station(spark, tmp_path):
+    zones = spark.createDataFrame([("B", "Europe/Berlin", None, None, 0)], "station_id string, tz string, latitude double, longitude double, ingest_seq int")
+    replace_into(spark, f"{tmp_path}/stations", "stations", zones, "ingest_seq")
+    utc = lambda d, h: dt.datetime(2026, 3, d, h)
+    # Berlin: midnight at 23 UTC before and at 22 UTC after the change on the 29th; Chicago: at 5 UTC
+    rows = reports(spark, *[(s, t, float(k)) for s in "AB" for k, t in enumerate([utc(28, 22), utc(28, 23), utc(29, 4), utc(29, 21), utc(29, 22), utc(30, 5)])])
+    streams.refresh_days(spark, str(tmp_path), insert_ignore(spark, f"{tmp_path}/observations", "observations", rows, "ingest_seq"))
+    got = read_table(spark, f"{tmp_path}/daily_observations", "daily_observations").collect()
+    days = sorted((r["station_id"], r["date"].day, r["temp_min_c"], r["temp_max_c"]) for r in got)
+    assert days == [("A", 28, 0.0, 2.0), ("A", 29, 3.0, 4.0), ("A", 30, 5.0, 5.0), ("B", 28, 0.0, 0.0), ("B", 29, 1.0, 3.0), ("B", 30, 4.0, 5.0)]

@@ -6,7 +6,6 @@ import __spark_entry__ as entry
 from compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"m_temp", "m_track", "m_forecast_storms", "m_forecast_days"}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +21,7 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query_equals_sql(spark, con, name):
     if name not in entry.oracle_sql():
         assert entry.queries()[name](spark, SF).count() > 0
