@@ -467,3 +467,69 @@ def op12_repair(spark, sf_dir: str) -> DataFrame:
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.lit(EMPTY_SHA256)).alias("repaired_sha256"),
     )
+
+
+# ---- the SQL twin: checksums bit by bit, then a table of four states, a row at a time ----
+
+
+def _step(state: str, cost: str, letter: str, line: str | None) -> str:
+    text = f"{state}.t" if line is None else f"{state}.t || chr(10) || {line}"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {text}}}"
+
+
+_NEVER = "{'c': CAST(1000000000 AS BIGINT), 'a': '', 't': ''}"
+_MORE = "CASE WHEN fault = 3 THEN 1 ELSE 0 END"
+
+
+def _if(condition: str, state: str) -> str:
+    return f"CASE WHEN {condition} THEN {state} ELSE {_NEVER} END"
+
+
+def _inserted(inner: str) -> str:
+    """A layer in which every state may also come from an insertion."""
+    user = ", ".join(["s2", *(_step(s, "2", INSERT, "'user:'") for s in ("s0", "s1", "s3"))])
+    return f"""SELECT conv_id, i, s0, s1, list_min([{user}]) AS s2,
+  list_min([s3, {_step("s2", "2", INSERT, "'assistant:'")}]) AS s3 FROM ({inner})"""
+
+
+def _row_taken() -> str:
+    """A layer that takes the next row: deleted, kept or with another role."""
+    kept, gone = "f.role || ':' || f.text", [_step(f"r.s{k}", "3", DELETE, None) for k in range(4)]
+    stays = "f.fault NOT IN (1, 2)"
+    keep = lambda s, initial: _if(f"{stays} AND substr(f.role, 1, 1) = '{initial}'", _step(f"r.{s}", _MORE, KEEP, kept))
+    rerole = lambda s, role: _if(stays, _step(f"r.{s}", f"2 + {_MORE}", REROLE, f"'{role}:' || f.text"))
+    user = [gone[2], *(keep(s, "u") for s in ("s0", "s1", "s3")), *(rerole(s, "user") for s in ("s0", "s1", "s3"))]
+    assistant = [gone[3], keep("s2", "a"), rerole("s2", "assistant")]
+    return f"""SELECT r.conv_id, r.i + 1 AS i, {gone[0]} AS s0, list_min([{gone[1]}, {keep("s0", "s")}]) AS s1,
+  list_min([{", ".join(user)}]) AS s2, list_min([{", ".join(assistant)}]) AS s3
+  FROM steps r JOIN faults f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i + 1"""
+
+
+_EMPTY = "{'c': CAST(0 AS BIGINT), 'a': '', 't': ''}"
+_BEGIN = f"SELECT conv_id, CAST(0 AS BIGINT) AS i, {_EMPTY} AS s0, {_NEVER} AS s1, {_NEVER} AS s2, {_NEVER} AS s3 FROM (SELECT DISTINCT conv_id FROM faults)"
+
+OP12_SQL = rf"""WITH RECURSIVE keyed AS (SELECT row_number() OVER () AS id, conv_id, turn, coalesce(role, ' ') AS role,
+    coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+crcs AS (SELECT id, k, 0 AS n, CAST(4294967295 AS BIGINT) AS c FROM keyed UNION ALL
+  SELECT id, k, n + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END FROM (
+    SELECT *, CASE WHEN n % 8 = 0 THEN xor(c, CAST(ascii(substr(k, n // 8 + 1, 1)) AS BIGINT)) ELSE c END AS x
+    FROM crcs WHERE n < 8 * length(k))),
+kinds AS (SELECT id, xor(c, CAST(4294967295 AS BIGINT)) % 20 AS kind FROM crcs WHERE n = 8 * length(k)),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM keyed JOIN kinds USING (id) CROSS JOIN (SELECT unnest([0, 1]) AS copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM damaged),
+faults AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN nth > 1 THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 3 ELSE 0 END AS fault,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM ordered),
+steps AS ({_inserted(_inserted(_BEGIN))} UNION ALL {_inserted(_inserted(_row_taken()))}),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated,
+    count(*) FILTER (WHERE i > 1 AND before || substr(role, 1, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id),
+ends AS (SELECT c.*, list_min([s.s0, s.s3]) AS best FROM counts c JOIN steps s ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.i = c.n)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+  CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost,
+  coalesce(best.a, '') AS audit, sha256(substr(coalesce(best.t, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""

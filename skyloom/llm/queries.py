@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from skyloom.llm.bpe import op11_bpe
-from skyloom.llm.conversations import op12_repair
+from skyloom.llm.conversations import OP12_SQL, op12_repair
 from skyloom.llm.decontaminate import OP2_SQL, op2_decontaminate
 from skyloom.llm.html_text import op5_html
 from skyloom.llm.jaccard import op7_jaccard
@@ -31,4 +31,9 @@ QUERIES = {
     "op12_repair": op12_repair,
     "op13_periodic": op13_periodic,
 }
-ORACLES = {"op2_decontaminate": OP2_SQL, "op3_vector_dedup": OP3_SQL, "op8_warc": OP8_SQL}
+ORACLES = {
+    "op2_decontaminate": OP2_SQL,
+    "op3_vector_dedup": OP3_SQL,
+    "op8_warc": OP8_SQL,
+    "op12_repair": OP12_SQL,
+}

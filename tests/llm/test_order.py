@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -273,6 +274,9 @@ def test_op12_on_odd_rows(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "conversations.parquet")
     spark.createDataFrame(rows, schema).repartition(3).write.parquet(path)
     want = by_conversation([r[:4] for r in rows])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    assert {r[0]: r[1:] for r in con.sql(conversations.OP12_SQL).fetchall()} == want
     for block in (conversations.BLOCK, 3):
         monkeypatch.setattr(conversations.repaired, "__defaults__", (block,))
         got = {r[0]: tuple(r)[1:] for r in QUERIES["op12_repair"](spark, str(tmp_path)).collect()}
