@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -36,8 +38,8 @@ HOLDER = frozenset("article body div main section td".split())
 HEADINGS = frozenset("h1 h2 h3".split())
 ENDS_ITSELF = {"li": "ul ol", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}
 # What is not the article: elements, roles, and words in classes and ids.
-DROPPED = frozenset("aside button dialog footer form iframe nav noscript script select style svg template textarea".split())
-DROPPED_ROLES = frozenset("alert banner complementary contentinfo dialog form menu navigation search".split())
+DROPPED = frozenset("aside button dialog footer iframe label nav noscript script select style svg template textarea".split())
+DROPPED_ROLES = frozenset("alert banner complementary contentinfo dialog menu navigation search".split())
 DROPPED_WORDS = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer"
     " masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related"
@@ -57,6 +59,7 @@ GOOD_WORDS = frozenset("article body content entry main post story text".split()
 PROPER = 40  # unlinked characters of a block that is a text; shorter ones are mostly labels and dates
 WHOLLY, PARTLY = 2, 1  # a name of a class or id is a dropped word, or a dropped word begins or ends it
 MOST = {WHOLLY: 0.9, PARTLY: 0.5}  # of the unlinked text: where more of it stands is no side matter
+PATH = 240  # letters of a path; deeper down it goes on from its hash
 ENOUGH = 0.5  # of the best container's text; below it a page does not follow its host
 
 
@@ -128,6 +131,7 @@ class Page:
         self.proper: list[bool] = []  # of each block: a heading or a text, no boilerplate
         root = Node("", "", None, False, False)
         self.stack, self.open, self.links = [root], [], 0
+        self.opened: Counter[str] = Counter()  # open elements by tag
         self.found: list[tuple[Node, str, int]] = []  # (innermost element, text, unlinked characters)
         self.linked = 0
         at = search = 0
@@ -225,7 +229,7 @@ class Page:
         attributes = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(rest)} if rest else {}
         words = words_of(attributes) if attributes else set()
         above = self.stack[-1]
-        inside = any(n.tag in ("article", "main") for n in self.stack)
+        inside = self.opened["article"] + self.opened["main"] > 0
         dropped = (
             above.dropped
             or name in DROPPED
@@ -237,16 +241,27 @@ class Page:
         by_name = 0
         if attributes and not dropped and name not in ("html", "body", "article", "main"):
             by_name = named(attributes)
+            if attributes.get("role", "").lower() == "form":
+                by_name = by_name or PARTLY
             if not inside and HEADER_WORDS & set(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()):
                 by_name = WHOLLY
             if by_name and name not in BLOCK and name != "td":
                 dropped, by_name = True, 0  # inside a line there is no container to keep
+        if name == "form" and not dropped:
+            # a form goes with all it holds, but not where it is wrapped around the page or an article
+            by_name = by_name or PARTLY
+        elif name in ("article", "main") and self.opened["form"]:
+            for n in self.stack:
+                n.named *= n.tag != "form"
         if by_name:
             self._break()
         classes = sorted(re.sub("[0-9]+", "#", c) for c in attributes.get("class", "").lower().split())
         path = f"{above.path}/{'.'.join([name, *classes])}" if name in BLOCK or name == "td" else above.path
+        if len(path) > PATH:
+            path = f"#{blake2b(path.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
         node = Node(name, path, above, dropped, name in ("article", "main") or bool(words & GOOD_WORDS), by_name)
         self.stack.append(node)
+        self.opened[name] += 1
         self.links += name == "a"
         if name in HOLDER and not dropped:
             self.nodes.append(node)
@@ -254,7 +269,9 @@ class Page:
     def _pop(self) -> None:
         if self.stack[-1].named:
             self._break()
-        self.links -= self.stack.pop().tag == "a"
+        gone = self.stack.pop()
+        self.opened[gone.tag] -= 1
+        self.links -= gone.tag == "a"
 
     def _close(self, name: str, stops) -> None:
         """Close an open ``name`` that no block (or one of ``stops``) stands in the way of."""
@@ -271,10 +288,12 @@ class Page:
     def _end(self, name: str) -> None:
         if name in BLOCK:
             self._break()
+        if not self.opened[name]:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
+            if name not in BLOCK and self.stack[k].tag in BLOCK:
+                return  # an inline end inside a block does not close the block
             if self.stack[k].tag == name:
-                if name not in BLOCK and any(n.tag in BLOCK for n in self.stack[k + 1 :]):
-                    return  # an inline end inside a block does not close the block
                 while len(self.stack) > k:
                     self._pop()
                 return

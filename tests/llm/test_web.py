@@ -11,6 +11,32 @@ import pytest
 
 from skyloom.llm import html_text, url_rules, warc
 
+@pytest.mark.parametrize("open_, close", [("<form><article>", "</article></form>"), ("<form id=page><div>", "</div></form>"), ("<div role=form><main>", "</main></div>")])
+def test_a_form_around_the_page_is_no_form(open_, close):
+    controls = "<label>Your name</label><select><option>One</option></select><button>Go</button><input value=x>"
+    text = html_text.Page(f"<body>{open_}<h1>Title</h1><p>{LONG}</p>{controls}<p>The end</p>{close}</body>").main_text(None)
+    assert text == f"Title\n{LONG.strip()}\nThe end"
+
+
+@pytest.mark.parametrize("form", ["<form>Search this site<input></form>", "<form><p>Leave a reply below</p><textarea>x</textarea></form>"])
+def test_forms_beside_and_in_the_article_go(form):
+    for page in (f"<body>{form}<article><p>{LONG}</p></article></body>", f"<body><article><p>{LONG}</p>{form}</article></body>"):
+        assert html_text.Page(page).main_text(None) == LONG.strip()
+
+
+def test_deep_pages_take_time_and_memory_in_proportion():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        page = html_text.Page("<div class=a>" * n + "</b></i>" * n + f"<p>{LONG}</p>")
+        assert page.main_text(None) == LONG.strip() and max(len(x.path) for x in page.nodes) <= html_text.PATH
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(64_000) < 40 * seconds(4_000) + 1
+
+
 # ---- op8
 
 
