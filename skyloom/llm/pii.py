@@ -93,7 +93,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def shape(token: str) -> str:
     """Word shape: letter runs ``x``, digit runs by length (1-4 as they are, 5-8, 9-11, 12-19, more), the rest kept."""
     out = []
-    for digits, letters, other in SHAPE_PART.findall(token[:200]):
+    for digits, letters, other in SHAPE_PART.findall(token):
         n = len(digits)
         out.append(
             (str(n) if n < 5 else "5" if n < 9 else "9" if n < 12 else "C" if n < 20 else "L")

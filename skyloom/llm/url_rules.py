@@ -41,7 +41,7 @@ def tokens(url: Column) -> Column:
     host, path = host_and_path(url)
     parts = F.split(host, r"\.")
     domains = F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("host="), F.array_join(F.slice(parts, i, 999), "."))
+        F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("host="), F.array_join(F.slice(parts, i, F.size(parts)), "."))
     )
     words = F.transform(
         F.filter(F.split(path, r"[/.\-_]"), lambda w: (w != "") & ~w.rlike("^[0-9]+$")),

@@ -29,7 +29,6 @@ ID = "urn:skyloom:page:"
 DATE = "1970-01-01T00:00:00Z"  # archives depend on their pages only
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
-MOST_HEAD = 1 << 20  # a longer record head is damage
 CONTROL = re.compile(r"[\x00-\x20\x7f]")
 LENGTH = re.compile(rb"(?im)^content-length:[ \t]*([0-9]+)[ \t]*\r?$")
 
@@ -60,12 +59,11 @@ def parse(data: memoryview, at: int) -> tuple[dict, bytes, int] | None:
     """Headers, block and end of the record at ``at``; None if it isn't sound."""
     if bytes(data[at : at + 6]) != b"WARC/1":
         return None
-    for size in (4096, MOST_HEAD):
-        stop = bytes(data[at : at + size]).find(END)
-        if stop >= 0:
-            break
-    else:
-        return None
+    size = 4096
+    while (stop := bytes(data[at : at + size]).find(END)) < 0:
+        if at + size >= len(data):
+            return None
+        size *= 4
     try:
         lines = bytes(data[at : at + stop]).decode("utf-8").split("\r\n")
         headers = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:])}
@@ -202,7 +200,14 @@ def number(name: str | None) -> int | None:
 
 
 def read_archives(spark, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(records, gaps) of all archives of a folder.
+    """(records, gaps) of all archives of a folder: the rows of ``read_rows`` apart."""
+    every = read_rows(spark, folder)
+    gap = F.col("record_type") == "gap"
+    return every.where(~gap), every.where(gap).select("file", "start", "end")
+
+
+def read_rows(spark, folder: str) -> DataFrame:
+    """Records and gaps of all archives of a folder, a gap as a row of that ``record_type``.
 
     Records: ``page_id, url, payload_bytes, payload_digest, record_type, refers_to, file, start, end,
     payload`` (null for a revisit; its size and digest are those of the payload it refers to). A
@@ -257,17 +262,18 @@ def read_archives(spark, folder: str) -> tuple[DataFrame, DataFrame]:
             None if revisit else payload,
         )
 
-    every = content.mapInArrow(read, schema)
-    gap = F.col("record_type") == "gap"
-    return every.where(~gap), every.where(gap).select("file", "start", "end")
+    return content.mapInArrow(read, schema)
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
     folder = workspace(spark, "archives")
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     write_archives(table(spark, sf_dir, "pages"), folder)
-    records, _ = read_archives(spark, folder)
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = read_rows(spark, folder)
+    # the archives are its own: a gap would be a lost page and must not pass
+    lost = F.raise_error(F.concat(F.lit("a record is lost in "), F.col("file"))).cast("string")
+    kind = F.when(F.col("record_type") == "gap", lost).otherwise(F.col("record_type"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
 
 
 OP8_SQL = f"""

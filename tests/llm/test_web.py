@@ -116,6 +116,23 @@ def test_damage_inside_a_member_costs_only_its_records(spark, tmp_path, bad):
     assert gaps.count() == (2 if bad == (0, 2) else min(len(bad), 1))
 
 
+def test_heads_of_any_length_are_records(spark, tmp_path):
+    rows = [(1, "https://a.example/" + "q" * 3_000_000, "<p>one</p>"), (2, None, "<p>two</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/heads"
+    warc.write_archives(pages, folder)
+    records, gaps = warc.read_archives(spark, folder)
+    assert {r["page_id"]: len(r["url"] or "") for r in records.collect()} == {1: len(rows[0][1]), 2: 0} and gaps.isEmpty()
+
+
+def test_a_lost_page_stops_the_query(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "u", "<p>one</p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    written = warc.record
+    monkeypatch.setattr(warc, "record", lambda *a: written(*a)[:-3])
+    with pytest.raises(Exception, match="a record is lost"):
+        warc.op8_warc(spark, str(tmp_path)).collect()
+
+
 # ---- op5
 
 FRAME = """<html><head><title>T</title><style>p{{}}</style></head><body class="x">
