@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from xxhash import xxh3_64_intdigest
 
-from skyloom.llm.common import bounded_batches, by_value, stored, table, texts_of
+from skyloom.llm.common import bounded_batches, by_value, give_back, stored, table, texts_of
 from skyloom.llm.components import components
 
 by_value(__name__)
@@ -50,8 +50,8 @@ PIVOT_MEMBERS = 2048  # members compared with one pivot in one task
 NEED_WORDS = 1 << 20  # 64-bit words of the filter of needed documents
 ASKED = 8  # partners that a document tries in a turn
 TEXT_BYTES = 2 << 20  # of an Arrow batch: its words are in memory one by one
-LOT_SHINGLES, LOT_DOCS = 1 << 20, 60_000  # documents of one task that travel together
-BUCKET_SHINGLES = 3 << 20
+LOT_SHINGLES, LOT_DOCS = 1 << 19, 60_000  # documents of one task that travel together
+BUCKET_SHINGLES = 3 << 19
 TOKEN = (1 << 40) - 1
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -128,6 +128,7 @@ def measured(docs: DataFrame, words: int) -> DataFrame:
             items, begin = shingles(texts_of(batch.column("text")), words)
             made = [pa.array(np.diff(begin)), pa.array(keys_of(items, begin))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), *made], names=schema.names)
+        give_back()
 
     return source.mapInArrow(run, schema)
 
@@ -195,6 +196,8 @@ def lots(docs: DataFrame, words: int, buckets: int) -> DataFrame:
                     parts, sizes, names, held = [], [], [], 0
         if held:
             yield from lot()
+        parts, done = [], set()
+        give_back()
 
     return docs.select("text").mapInArrow(run, "bucket int, lot long, tokens binary, at binary, n binary, key binary")
 
@@ -254,6 +257,7 @@ def shared_shingles(packed_rows: DataFrame, buckets: int) -> DataFrame:
                 packed_columns = (pivots[rows].tobytes(), at[rows].tobytes(), seen[rows].tobytes(), n, key)
                 columns += [pa.array([x], pa.binary()) for x in packed_columns]
                 yield pa.RecordBatch.from_arrays(columns, names=["lot", "tokens", "at", "seen", "n", "key"])
+        give_back()
 
     return source.mapInArrow(run, "lot long, tokens binary, at binary, seen binary, n binary, key binary")
 

@@ -31,7 +31,7 @@ from skyloom.llm.common import by_value, process_store, table, texts_of, with_co
 by_value(__name__)
 
 MARK = "▁"
-REMEMBERED = 400_000  # words and piece pairs kept per Python process
+REMEMBERED = 200_000  # words and piece pairs kept per Python process
 LONG_WORD = 64  # characters; longer ones go through the stream and are not remembered
 CONVERGE_EVERY = 64  # positions between two looks for a common boundary
 UNIGRAM, BPE = 1, 2  # fixed numbers of the model format
