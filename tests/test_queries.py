@@ -6,6 +6,8 @@ import __spark_entry__ as entry
 from compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
+# m_forecast_days and m_track fit the same forests; compare.py runs these two as well
+AGAIN = {"m_temp", "m_forecast_storms"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +23,7 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - AGAIN))
 def test_query_equals_sql(spark, con, name):
     if name not in entry.oracle_sql():
         assert entry.queries()[name](spark, SF).count() > 0
