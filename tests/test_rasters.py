@@ -251,3 +251,55 @@ def test_frames_round_trip_through_cells(spark):
     grid = np.array([[1.0, np.nan], [3.0, 4.0]], dtype=np.float32)
     cells = {(r["row"], r["col"]): r["dbz"] for r in R.frames_to_cells(frames(spark, frame(grid))).collect()}
     assert cells == {(0, 0): 1.0, (0, 1): None, (1, 0): 3.0, (1, 1): 4.0}
+
+
+def _watch(spark, n=40):
+    places = [(i, 36 + (i % 9 - 4) / 20, -87 + (i % 7 - 3) / 15, 4.0 + i % 3) for i in range(n)]
+    spots = spark.createDataFrame(places, "point_id int, point_lat double, point_lon double, radius_km double")
+    return spots.withColumn("station", F.lit("KOHX"))
+
+
+def _moving(spark, n=6):
+    rows = [frame(blob(4 + k, n=24, rows=slice(6, 14), width=8), 5 * k, grid_km=24.0) for k in range(n)]
+    return frames(spark, *rows).coalesce(1)
+
+
+@pytest.mark.parametrize("most", [None, 15])
+def test_frames_beside_places_are_dealt_by_pairs_not_by_files(spark, monkeypatch, most):
+    monkeypatch.setattr(R, "_TASK_PAIRS", 10)
+    if most is not None:  # too many for one broadcast
+        monkeypatch.setattr(R, "_BROADCAST_PLACES", most)
+    grids, spots = _moving(spark), _watch(spark)
+    dealt = R._beside_places(grids, spots)
+    assert dealt.rdd.getNumPartitions() >= 24  # one file held them all in one task before
+    assert dealt.count() == 240
+    plain = grids.join(spots, "station")
+    assert sorted(map(str, dealt.select(*plain.columns).drop("reflectivity_dbz").collect())) == sorted(
+        map(str, plain.drop("reflectivity_dbz").collect())
+    )
+
+
+def test_arrays_made_once_per_frame_are_looked_up_with_the_cells(spark):
+    grids = _moving(spark, 2).withColumn("_double", F.transform("reflectivity_dbz", lambda v: v * 2))
+    cells = R.crop_cells(R.crop_bounds(grids, _watch(spark)), looks={"twice": "_double"})
+    assert "_double" not in cells.columns
+    assert cells.filter("dbz IS NOT NULL").count() > 0
+    assert cells.filter("NOT (twice <=> dbz * 2)").count() == 0
+
+
+def test_crops_of_a_region_are_not_shuffled(spark):
+    flow = R.block_flow(R.frame_pairs(_moving(spark)), 6, 3)
+    _, motion = R.region_product(flow, _watch(spark), spacing=2)
+    assert motion.count() > 0
+    moved = [line for line in motion._jdf.queryExecution().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert not [line for line in moved if "block_row" in line]
+
+
+def test_quick_rounding_is_rounding(spark):
+    from catalog.registry import quickly_shown, shown
+
+    values = [None, float("nan"), float("inf"), -0.0, 5e-7, -5e-7, 1 / 128, 1.1234565, 1e13, -1e300]
+    values += [k / 128 for k in range(-500, 500)] + [(2 * k + 1) * 5e-7 for k in range(3000)] + [k / 7 for k in range(3000)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (3, 6):
+        assert rows.filter(~shown(F.col("x"), digits).eqNullSafe(quickly_shown(F.col("x"), digits))).count() == 0
