@@ -379,3 +379,11 @@ def test_features_need_one_exchange(spark):
     plan = D.daily_features(history(spark))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert set(DAILY_FEATURES) <= set(D.daily_features(history(spark)).columns)
+
+
+def test_forests_keep_node_numbers_and_grow_many_nodes_at_a_time():
+    from skyloom.operators import forests as M
+
+    # without these a forest's work grows with the square of its trees
+    assert M._COMMON["cacheNodeIds"] and M._COMMON["maxMemoryInMB"] >= 512
+    assert (M.TRACK_FOREST["numTrees"], M.TEMP_FOREST["numTrees"], M.RAIN_FOREST["numTrees"]) == (300, 200, 200)
