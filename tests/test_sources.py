@@ -295,3 +295,17 @@ def test_older_files_lack_late_columns(spark, tmp_path):
     (row,) = read_table(spark, path, "daily_observations").collect()
     assert row["humidity_pct"] is None and row["temp_max_c"] == 1.0
     assert evolve(old, "daily_observations").columns[-1] == "wind_speed_kmh"
+
+
+def test_appended_rows_of_a_folder_share_a_file(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from skyloom.sources.schemas import TABLES
+    from skyloom.sources.tables import append_rows, evolve
+
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 3600)
+    rows = spark.range(0, 96, 1, 8).select(F.lit("KOHX").alias("station"), at.alias("timestamp"), F.lit(1.0).alias("grid_km"))
+    append_rows(evolve(rows.repartition(8), "radar_frames"), str(tmp_path / "frames"), TABLES["radar_frames"])
+    files = list((tmp_path / "frames").rglob("*.parquet"))
+    assert len(files) == len({f.parent for f in files}) == 4  # every task wrote into every folder before
+    assert spark.read.parquet(str(tmp_path / "frames")).count() == 96
