@@ -163,6 +163,32 @@ def test_nearest_join_forms_no_pairs(spark):
     assert "Join" not in plan.split("== Physical Plan ==")[1]
 
 
+def test_nearest_join_sorts_once_and_carries_what_is_read(spark):
+    left = spark.range(9).selectExpr("'a' AS who", "timestamp_seconds(id) AS t", "concat('not ', id, ' read') AS unread", "id")
+    right = left.selectExpr("who", "t AS s", "id AS n")
+    got = nearest_join(left, right, ["who"], "t", "s", 60, ["s", "n"])
+    narrow = got.select("id", "n")._jdf.queryExecution()
+    assert narrow.executedPlan().toString().count("Sort [") == 1
+    assert "not " not in narrow.optimizedPlan().toString()
+    assert {(r["id"], r["n"], r["unread"]) for r in got.collect()} == {(i, i, f"not {i} read") for i in range(9)}
+
+
+def test_nearest_join_of_unknown_times_and_keys_named_like_its_helpers(spark):
+    left = spark.sql("SELECT 'a' AS _slice, CAST(NULL AS timestamp) AS _t, 1 AS _side UNION ALL SELECT 'a', timestamp'2026-01-01', 2")
+    right = spark.sql("SELECT 'a' AS _slice, timestamp'2026-01-01 00:00:30' AS s, CAST(NULL AS int) AS v")
+    got = nearest_join(left, right, ["_slice"], "_t", "s", 60, ["s", "v"])
+    assert got.columns == ["_slice", "_t", "_side", "s", "v"]
+    assert sorted((r["_side"], r["s"] is None, r["v"]) for r in got.collect()) == [(1, True, None), (2, False, None)]
+
+
+def test_wide_targets_bring_narrow_rows_together(spark):
+    long = spark.sql("SELECT 'A' AS storm_id, timestamp'2026-01-01' AS timestamp, 12 AS horizon_hours, 1.0D AS lat_target, 2.0D AS lon_target, 3.0D AS wind_target")
+    wide = K.wide_targets(long.repartition(3))
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") > plan.rindex("HashAggregate")
+    assert (wide.first()["lat_h12"], wide.first()["wind_h72"]) == (1.0, None)
+
+
 def test_nearest_join_rejects_bad_arguments(spark):
     df = spark.sql("SELECT 'a' AS who, timestamp'2026-01-01' AS t")
     other = df.withColumnRenamed("t", "s")
