@@ -11,11 +11,15 @@ repeated key on either side and cannot skew.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from skyloom.constants import SOURCE_AUTHORITY, SOURCE_ENRICH
 
 
+# values that a hash aggregation cannot hold
+_SORTED = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
+
+
 def last_per_key(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """One row per key, the one with the largest ``seq``; pre-aggregated map-side."""
     rest = [c for c in df.columns if c not in keys]
@@ -57,12 +61,17 @@ def owned_merge(
                    true the stored row stays as it is
     """
     insert_values = insert_values or {}
-    # column by column, so that all-numeric ownership aggregates by hash
-    folded = new.groupBy(*keys).agg(
-        *[F.max_by(c, seq).alias(f"_last_{c}") for c in owned],
-        *[F.min_by(c, seq).alias(f"_first_{c}") for c in insert_only],
-        F.count(F.lit(1)).alias("_n"),
-    )
+    # column by column, so that all-numeric ownership aggregates by hash; other rows are sorted for it in any
+    # case and go as one value, with one arrival number and not one per column
+    by_hash = not any(isinstance(new.schema[c].dataType, _SORTED) for c in (*owned, *insert_only))
+    if by_hash:
+        picks = [F.max_by(c, seq).alias(f"_last_{c}") for c in owned]
+        picks += [F.min_by(c, seq).alias(f"_first_{c}") for c in insert_only]
+    else:
+        picks = [F.max_by(F.struct(*owned), seq).alias("_last")] if owned else []
+        picks += [F.min_by(F.struct(*insert_only), seq).alias("_first")] if insert_only else []
+    last, first = ("_last_{}", "_first_{}") if by_hash else ("_last.`{}`", "_first.`{}`")
+    folded = new.groupBy(*keys).agg(*picks, F.count(F.lit(1)).alias("_n"))
     old = stored.alias("old").withColumn("_stored", F.lit(True)).alias("old")
     both = old.join(folded.alias("new"), keys, "full_outer")
 
@@ -78,9 +87,9 @@ def owned_merge(
             continue
         kind = stored.schema[c].dataType
         if c in owned:
-            value = F.when(insert | update, F.col(f"_last_{c}")).otherwise(F.col(f"old.{c}"))
+            value = F.when(insert | update, F.col(last.format(c))).otherwise(F.col(f"old.{c}"))
         elif c in insert_only:
-            value = F.when(insert, F.col(f"_first_{c}")).otherwise(F.col(f"old.{c}"))
+            value = F.when(insert, F.col(first.format(c))).otherwise(F.col(f"old.{c}"))
         elif c in insert_values:
             value = F.when(insert, insert_values[c]).otherwise(F.col(f"old.{c}"))
         else:
@@ -113,6 +122,11 @@ def insert_or_replace(stored: DataFrame, new: DataFrame, keys: list[str], seq: s
     return owned_merge(stored, new, keys, owned, seq)
 
 
+def replace_unique(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """J6 for incoming rows whose keys do not repeat: nothing to fold, and only their keys meet the stored rows."""
+    return stored.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*stored.columns))
+
+
 DAILY_KEYS = ["station_id", "date"]
 _MEASURED = ["temp_max_c", "temp_min_c", "precip_mm", "rain"]
 _ENRICHED = ["humidity_pct", "pressure_hpa", "wind_speed_kmh"]

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from skyloom.constants import GRID_TOLERANCE_S, LOCAL_TZ, TRACK_TOLERANCE_S
 from skyloom.functions.scalar import local_date
 from skyloom.operators.daily import live_daily
-from skyloom.operators.merge import last_per_key, merge_enrichment, merge_gapfill, table_part
+from skyloom.operators.merge import last_per_key, merge_enrichment, merge_gapfill, replace_unique, table_part
 from skyloom.operators.rasters import match_grids, pair_scores
 from skyloom.operators.sliced import time_slice
 from skyloom.operators.verify import join_fixes, join_outcomes
@@ -339,6 +339,7 @@ def match_nowcasts(
 
 
 _SLICE_S = 86_400.0
+_MIN_SLICE_S = 600.0
 
 
 def match_tracks(
@@ -355,6 +356,7 @@ def match_tracks(
     """
     if tolerance_s > _SLICE_S:
         raise ValueError(f"the tolerance must not exceed a slice of {_SLICE_S:.0f} s")
+    width = max(float(tolerance_s), _MIN_SLICE_S)
 
     def step(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
@@ -364,11 +366,12 @@ def match_tracks(
             replace_into(spark, f"{root}/hurricane_fixes", "hurricane_fixes", batch, SEQ)
             reach = F.make_dt_interval(secs=F.lit(float(tolerance_s)))
             at = F.col("timestamp")
+            # slices no wider than needed: only forecasts that a new fix can reach are matched again
             touched = batch.select(
                 "storm_id",
                 F.explode(
                     F.array_distinct(
-                        F.array(*[time_slice(t, _SLICE_S) for t in (at - reach, at, at + reach)])
+                        F.array(*[time_slice(t, width) for t in (at - reach, at, at + reach)])
                     )
                 ).alias("_slice"),
             ).distinct()
@@ -378,7 +381,7 @@ def match_tracks(
             forecasts = read_table(spark, f"{root}/hurricane_predictions", "hurricane_predictions")
             due = (
                 only_partitions(forecasts, "season", seasons)
-                .withColumn("_slice", time_slice(F.col("valid_at"), _SLICE_S))
+                .withColumn("_slice", time_slice(F.col("valid_at"), width))
                 .join(touched, ["storm_id", "_slice"], "left_semi")
                 .drop("_slice", "season", "storm_name")
             )
@@ -389,17 +392,18 @@ def match_tracks(
             known = read_table(spark, f"{root}/hurricane_fixes", "hurricane_fixes")
             truth = (
                 only_partitions(known, "season", seasons)
-                .withColumn("_slice", time_slice(F.col("timestamp"), _SLICE_S))
+                .withColumn("_slice", time_slice(F.col("timestamp"), width))
                 .join(near, ["storm_id", "_slice"], "left_semi")
                 .drop("_slice", "season")
             )
             matched = join_fixes(due, truth, tolerance_s).filter(~F.col("pending")).drop("pending")
-            replace_into(
+            # the stored forecasts have unique keys and each is matched once
+            merge_into(
                 spark,
                 f"{root}/hurricane_outcomes",
                 "hurricane_outcomes",
-                matched.withColumn(SEQ, F.lit(0)),
-                SEQ,
+                matched,
+                lambda stored, new: replace_unique(stored, new, list(TABLES["hurricane_outcomes"].keys)),
             )
         finally:
             batch.unpersist()

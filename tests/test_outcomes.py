@@ -298,3 +298,42 @@ def test_days_are_cut_at_the_midnight_of_each_station(spark, tmp_path):
     got = read_table(spark, f"{tmp_path}/daily_observations", "daily_observations").collect()
     days = sorted((r["station_id"], r["date"].day, r["temp_min_c"], r["temp_max_c"]) for r in got)
     assert days == [("A", 28, 0.0, 2.0), ("A", 29, 3.0, 4.0), ("A", 30, 5.0, 5.0), ("B", 28, 0.0, 0.0), ("B", 29, 1.0, 3.0), ("B", 30, 4.0, 5.0)]
+
+
+# --- tracks --------------------------------------------------------------------------------
+
+
+def test_a_new_fix_matches_only_forecasts_in_its_reach_again(spark, tmp_path, monkeypatch):
+    root, start = str(tmp_path / "wx"), dt.datetime(2025, 12, 31)
+    hour = lambda h: start + dt.timedelta(hours=h)
+    made = [(hour(h - 12), "AL01", "ANA", 12, hour(h), 10.0, -80.0, 50.0, "m", 0) for h in range(48)]
+    made += [(hour(h - 12), "AL02", "BOB", 12, hour(h), 10.0, -80.0, 50.0, "m", 0) for h in range(48)]
+    forecasts = spark.createDataFrame(made, TABLES["hurricane_predictions"].ddl + ", ingest_seq INT")
+    replace_into(spark, f"{root}/hurricane_predictions", "hurricane_predictions", forecasts, "ingest_seq")
+    seen, join = [], streams.join_fixes
+
+    def counted(due, truth, tolerance_s):
+        seen.append(due.count())
+        return join(due, truth, tolerance_s)
+
+    monkeypatch.setattr(streams, "join_fixes", counted)
+    fixes = TABLES["hurricane_fixes"].ddl + ", ingest_seq INT"
+    rows = lambda *hours: spark.createDataFrame(
+        [("AL01", "ANA", hour(h), 20.0 + h, -70.0, 60.0, 990.0, "HU", n) for n, h in enumerate(hours)], fixes
+    )
+    want = {}
+    for turn, hours in enumerate([(6, 24), (5.25, 12), (6, 24.25)]):
+        folder = str(tmp_path / "landing")
+        rows(*hours).coalesce(1).write.mode("append").parquet(folder)
+        stream = streams.file_stream(spark, folder, rows(0).schema)
+        streams.match_tracks(stream, root, str(tmp_path / "checkpoint")).awaitTermination()
+        for h in hours:
+            want[h] = 20.0 + h
+    got = read_table(spark, f"{root}/hurricane_outcomes", "hurricane_outcomes").collect()
+    best = {}
+    for h in range(48):
+        near = [(abs(f - h), -f) for f in want if abs(f - h) <= 1.5]
+        if near:
+            best[hour(h)] = 20.0 - min(near)[1]
+    assert {r["valid_at"]: r["actual_lat"] for r in got} == best and len(got) == len(best)
+    assert len(seen) == 3 and max(seen) <= 16
