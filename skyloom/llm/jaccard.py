@@ -150,6 +150,19 @@ def widened(content: bytes) -> np.ndarray:
     return out.view(np.int64).ravel()
 
 
+def planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second ones and so on: those that hardly change take no room in a shuffle."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def from_planes(cells: list[bytes], kind) -> np.ndarray:
+    """The values of all cells, end to end."""
+    size = np.dtype(kind).itemsize
+    bytes_of = [np.frombuffer(c, dtype=np.uint8).reshape(size, len(c) // size).T for c in cells]
+    flat = np.concatenate([np.zeros((0, size), dtype=np.uint8), *bytes_of])
+    return np.ascontiguousarray(flat).view(kind).ravel()
+
+
 def lots(docs: DataFrame, words: int, buckets: int) -> DataFrame:
     """``bucket, lot, tokens, at, n, key``: the shingles of a lot of sets that fall into a bucket.
 
@@ -169,7 +182,7 @@ def lots(docs: DataFrame, words: int, buckets: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             flat, at, bucket = flat[order], at[order], bucket[order]
             name = task << 32 | number
-            rows = [(int(bucket[a]), narrow(flat[a:b]), at[a:b].tobytes()) for a, b in ranges(bucket)]
+            rows = [(int(bucket[a]), narrow(flat[a:b]), planes(at[a:b])) for a, b in ranges(bucket)]
             n, key = np.array(sizes, dtype=np.int32).tobytes(), np.array(names, dtype=np.int64).tobytes()
             first = name % len(rows)
             for k, (b, tokens, which) in enumerate(rows):
@@ -239,7 +252,7 @@ def shared_shingles(packed_rows: DataFrame, buckets: int) -> DataFrame:
             column = lambda c: [x for p in parts for x in p.column(c).to_pylist()]
             packed_tokens = column("tokens")
             tokens = widened(b"".join(packed_tokens))
-            at = np.frombuffer(b"".join(column("at")), dtype=np.uint16)
+            at = from_planes(column("at"), np.uint16)
             of = np.repeat(np.arange(len(names), dtype=np.int32), [len(t) // 5 for t in packed_tokens])
             order = np.argsort(tokens, kind="stable")
             t = tokens[order]
@@ -254,7 +267,7 @@ def shared_shingles(packed_rows: DataFrame, buckets: int) -> DataFrame:
                 if not len(rows) and n is None:
                     continue
                 columns = [pa.array([int(names[k])], pa.int64())]
-                packed_columns = (pivots[rows].tobytes(), at[rows].tobytes(), seen[rows].tobytes(), n, key)
+                packed_columns = (planes(pivots[rows]), planes(at[rows]), planes(seen[rows]), n, key)
                 columns += [pa.array([x], pa.binary()) for x in packed_columns]
                 yield pa.RecordBatch.from_arrays(columns, names=["lot", "tokens", "at", "seen", "n", "key"])
         give_back()
@@ -273,11 +286,11 @@ def windows(shared: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in groups_of(batches, "lot"):
-            column = lambda c, kind: np.frombuffer(
-                b"".join(x for p in parts for x in p.column(c).to_pylist() if x is not None), dtype=kind
+            column = lambda c: [x for p in parts for x in p.column(c).to_pylist() if x is not None]
+            n, key = (np.frombuffer(b"".join(column(c)), dtype=kind) for c, kind in (("n", np.int32), ("key", np.int64)))
+            tokens, at, seen = (
+                from_planes(column(c), kind) for c, kind in (("tokens", np.int64), ("at", np.uint16), ("seen", np.int32))
             )
-            n, key = column("n", np.int32), column("key", np.int64)
-            tokens, at, seen = column("tokens", np.int64), column("at", np.uint16), column("seen", np.int32)
             order = np.lexsort((tokens, seen, at))
             tokens, at, seen = tokens[order], at[order], seen[order]
             size = np.bincount(at, minlength=len(n))

@@ -200,3 +200,19 @@ def test_stages_keep_columns_named_like_helpers(spark):
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {r[0] for r in rows} - {3}
     good = quality.good_documents(docs, labels)
     assert good.columns == docs.columns and good.count() >= 0
+
+
+def test_shuffled_shingles_leave_out_bytes_that_hardly_change(spark):
+    import pyarrow as pa
+
+    words = [f"w{random.Random(i).randrange(10**9)}" for i in range(6000)]
+    texts = [" ".join(words[20 * (i // 2) : 20 * (i // 2) + 400]) for i in range(500)]
+    docs = spark.createDataFrame([(f"{i} {t}",) for i, t in enumerate(texts)], "text string").coalesce(1)
+    shared = jaccard.shared_shingles(jaccard.lots(docs, 5, 2), 2).collect()
+    raw = sum(len(r["tokens"]) for r in shared)
+    assert raw > 100_000
+    assert sum(len(pa.compress(r["tokens"], codec="lz4", asbytes=True)) for r in shared) < 0.8 * raw
+    for kind in (np.uint16, np.int32, np.int64):
+        parts = [np.array(x, dtype=kind) for x in ([], [1, 2, 30_000], [7])]
+        assert jaccard.from_planes([jaccard.planes(x) for x in parts], kind).tolist() == [1, 2, 30_000, 7]
+        assert jaccard.from_planes([], kind).tolist() == []
