@@ -18,10 +18,12 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from skyloom.llm.common import bounded_batches, by_value, process_store, stored, table, texts_of, with_columns
@@ -35,12 +37,15 @@ ROWS_PER_BUCKET = 8192
 MAX_BUCKETS = 100_000
 BLOCK = 512  # bits between two entries of a rank directory
 REMEMBERED = 700_000  # words kept per Python process
+ENDS = 10_000  # runs of stops kept
 END_ID = 0
+ID = attrgetter("id")
 # Texts with single spaces and line ends between words are cut by these, others before each run of white space.
 PAIRS = ("  ", " \n", "\n ", "\n\n")
 RARE_ASCII = tuple("\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 RARE = RARE_ASCII + tuple(c for c in map(chr, range(128, 0x3001)) if c.isspace())
 CHUNK = re.compile(r"\s*\S+|\s+")
+STOPS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")  # part of no contraction
 # Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others for 256 and up.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LEVEL = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
@@ -56,21 +61,26 @@ def is_even(text: str) -> bool:
 class Words:
     """Encodes texts with the ``tokenizers`` library, each distinct word once.
 
-    The tokenizer's pattern never joins white space with what stands before it, nor a letter or digit
-    with a full stop or comma, so the ids of a text are those of its words, each with the white space
-    before it, and those of a word are those of its beginning and of its full stops and commas.
+    The tokenizer's pattern never joins white space with what stands before it, nor a letter with a
+    stop, so the ids of a text are those of its words, each with the white space before it, and those
+    of letters with stops behind them are those of the letters and of the stops.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.inner: dict[str, bytes] = {}  # words behind a space
-        self.first: dict[str, bytes] = {}  # words at the start of a line
-        self.stops: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # of even texts: behind a space, or with the line end before them
+        self.chunks: dict[str, bytes] = {}  # of other texts, with the white space before them
+        self.stops: dict[str, bytes] = {"": b""}
         self.line_end = self._ids("\n")
-        # a run of letters is one unit of a byte-level tokenizer, so its model can be asked directly
+        # A run of letters is one unit of a byte-level tokenizer, so its model can be asked directly; stops behind it
+        # are units of their own. No added token may be found in letters and stops behind them.
         self.direct = all(self._unit(w) == self._ids(w) for w in ("word", " word", " Übermäßig", " 中文", " été"))
+        self.direct &= self._ids("\nword") == self.line_end + self._ids("word")
+        self.direct &= all(self._ids("word" + c) == self._ids("word") + self._ids(c) for c in STOPS)
+        added = (t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.direct &= all(re.search(r"[!-/:-@\[-`{-~].*[^\W_]", t) for t in added)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -79,48 +89,75 @@ class Words:
         symbols = text.encode().decode("latin-1").translate(BYTE_LEVEL)
         return np.array([t.id for t in self.tokenizer.model.tokenize(symbols)], dtype="<u4").tobytes()
 
-    def lookup(self, words: set[str], known: dict[str, bytes], before: str) -> dict[str, bytes]:
-        """Ids of the given words at least. A full memory keeps its words, which are the frequent ones."""
-        missing = [w for w in words if w not in known]
-        grows = len(known) + len(missing) <= REMEMBERED
-        found = known if grows else {w: known[w] for w in words if w in known}
-        ended = [(w, w.rstrip(".,")) for w in missing if w[-1:] in ".," and w[-1:]]
-        ended = [(w, c) for w, c in ended if c and c[-1].isalnum()]
-        whole = set(missing).difference(w for w, _ in ended)
-        whole.update(c for _, c in ended if c not in known)
-        if self.direct:
-            letters = [w for w in whole if w.isalpha()]
-            model = self.tokenizer.model.tokenize
-            for w in letters:
-                symbols = (before + w).encode().decode("latin-1").translate(BYTE_LEVEL)
-                found[w] = array("I", [t.id for t in model(symbols)]).tobytes()
-            whole.difference_update(letters)
-        encode = self.tokenizer.encode_batch_fast
-        for part in iter(lambda it=iter(whole): list(islice(it, 4096)), []):
-            for w, e in zip(part, encode([before + w for w in part], add_special_tokens=False)):
-                found[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, c in ended:
-            stops = w[len(c) :]
-            if stops not in self.stops:
-                self.stops[stops] = self._ids(stops)
-            found[w] = found[c] if c in found else known[c]
-            found[w] += self.stops[stops]
+    def lookup(self, words: list[str], known: dict[str, bytes]) -> list[bytes]:
+        """Ids of distinct words. A full memory keeps its words, which are the frequent ones."""
+        found = list(map(known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            new = [words[i] for i in missing]
+            solved = self.solve(new, known)
+            for i, ids in zip(missing, solved):
+                found[i] = ids
+            if len(known) + len(new) <= REMEMBERED:
+                known.update(zip(new, solved))
         return found
 
+    def solve(self, words: list[str], known: dict[str, bytes]) -> list[bytes]:
+        """Ids of new words: letters are asked of the model, stops behind them are remembered, all else is encoded whole."""
+        out: list[bytes] = [b""] * len(words)
+        begun: dict[str, bytes] = {}
+        others: list[int] = []
+        model, stops, even = self.tokenizer.model.tokenize, self.stops, known is self.words
+        for i, w in enumerate(words):
+            begin = w.rstrip(STOPS)
+            lined = w[0] == "\n"
+            spaced = not lined if even else w[0] == " "
+            letters = begin[1:] if lined or spaced and not even else begin
+            end = w[len(begin) :]
+            if not (self.direct and letters.isalpha()) or (end not in stops and len(stops) > ENDS):
+                others.append(i)
+                continue
+            ids = known.get(begin) or begun.get(begin)
+            if ids is None:
+                symbols = letters if letters.isascii() else letters.encode().decode("latin-1").translate(BYTE_LEVEL)
+                ids = array("I", map(ID, model("Ġ" + symbols if spaced else symbols))).tobytes()
+                begun[begin] = ids = self.line_end + ids if lined else ids
+            if end:
+                if end not in stops:
+                    stops[end] = self._ids(end)
+                ids += stops[end]
+            out[i] = ids
+        encode = self.tokenizer.encode_batch_fast
+        for part in iter(lambda it=iter(others): list(islice(it, 4096)), []):
+            units = [words[i] for i in part]
+            if even:
+                units = [u[1:] if u[0] == "\n" else " " + u for u in units]
+            for i, e in zip(part, encode(units, add_special_tokens=False)):
+                ids = np.array(e.ids, dtype="<u4").tobytes()
+                out[i] = self.line_end + ids if even and words[i][0] == "\n" else ids
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (little-endian, 32 bits) of each text."""
-        lines = [[x.split(" ") for x in t.split("\n")] if is_even(t) else None for t in texts]
-        flat = [x for doc in lines if doc for x in doc]
-        chunks = {i: CHUNK.findall(t) for i, t in enumerate(texts) if lines[i] is None}
-        starts = {x[0] for x in flat}.union(*chunks.values())
-        first = self.lookup(starts, self.first, "").__getitem__
-        inner = self.lookup(set(chain.from_iterable(x[1:] for x in flat)), self.inner, " ").__getitem__
-        return [
-            b"".join(map(first, chunks[i]))
-            if doc is None
-            else self.line_end.join([first(x[0]) + b"".join(map(inner, x[1:])) for x in doc])
-            for i, doc in enumerate(lines)
-        ]
+        even = [is_even(t) for t in texts]
+        plain = iter(self._encode_even([t for t, e in zip(texts, even) if e]))
+        chunks = [None if e else CHUNK.findall(t) for t, e in zip(texts, even)]
+        distinct = list(set().union(*filter(None, chunks)))
+        ids = dict(zip(distinct, self.lookup(distinct, self.chunks)))
+        return [next(plain) if c is None else b"".join(map(ids.__getitem__, c)) for c in chunks]
+
+    def _encode_even(self, texts: list[str]) -> list[bytes]:
+        """Arrow cuts the words, numbers the distinct ones and lays their ids in a row: Python sees distinct words only."""
+        if not texts:
+            return []
+        marked = pa.array(["\n" + t.replace("\n", " \n") for t in texts], pa.large_string())
+        words = pc.split_pattern(marked, " ")
+        numbered = words.flatten().dictionary_encode()
+        ids = self.lookup(numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), self.words)
+        _, places, packed = pa.array(ids, pa.large_binary()).take(numbered.indices).buffers()
+        edges = np.frombuffer(places, dtype=np.int64)[words.offsets.to_numpy()].tolist()
+        packed, skipped = memoryview(packed), len(self.line_end)
+        return [bytes(packed[a + skipped : b]) for a, b in zip(edges, edges[1:])]
 
 
 def word_encoder(path: str) -> Words:

@@ -150,6 +150,29 @@ def test_a_full_word_memory_still_encodes(monkeypatch):
     assert words.encode(texts) == want and words.encode(texts[::-1]) == want[::-1]
 
 
+def test_letters_and_the_stops_behind_them_are_asked_of_the_model_once():
+    words = token_store.Words(token_store.public_tokenizer())
+    asked, whole = [], words.tokenizer
+
+    class Counted:
+        model = whole.model
+
+        def encode(self, text, **how):
+            return whole.encode(text, **how)
+
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(texts)
+            return whole.encode_batch_fast(texts, **how)
+
+    words.tokenizer = Counted()
+    texts = [f"Word{mark} {mark}a été{mark} Word" + f"\nété{mark}{mark} le{mark}" for mark in ("", ".", "***", "!?", "$$$", ")_")]
+    texts += ["Word<|endoftext|> don't. it's", "é\nWord", "  Word***\n\n été&& ", "", "x2*** 12,"]
+    want = [words._ids(t) for t in texts]
+    assert words.encode(texts) == want and words.encode(texts[::-1]) == want[::-1]
+    letters = [t for t in asked if re.fullmatch(r"\s?[^\W\d_]+[^\w\s']*", t)]
+    assert not letters and len(asked) == len(set(asked)) > 0
+
+
 # ---- op10
 
 
