@@ -413,3 +413,58 @@ def test_forests_keep_node_numbers_and_grow_many_nodes_at_a_time():
     # without these a forest's work grows with the square of its trees
     assert M._COMMON["cacheNodeIds"] and M._COMMON["maxMemoryInMB"] >= 512
     assert (M.TRACK_FOREST["numTrees"], M.TEMP_FOREST["numTrees"], M.RAIN_FOREST["numTrees"]) == (300, 200, 200)
+
+
+def test_forests_over_many_rows_are_grown_in_parts():
+    from skyloom.operators import forests as M
+
+    assert M.tree_counts(300, 47_610) == [300]
+    for n in (468_060, 2_808_360, 10**9):
+        counts = M.tree_counts(300, n)
+        assert sum(counts) == 300 and min(counts) >= 2
+        assert max(counts) * n <= 1.2 * M._FIT_PAIRS or max(counts) <= 3
+    assert M.tree_counts(3, 10**9) == [3]
+    # statistics of all nodes are shuffled by every partition
+    assert M._partitions(468_060) == 2 and M._partitions(0) == 1
+
+
+def test_values_of_forests_in_parts_equal_mllib(spark, monkeypatch, tmp_path):
+    from skyloom.operators import forests as M
+
+    rng = random.Random(1)
+    rows = [(rng.uniform(0, 9), rng.uniform(-5, 5), float(rng.randint(0, 3))) for _ in range(600)]
+    train = spark.createDataFrame([(a, b, c, a * b + c) for a, b, c in rows], "a double, b double, c double, y double").coalesce(2).persist()
+    size = {"numTrees": 7, "maxDepth": 6, "minInstancesPerNode": 2}
+    monkeypatch.setattr(M, "_FIT_PAIRS", 600 * 3)
+    fits = M.value_fits(train, 600, ["a", "b", "c"], "y", size)
+    assert len(fits) == 3
+    model = M._fit_all({(1, "y"): fits})[1, "y"]
+    whole = M.fit_value(train, ["a", "b", "c"], "y", size)
+    M.save_bundle(spark, M.Bundle("v1", {(1, "y"): model}), str(tmp_path))
+    loaded = M.load_bundle(spark, str(tmp_path)).models[1, "y"]
+    for one, trees, exact in ((model, 7, 1e-9), (loaded, 7, 1e-9), (whole, 7, 0.0)):
+        forests_in = [s for s in one.stages if hasattr(s, "getNumTrees")]
+        assert sum(f.getNumTrees for f in forests_in) == trees
+        seen = M.apply_value(one, one.transform(train), "said").collect()
+        assert max(abs(r["said"] - r["prediction"]) for r in seen) <= exact
+        assert "_part_0" not in M.apply_value(one, train, "said").columns
+    with pytest.raises(Exception, match="unknown"):
+        M.apply_value(model, spark.createDataFrame([(None, 1.0, 1.0)], "a double, b double, c double"), "said").collect()
+
+
+def test_live_storms_are_read_once_for_all_horizons(spark):
+    from skyloom.operators import forests as M
+
+    fixes = curving(spark)
+    bundle, _ = M.fit_tracks(K.storm_motion(fixes), fixes, "v1", horizons=(12, 48), minimum=50, trees=4)
+    live = K.storm_motion(fixes).na.drop().limit(5)
+    live = spark.createDataFrame(live.collect(), live.schema).withColumn("name", F.col("storm_id"))
+    said = M.forecast_storms(bundle, live)
+    assert said._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    rows = said.collect()
+    assert len(rows) == 10 and {r["horizon_hours"] for r in rows} == {12, 48}
+    want = {
+        (h, r["storm_id"], r["timestamp"]): r["prediction"]
+        for h in (12, 48) for r in bundle.models[h, "lat"].transform(live).collect()
+    }
+    assert all(abs(want[r["horizon_hours"], r["storm_id"], r["predicted_at"]] - r["lat_pred"]) < 1e-9 for r in rows)
