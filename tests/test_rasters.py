@@ -303,3 +303,61 @@ def test_quick_rounding_is_rounding(spark):
     rows = spark.createDataFrame([(v,) for v in values], "x double")
     for digits in (3, 6):
         assert rows.filter(~shown(F.col("x"), digits).eqNullSafe(quickly_shown(F.col("x"), digits))).count() == 0
+
+
+def _plainly(frames, boxes):
+    """Crops and samples of every frame beside every place, place by place."""
+    at = R._beside_places(frames, boxes)
+    sampled = R._sample(R._spot(at.withColumn("_n", R.grid_side(F.col("reflectivity_dbz")))), "reflectivity_dbz")
+    return R.crop_cells(R.crop_bounds(frames, boxes)), sampled
+
+
+def _rows(df, columns):
+    return sorted(map(str, df.select(*columns).collect()))
+
+
+@pytest.mark.parametrize("most", [None, 60])
+def test_places_that_see_the_same_share_the_work(spark, monkeypatch, most):
+    if most is not None:
+        monkeypatch.setattr(R, "_BROADCAST_PLACES", most)
+    grids, spots = _moving(spark, 2), _watch(spark, 30)
+    spots = spots.withColumn("point_lat", F.round("point_lat", 1)).unionByName(spots.filter("point_id = 2"))  # one comes twice
+    spots = spots.unionByName(spots.filter("point_id = 3").withColumn("point_lat", F.lit(None).cast("double")))
+    # a frame of another layout, and one without a position
+    grids = grids.unionByName(grids.limit(1).withColumn("latitude", F.lit(36.1)).withColumn("timestamp", F.lit(T0 - dt.timedelta(1))))
+    grids = grids.unionByName(grids.limit(1).withColumn("latitude", F.lit(None).cast("double")))
+    grids = spark.createDataFrame(grids.collect(), SCHEMA).coalesce(1)
+    spots = spark.createDataFrame(spots.collect(), spots.schema).coalesce(1)
+    cells, sampled = _plainly(grids, spots)
+    ours = R.crops(grids, spots)
+    assert ours.columns == cells.columns and R.point_samples(grids, spots).columns == sampled.columns
+    assert _rows(ours, cells.columns) == _rows(cells, cells.columns) and cells.count() > 0
+    assert _rows(R.point_samples(grids, spots), sampled.columns) == _rows(sampled, sampled.columns)
+    views = R._by_view(grids, spots, R._box)
+    assert views.distinct.count() < views.named.count()
+    if most is not None:
+        return
+    # layouts as many as frames: the plain way
+    wandering = grids.withColumn("latitude", F.lit(36.0) + F.unix_micros("timestamp") % 7 / 1000.0)
+    monkeypatch.setattr(R, "_FEW_LAYOUTS", 0)
+    assert R._by_view(wandering, spots, R._box) is None
+    assert _rows(R.crops(wandering, spots), cells.columns) == _rows(_plainly(wandering, spots)[0], cells.columns)
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_block_motion_of_points_that_share_a_box(spark, twice):
+    flow = R.block_flow(R.frame_pairs(_moving(spark, 3)), 6, 3)
+    flow = spark.createDataFrame(flow.collect(), flow.schema).coalesce(1)
+    spots = _watch(spark).withColumn("point_lat", F.round("point_lat", 1))
+    if twice:  # one point, two boxes: their cells are one group
+        spots = spots.unionByName(spots.filter("point_id < 3").withColumn("radius_km", F.lit(9.0)))
+    frames = flow.drop("prev_dbz")
+    cells = R.with_cell_flow(R.crop_cells(R.crop_bounds(frames, spots)))
+    want = R.block_motion(cells, ["station", "timestamp", "point_id"], 2)
+    got_cells, got = R.region_product(flow, spots, 2)
+    assert got.columns == want.columns and _rows(got, want.columns) == _rows(want, want.columns) and want.count() > 0
+    assert got_cells.columns == cells.columns and _rows(got_cells, cells.columns) == _rows(cells, cells.columns)
+    if not twice:  # grouped by what is seen, before the points
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert all("point_id" not in line for line in plan.splitlines() if "Aggregate" in line)
+        assert [r["max_dbz"] for r in R.region_product(flow, spots, 2, finish=lambda b: b.withColumn("max_dbz", F.lit(1.5)))[1].take(1)] == [1.5]
